@@ -210,9 +210,9 @@ GROUPS = {
 
 
 # -- plan ----------------------------------------------------------------------
-def admitted(files: DataFrame) -> DataFrame:
+def admitted(files: DataFrame, carry=()) -> DataFrame:
     """Files to scan, routed and classified. Path and size decide, before any
-    expression touches the content."""
+    expression touches the content. ``carry`` names more file columns to keep."""
     path = F.col("path")
     key = P.scanner_key(path)
     return (
@@ -221,12 +221,12 @@ def admitted(files: DataFrame) -> DataFrame:
         .select(
             "repo_id", P.unix_path(path).alias("file"), "content",
             P.scanner_of(key).alias("ext_scanner"), P.runs_secrets(key).alias("run_secrets"),
-            P.file_context(path).alias("file_context"),
+            P.file_context(path).alias("file_context"), *carry,
         )
     )
 
 
-def candidate_lines(routed: DataFrame) -> DataFrame:
+def candidate_lines(routed: DataFrame, carry=()) -> DataFrame:
     """The lines that may match a rule, with their masked code where it matters."""
     # only Python files that name one of the calls pay for masking
     has_calls = (F.col("ext_scanner") == "python") & reduce(
@@ -239,7 +239,7 @@ def candidate_lines(routed: DataFrame) -> DataFrame:
                        else F.col("text_line").rlike(rule.regex))
     name = P.filename(F.col("file"))
     keep = ["repo_id", "file", "file_context", "ext_scanner", "run_secrets", "real_env",
-            "example_env"]
+            "example_env", *carry]
     return (
         routed
         .withColumn("text", X.unix_newlines(F.col("content")))
@@ -257,8 +257,19 @@ def candidate_lines(routed: DataFrame) -> DataFrame:
     )
 
 
-def match_rules(lines: DataFrame, groups=tuple(GROUPS)) -> DataFrame:
-    """Raw findings of the candidate lines, for some or all rule groups."""
+def _first_of_rule(hits: Column) -> Column:
+    return F.filter(hits, lambda h, i: ~F.exists(
+        F.slice(hits, F.lit(1), i), lambda earlier: earlier["rule_id"] == h["rule_id"]
+    ))
+
+
+def match_rules(lines: DataFrame, groups=tuple(GROUPS), unique: bool = False,
+                carry=()) -> DataFrame:
+    """Raw findings of the candidate lines, for some or all rule groups.
+
+    ``unique`` keeps the first finding of a rule on a line right here. That replaces
+    de-duplication where every line is seen once, as within one micro-batch.
+    """
     is_config = F.col("ext_scanner") == "config"
     any_name = "|".join(K.NAMED_SECRETS)
     staged = (
@@ -272,21 +283,23 @@ def match_rules(lines: DataFrame, groups=tuple(GROUPS)) -> DataFrame:
             f"(?i){R.NOT_IN_A_WORD}(?:{any_name}){R.SECRET_VALUE_AFTER_NAME}"))
     )
     hits = [h for g in groups for h in GROUPS[g]()] or [F.lit(None).cast(_HIT_TYPE)]
-    found = staged.withColumn(
-        "hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull()))
-    )
+    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
+    if unique:
+        staged = staged.withColumn("_hits", found)
+        found = _first_of_rule(F.col("_hits"))
+    found = staged.withColumn("hit", F.explode(found))
     return found.select(
         "repo_id", "file", (F.col("pos") + 1).cast("int").alias("line"),
         "hit.disc_ord", "hit.rule_id", "hit.title", "hit.severity", "hit.category",
         F.coalesce("hit.evidence", X.evidence(F.col("text_line"))).alias("evidence"),
-        "hit.recommendation", "file_context",
+        "hit.recommendation", "file_context", *carry,
     )
 
 
-def detect(files: DataFrame, groups=tuple(GROUPS)) -> DataFrame:
+def detect(files: DataFrame, groups=tuple(GROUPS), unique: bool = False, carry=()) -> DataFrame:
     """Raw findings of a files table; a rule may report one line more than once."""
-    routed = admitted(files)
-    raw = match_rules(candidate_lines(routed), groups)
+    routed = admitted(files, carry)
+    raw = match_rules(candidate_lines(routed, carry), groups, unique, carry)
     for scanner in R.extra_scanners():
-        raw = raw.unionByName(scanner(routed).select(*RAW_FINDING_COLUMNS))
+        raw = raw.unionByName(scanner(routed).select(*RAW_FINDING_COLUMNS, *carry))
     return raw

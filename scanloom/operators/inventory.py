@@ -44,7 +44,10 @@ def inventory(files: DataFrame) -> DataFrame:
 def scan_stats(files: DataFrame) -> DataFrame:
     """File counters per repository. Counting combines on the map side, so a
     repository that owns most of the files costs no more than the others."""
-    inv = inventory(files)
+    return count_decisions(inventory(files))
+
+
+def count_decisions(inv: DataFrame) -> DataFrame:
     scanned = F.col("decision") == SCAN
     return inv.groupBy("repo_id").agg(
         F.count_if(scanned).cast("int").alias("scanned_files"),
