@@ -82,21 +82,22 @@ def corpus_path(doc_id: Column) -> Column:
     return F.replace(template, F.lit("{d}"), doc_id.cast("string"))
 
 
-def corpus_from(documents: DataFrame) -> DataFrame:
-    """``documents`` (batch or stream) as a files table."""
+def corpus_from(documents: DataFrame, second: bool = True, extra=()) -> DataFrame:
+    """``documents`` (batch or stream) as a files table; ``second`` is for the second
+    snippet, ``extra`` names columns to keep."""
     texts = snippets() + [""] * (SNIPPET_SLOTS - len(snippets()))
     slots = F.array(*(F.lit(t) for t in texts))
     digest = F.md5(F.col("doc_id").cast("string"))
     first = F.element_at(slots, hex_int(digest, 1, 2) % SNIPPET_SLOTS + 1)
-    second = F.element_at(slots, hex_int(digest, 5, 2) % SNIPPET_SLOTS + 1)
+    another = F.element_at(slots, hex_int(digest, 5, 2) % SNIPPET_SLOTS + 1)
     content = F.concat(
         F.col("text"), F.lit("\n"), first, F.lit("\n"),
-        F.when(hex_int(digest, 7, 1) < 8, second).otherwise(""),
+        F.when(F.lit(second) & (hex_int(digest, 7, 1) < 8), another).otherwise(""),
     )
     return documents.select(
         F.concat(F.lit("r"), F.expr("cast(doc_id div 5 as string)")).alias("repo_id"),
         corpus_path(F.col("doc_id")).alias("path"),
-        content.alias("content"),
+        content.alias("content"), *extra,
     ).withColumn("size", F.octet_length("content").cast("bigint"))
 
 
