@@ -7,6 +7,7 @@ column does not travel past the line generator.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -51,164 +52,139 @@ def marked_python_code(text: Column) -> Column:
 
 
 # -- hits ----------------------------------------------------------------------
-_HIT_TYPE = (
-    "struct<disc_ord:int,rule_id:string,title:string,severity:string,category:string,"
-    "recommendation:string,evidence:string>"
-)
-
+# What a line matches is a small struct: ordinal, catalog key, and the matched value
+# where there is one. The conditions are SQL text with literal patterns; texts,
+# severities and evidence are looked up and worked out afterwards, on hits only.
+_HIT_TYPE = "struct<disc_ord:int,key:string,value:string>"
 
-def _hit(ord_, rule_id, title, severity, category, recommendation, evidence=None) -> Column:
-    """A raw finding without its place; null evidence stands for the line itself."""
-    def col(v):
-        return v if isinstance(v, Column) else F.lit(v)
 
-    return F.struct(
-        col(ord_).cast("int").alias("disc_ord"), col(rule_id).alias("rule_id"),
-        col(title).alias("title"), col(severity).alias("severity"),
-        col(category).alias("category"), col(recommendation).alias("recommendation"),
-        col(evidence).cast("string").alias("evidence"),
-    )
+def _regex(pattern: str) -> str:
+    """A pattern as a raw SQL literal."""
+    return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
-def _matches(rule: R.Rule) -> Column:
-    subject = F.col("code" if rule.on_code else "text_line")
-    hit = subject.rlike(rule.regex)
-    return hit & ~subject.rlike(rule.unless) if rule.unless else hit
+def _hit(condition: str, ord_, key: str, value: str = "cast(null as string)") -> str:
+    return (f"CASE WHEN {condition} THEN named_struct('disc_ord', cast({ord_} AS int), "
+            f"'key', {key}, 'value', {value}) END")
 
 
-def _applies(rule: R.Rule) -> Column:
-    gates = [
-        F.col("run_secrets") if s == "secrets" else F.col("ext_scanner") == s
-        for s in rule.scanners
-    ]
-    return reduce(lambda a, b: a | b, gates)
-
-
-def _rule_hit(rule: R.Rule, ord_) -> Column:
-    return F.when(
-        _applies(rule) & _matches(rule),
-        _hit(ord_, rule.id, rule.title, rule.severity, rule.category, rule.recommendation),
+def _rule_hit(rule: R.Rule, ord_, key: str | None = None) -> str:
+    subject = "code" if rule.on_code else "text_line"
+    gates = " OR ".join(
+        "run_secrets" if s == "secrets" else f"ext_scanner = '{s}'" for s in rule.scanners
     )
+    condition = f"({gates}) AND {subject} RLIKE {_regex(rule.regex)}"
+    if rule.unless:
+        condition += f" AND NOT {subject} RLIKE {_regex(rule.unless)}"
+    return _hit(condition, ord_, f"'{key or rule.id}'")
 
 
 # Within one line a file's extension scanner reports before the secret rules.
 _ORD_LINE_RULES, _ORD_SECRETS, _ORD_EXTRA = 1_000_000_000, 1_100_000_000, 1_200_000_000
 
 
-def _python_hits() -> list[Column]:
+def _python_hits() -> list[str]:
     # calls report in source order, so their ordinal is their column
     calls = [
-        _rule_hit(r, F.regexp_instr(F.col("code"), F.lit(r.regex))) for r in R.PYTHON_CALL_RULES
+        _rule_hit(r, f"regexp_instr(code, {_regex(r.regex)})") for r in R.PYTHON_CALL_RULES
     ]
-    marker = F.regexp_extract("code", f"[{_DYNAMIC}{_STATIC}]", 0)
-    shell = F.when(
-        marker != "",
-        _hit(
-            F.regexp_instr(F.col("code"), F.lit(f"[{_DYNAMIC}{_STATIC}]")),
-            R.SUBPROCESS_RULE_ID, R.SUBPROCESS_TITLE,
-            F.when(marker == _STATIC, K.HIGH).otherwise(K.CRITICAL),
-            K.DANGEROUS_CODE, R.SUBPROCESS_RECOMMENDATION,
-        ),
+    marker = _regex(r"[\x01\x02]")
+    shell = _hit(
+        f"code RLIKE {marker}", f"regexp_instr(code, {marker})",
+        f"if(regexp_extract(code, {marker}, 0) = char(2), "
+        f"'{R.SUBPROCESS_RULE_ID}:static', '{R.SUBPROCESS_RULE_ID}')",
     )
     lines = [_rule_hit(r, _ORD_LINE_RULES + i) for i, r in enumerate(R.PYTHON_LINE_RULES)]
     return [*calls, shell, *lines]
 
 
-def _javascript_hits() -> list[Column]:
+def _javascript_hits() -> list[str]:
     return [_rule_hit(r, i) for i, r in enumerate(R.JAVASCRIPT_RULES)]
 
 
-def _env_file_hit() -> Column:
-    return F.when(
-        (F.col("ext_scanner") == "config") & F.col("real_env") & (F.col("pos") == 0),
-        _hit(0, "CONFIG_ENV_FILE", R.ENV_FILE_TITLE, K.HIGH, K.EXPOSURE,
-             R.ENV_FILE_RECOMMENDATION, R.ENV_FILE_EVIDENCE),
-    )
+def _config_hits() -> list[str]:
+    env_file = _hit("ext_scanner = 'config' AND real_env AND pos = 0", 0, "'CONFIG_ENV_FILE'")
+    cors = [_rule_hit(r, 1 + i, f"{r.id}:{i}") for i, r in enumerate(R.CORS_RULES)]
+    return [env_file, *cors]
+
+
+def _assignment_hits() -> list[str]:
+    """At most one finding per assignment line; uses the ``env_*`` columns."""
+    cases = {
+        "CONFIG_EXAMPLE_NEXT_PUBLIC_PLACEHOLDER": "example_env AND env_public AND env_placeholder",
+        "CONFIG_EXAMPLE_NEXT_PUBLIC_SECRET_LIKE":
+            "example_env AND env_public AND NOT env_placeholder",
+        "CONFIG_EXAMPLE_ENV_SECRET_LIKE_VALUE":
+            "example_env AND NOT env_public AND NOT env_placeholder",
+        "CONFIG_NEXT_PUBLIC": "NOT example_env AND env_public",
+        "CONFIG_ENV_SECRET_LIKE_VALUE": "real_env AND NOT env_public AND NOT env_placeholder",
+    }
+    return [_hit(f"env_name <> '' AND {c}", 4, f"'{key}'", "env_value")
+            for key, c in cases.items()]
+
+
+def _named_secret_hits() -> list[str]:
+    return [
+        _hit(f"named AND text_line RLIKE {pattern}", _ORD_SECRETS + i, f"'SECRETS_{name}'",
+             f"regexp_extract(text_line, {pattern}, 1)")
+        for i, name in enumerate(K.NAMED_SECRETS)
+        for pattern in [_regex(R.named_secret_pattern(name))]
+    ]
 
 
-def _cors_hits() -> list[Column]:
-    return [_rule_hit(r, 1 + i) for i, r in enumerate(R.CORS_RULES)]
-
-
-def _assignment_hit() -> Column:
-    """At most one finding per assignment line; needs the ``env_*`` columns."""
-    name, value = F.col("env_name"), F.col("env_value")
-    public = F.upper(name).startswith("NEXT_PUBLIC_")
-    example, placeholder = F.col("example_env"), V.is_placeholder(value)
-    kind = V.secret_type(name)
-    shown = F.concat(name, F.lit("="), V.masked(value))
-
-    def hit(rule_id, title, severity, category, recommendation, evidence=None):
-        return _hit(4, rule_id, title, severity, category, recommendation, evidence)
-
-    in_example = (
-        F.when(placeholder & public, hit(
-            "CONFIG_EXAMPLE_NEXT_PUBLIC_PLACEHOLDER",
-            "NEXT_PUBLIC variable uses secret-like name", K.LOW, K.EXPOSURE,
-            R.EXAMPLE_ENV_RECOMMENDATION))
-        .when(~placeholder & public, hit(
-            "CONFIG_EXAMPLE_NEXT_PUBLIC_SECRET_LIKE",
-            "Example environment file contains public secret-like variable",
-            K.MEDIUM, K.EXPOSURE, R.EXAMPLE_ENV_RECOMMENDATION))
-        .when(~placeholder, hit(
-            "CONFIG_EXAMPLE_ENV_SECRET_LIKE_VALUE",
-            "Example env file should use clear placeholder values", K.LOW, K.EXPOSURE,
-            R.EXAMPLE_ENV_RECOMMENDATION, shown))
-    )
-    elsewhere = (
-        F.when(public, hit(
-            F.concat(F.lit("CONFIG_NEXT_PUBLIC_"), F.upper(kind)),
-            F.concat(F.lit("NEXT_PUBLIC_ variable with "), F.lower(kind)),
-            F.when(V.looks_real(value), K.CRITICAL).otherwise(K.HIGH), K.EXPOSURE,
-            R.NEXT_PUBLIC_RECOMMENDATION))
-        .when(F.col("real_env") & ~placeholder, hit(
-            "CONFIG_ENV_SECRET_LIKE_VALUE", "Environment file contains secret-like variable",
-            K.HIGH, K.SECRETS, R.ENV_SECRET_RECOMMENDATION, shown))
-    )
-    return F.when(name != "", F.when(example, in_example).otherwise(elsewhere))
-
-
-def _named_secret_hits() -> list[Column]:
-    line, hits = F.col("text_line"), []
-    for i, name in enumerate(K.NAMED_SECRETS):
-        value = F.regexp_extract(line, R.named_secret_pattern(name), 1)
-        weak = V.is_placeholder(value) | value.rlike(R.WEAK_NAMED_VALUE)
-        hits.append(F.when(
-            F.col("named") & (value != ""),
-            _hit(_ORD_SECRETS + i, f"SECRETS_{name}", R.named_secret_title(name),
-                 F.when(weak, K.LOW).otherwise(K.CRITICAL), K.SECRETS, R.SECRET_RECOMMENDATION,
-                 F.concat(F.lit(f"{name}="), V.masked(value))),
-        ))
-    return hits
-
-
-def _secret_value_hits() -> list[Column]:
-    line, hits = F.col("text_line"), []
-    for i, rule in enumerate(R.SECRET_VALUES):
-        value = F.regexp_extract(line, rule.pattern, 0)
-        severity = F.lit(K.CRITICAL)
-        if rule.weak_is_medium:
-            severity = F.when(value.rlike(R.WEAK_VALUE), K.MEDIUM).otherwise(K.CRITICAL)
-        shown = value if rule.id.endswith("_BLOCK") else V.masked(value)
-        hits.append(F.when(
-            F.col("run_secrets") & ~F.col("named") & (value != ""),
-            _hit(_ORD_SECRETS + 100 + i, rule.id, rule.title, severity, K.SECRETS,
-                 R.SECRET_RECOMMENDATION, shown),
-        ))
-    return hits
+def _secret_value_hits() -> list[str]:
+    return [
+        _hit(f"run_secrets AND NOT named AND text_line RLIKE {pattern}", _ORD_SECRETS + 100 + i,
+             f"'{rule.id}'", f"regexp_extract(text_line, {pattern}, 0)")
+        for i, rule in enumerate(R.SECRET_VALUES)
+        for pattern in [_regex(rule.pattern)]
+    ]
 
 
 GROUPS = {
     "python": _python_hits,
     "javascript": _javascript_hits,
-    "config_cors": lambda: [_env_file_hit(), *_cors_hits()],
-    "env_assign": lambda: [_assignment_hit()],
+    "config_cors": _config_hits,
+    "env_assign": _assignment_hits,
     "secrets_named": _named_secret_hits,
     "secrets_value": _secret_value_hits,
     "extra": lambda: [_rule_hit(r, _ORD_EXTRA + i) for i, r in enumerate(R.extra_rules())],
 }
 
 
+def _catalog() -> Column:
+    """Texts and severities by key: one literal map, folded at planning time."""
+    entries = json.dumps(R.catalog_entries())
+    kind = ("map<string,struct<rule_id:string,title:string,severity:string,category:string,"
+            "recommendation:string,shows:string>>")
+    return F.from_json(F.lit(entries), kind)
+
+
+def _severity() -> Column:
+    """Catalog severity, unless the value itself says otherwise."""
+    shows, value = F.col("entry.shows"), F.col("hit.value")
+    weak_name = V.is_placeholder(value) | value.rlike(R.WEAK_NAMED_VALUE)
+    return (
+        F.when((shows == "public") & V.looks_real(value), K.CRITICAL)
+        .when((shows == "named") & weak_name, K.LOW)
+        .when((shows == "weak_value") & value.rlike(R.WEAK_VALUE), K.MEDIUM)
+        .otherwise(F.col("entry.severity"))
+    )
+
+
+def _evidence() -> Column:
+    shows, value = F.col("entry.shows"), F.col("hit.value")
+    named = F.replace(F.col("entry.rule_id"), F.lit("SECRETS_"), F.lit(""))
+    return (
+        F.when(shows == "env_file", R.ENV_FILE_EVIDENCE)
+        .when(shows == "block", value)
+        .when(shows == "assignment", F.concat("env_name", F.lit("="), V.masked(value)))
+        .when(shows == "named", F.concat(named, F.lit("="), V.masked(value)))
+        .when(shows.isin("value", "weak_value"), V.masked(value))
+        .otherwise(X.evidence(F.col("text_line")))
+    )
+
+
 # -- plan ----------------------------------------------------------------------
 def admitted(files: DataFrame, carry=()) -> DataFrame:
     """Files to scan, routed and classified. Path and size decide, before any
@@ -258,8 +234,11 @@ def candidate_lines(routed: DataFrame, carry=()) -> DataFrame:
 
 
 def _first_of_rule(hits: Column) -> Column:
+    def rule(hit: Column) -> Column:
+        return F.substring_index(hit["key"], ":", 1)
+
     return F.filter(hits, lambda h, i: ~F.exists(
-        F.slice(hits, F.lit(1), i), lambda earlier: earlier["rule_id"] == h["rule_id"]
+        F.slice(hits, F.lit(1), i), lambda earlier: rule(earlier) == rule(h)
     ))
 
 
@@ -272,27 +251,38 @@ def match_rules(lines: DataFrame, groups=tuple(GROUPS), unique: bool = False,
     """
     is_config = F.col("ext_scanner") == "config"
     any_name = "|".join(K.NAMED_SECRETS)
+    hits = [h for g in groups for h in GROUPS[g]()] or [f"cast(null AS {_HIT_TYPE})"]
     staged = (
         lines
-        .withColumn("env_name", F.when(
-            is_config, F.regexp_extract("text_line", R.ENV_ASSIGNMENT, 1)).otherwise(""))
+        .withColumns({
+            "env_name": F.when(
+                is_config, F.regexp_extract("text_line", R.ENV_ASSIGNMENT, 1)).otherwise(""),
+            "named": F.col("run_secrets") & F.col("text_line").rlike(
+                f"(?i){R.NOT_IN_A_WORD}(?:{any_name}){R.SECRET_VALUE_AFTER_NAME}"),
+        })
         .withColumn("env_value", F.when(
             F.col("env_name") != "",
             V.clean_value(F.regexp_extract("text_line", R.ENV_ASSIGNMENT, 2))))
-        .withColumn("named", F.col("run_secrets") & F.col("text_line").rlike(
-            f"(?i){R.NOT_IN_A_WORD}(?:{any_name}){R.SECRET_VALUE_AFTER_NAME}"))
+        .withColumns({
+            "env_placeholder": V.is_placeholder(F.col("env_value")),
+            "env_public": F.upper("env_name").startswith("NEXT_PUBLIC_"),
+        })
+        .withColumn("hits", F.expr(f"filter(array({', '.join(hits)}), h -> h IS NOT NULL)"))
     )
-    hits = [h for g in groups for h in GROUPS[g]()] or [F.lit(None).cast(_HIT_TYPE)]
-    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    if unique:
-        staged = staged.withColumn("_hits", found)
-        found = _first_of_rule(F.col("_hits"))
-    found = staged.withColumn("hit", F.explode(found))
-    return found.select(
-        "repo_id", "file", (F.col("pos") + 1).cast("int").alias("line"),
-        "hit.disc_ord", "hit.rule_id", "hit.title", "hit.severity", "hit.category",
-        F.coalesce("hit.evidence", X.evidence(F.col("text_line"))).alias("evidence"),
-        "hit.recommendation", "file_context", *carry,
+    found = _first_of_rule(F.col("hits")) if unique else F.col("hits")
+    public, kind = F.col("entry.shows") == "public", V.secret_type(F.col("env_name"))
+    return (
+        staged.withColumn("hit", F.explode(found))
+        .withColumn("entry", _catalog()[F.col("hit.key")])
+        .select(
+            "repo_id", "file", (F.col("pos") + 1).cast("int").alias("line"), "hit.disc_ord",
+            F.when(public, F.concat("entry.rule_id", F.upper(kind)))
+            .otherwise(F.col("entry.rule_id")).alias("rule_id"),
+            F.when(public, F.concat("entry.title", F.lower(kind)))
+            .otherwise(F.col("entry.title")).alias("title"),
+            _severity().alias("severity"), "entry.category", _evidence().alias("evidence"),
+            "entry.recommendation", "file_context", *carry,
+        )
     )
 
 

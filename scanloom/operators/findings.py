@@ -77,13 +77,15 @@ def adjust_for_context(findings: DataFrame) -> DataFrame:
     file, rule, context = F.col("file"), F.col("rule_id"), F.col("file_context")
     return (
         findings.filter(context != K.GENERATED)
-        .withColumn("_keeps", is_env_or_config(file, rule) | (context == K.PRODUCTION))
-        .withColumn("_strong", is_high_confidence_secret(rule))
-        .withColumn("_demo", P.is_demo_fixture_path(file))
-        .withColumn("_doc", P.is_documentation_path(file))
+        .withColumns({
+            "_env": is_env_or_config(file, rule),
+            "_strong": is_high_confidence_secret(rule),
+            "_demo": P.is_demo_fixture_path(file),
+            "_doc": P.is_documentation_path(file),
+        })
         .withColumn(
             "_steps",
-            F.when(F.col("_keeps"), 0)
+            F.when(F.col("_env") | (context == K.PRODUCTION), 0)
             .when(
                 context == K.TEST_DEMO,
                 F.when(F.col("_strong"), 0).otherwise(1) + F.col("_demo").cast("int"),
@@ -94,7 +96,7 @@ def adjust_for_context(findings: DataFrame) -> DataFrame:
         )
         .withColumn(
             "adjusted_severity_reason",
-            F.when(is_env_or_config(file, rule), K.REASON_ENV)
+            F.when(F.col("_env"), K.REASON_ENV)
             .when(context == K.PRODUCTION, K.REASON_PRODUCTION)
             .when(
                 context == K.TEST_DEMO,
@@ -113,7 +115,7 @@ def adjust_for_context(findings: DataFrame) -> DataFrame:
                     F.lit(len(K.SEVERITIES) - 1)),
         )
         .withColumn("severity", severity_name(F.col("sev_rank")))
-        .drop("_keeps", "_strong", "_demo", "_doc", "_steps")
+        .drop("_env", "_strong", "_demo", "_doc", "_steps")
     )
 
 

@@ -126,6 +126,23 @@ ENV_SECRET_RECOMMENDATION = (
     "variables."
 )
 
+# id, title, severity, category, recommendation, evidence source
+CONFIG_FINDINGS = (
+    ("CONFIG_ENV_FILE", ENV_FILE_TITLE, K.HIGH, K.EXPOSURE, ENV_FILE_RECOMMENDATION, "env_file"),
+    ("CONFIG_EXAMPLE_NEXT_PUBLIC_PLACEHOLDER", "NEXT_PUBLIC variable uses secret-like name",
+     K.LOW, K.EXPOSURE, EXAMPLE_ENV_RECOMMENDATION, "line"),
+    ("CONFIG_EXAMPLE_NEXT_PUBLIC_SECRET_LIKE",
+     "Example environment file contains public secret-like variable", K.MEDIUM, K.EXPOSURE,
+     EXAMPLE_ENV_RECOMMENDATION, "line"),
+    ("CONFIG_EXAMPLE_ENV_SECRET_LIKE_VALUE",
+     "Example env file should use clear placeholder values", K.LOW, K.EXPOSURE,
+     EXAMPLE_ENV_RECOMMENDATION, "assignment"),
+    ("CONFIG_NEXT_PUBLIC_", "NEXT_PUBLIC_ variable with ", K.HIGH, K.EXPOSURE,
+     NEXT_PUBLIC_RECOMMENDATION, "public"),
+    ("CONFIG_ENV_SECRET_LIKE_VALUE", "Environment file contains secret-like variable",
+     K.HIGH, K.SECRETS, ENV_SECRET_RECOMMENDATION, "assignment"),
+)
+
 # -- secret rules. The scanner they replace is not available; ids, titles and
 #    severities follow its documented behavior, patterns and texts are ours. ----
 SECRET_VALUE_AFTER_NAME = r"""["']?\s*[=:]\s*["']?([^\s"'#,;]{5,})"""
@@ -167,6 +184,37 @@ SECRET_VALUES = (
                 r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
 )
 
+def catalog_entries() -> dict[str, dict[str, str]]:
+    """Catalog key -> texts of the finding. ``shows`` tells where its evidence comes
+    from: the line, the matched value, or a fixed text."""
+    out: dict[str, dict[str, str]] = {}
+
+    def add(key, rule_id, title, severity, category, recommendation, shows="line"):
+        out[key] = {"rule_id": rule_id, "title": title, "severity": severity,
+                    "category": category, "recommendation": recommendation, "shows": shows}
+
+    for rule in (*JAVASCRIPT_RULES, *PYTHON_CALL_RULES, *PYTHON_LINE_RULES, *_extra_rules):
+        add(rule.id, rule.id, rule.title, rule.severity, rule.category, rule.recommendation)
+    for i, rule in enumerate(CORS_RULES):
+        add(f"{rule.id}:{i}", rule.id, rule.title, rule.severity, rule.category,
+            rule.recommendation)
+    for key, severity in ((SUBPROCESS_RULE_ID, K.CRITICAL), (f"{SUBPROCESS_RULE_ID}:static", K.HIGH)):
+        add(key, SUBPROCESS_RULE_ID, SUBPROCESS_TITLE, severity, K.DANGEROUS_CODE,
+            SUBPROCESS_RECOMMENDATION)
+    for id_, title, severity, category, recommendation, shows in CONFIG_FINDINGS:
+        # the public rule's id and title end in the kind of secret, added per finding
+        key = "CONFIG_NEXT_PUBLIC" if shows == "public" else id_
+        add(key, id_, title, severity, category, recommendation, shows)
+    for name in K.NAMED_SECRETS:
+        add(f"SECRETS_{name}", f"SECRETS_{name}", named_secret_title(name), K.CRITICAL, K.SECRETS,
+            SECRET_RECOMMENDATION, "named")
+    for value in SECRET_VALUES:
+        shows = ("block" if value.id.endswith("_BLOCK") else
+                 "weak_value" if value.weak_is_medium else "value")
+        add(value.id, value.id, value.title, K.CRITICAL, K.SECRETS, SECRET_RECOMMENDATION, shows)
+    return out
+
+
 # A line that matches no hint cannot match a built-in rule: keep this a superset.
 # Nearly all lines of a corpus end here, so speed matters: each hint is anchored on
 # its rarest letter (look-behind for the rest), and one character class test rejects

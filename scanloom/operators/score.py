@@ -54,9 +54,11 @@ def repeat_multipliers(findings: DataFrame, order=N.SORT_KEY, lanes: int = N.LAN
 
     return (
         spread
-        .withColumn("rule_pct", pct("rule_id", K.RULE_REPEAT_PCT))
-        .withColumn("severity_pct", pct("severity", K.SEVERITY_REPEAT_PCT))
-        .withColumn("category_pct", pct("category", K.CATEGORY_REPEAT_PCT))
+        .withColumns({
+            "rule_pct": pct("rule_id", K.RULE_REPEAT_PCT),
+            "severity_pct": pct("severity", K.SEVERITY_REPEAT_PCT),
+            "category_pct": pct("category", K.CATEGORY_REPEAT_PCT),
+        })
         .withColumn("repeat_pct", F.least("rule_pct", "severity_pct", "category_pct"))
         .drop("lane", "nth", "rank_lane")
     )
@@ -107,9 +109,11 @@ def with_penalties(findings: DataFrame, order=N.SORT_KEY, lanes: int = N.LANES)
     return (
         repeat_multipliers(findings, order, lanes)
         .withColumn("is_env", N.is_env_or_config(file, F.col("rule_id")))
-        .withColumn("context_pct", context_pct)
-        .withColumn("bucket", bucket)
-        .withColumn("critical_bucket", critical_bucket)
+        .withColumns({
+            "context_pct": context_pct, "bucket": bucket, "critical_bucket": critical_bucket,
+            "is_example": N.is_example_finding(file, F.col("rule_id"), context),
+            "score_cap": _score_cap(),
+        })
         .withColumn(
             "penalty_units",
             (weight * F.col("repeat_pct") * F.col("context_pct")).cast("bigint"),
@@ -118,13 +122,8 @@ def with_penalties(findings: DataFrame, order=N.SORT_KEY, lanes: int = N.LANES)
     )
 
 
-def _points(units: Column, digits: int) -> Column:
-    """Units to points, rounded half to even."""
-    return F.bround(units.cast("decimal(18,0)") / F.lit(UNITS).cast("decimal(5,0)"), digits)
-
-
-# -- per-repository measures ---------------------------------------------------
-def _ceiling() -> Column:
+def _score_cap() -> Column:
+    """The best score a repository with this finding can have."""
     rule, severity = F.upper("rule_id"), F.col("severity")
     return _first_true(
         [
@@ -140,107 +139,107 @@ def _ceiling() -> Column:
     )
 
 
-def _measures() -> dict[str, tuple]:
-    """name -> (value per finding, aggregate). Every aggregate can be applied again to
-    its own results, so partial groups may be merged in any number of steps."""
-    severity, units = F.col("severity"), F.col("penalty_units")
-    critical = severity == K.CRITICAL
-    example = N.is_example_finding(F.col("file"), F.col("rule_id"), F.col("file_context"))
-    rule = F.upper("rule_id")
-    real_critical = critical & ~example
-    confirmed = critical & (F.col("file_context") == K.PRODUCTION) & ~example
-    category_bit = _first_true(
-        [(F.col("category") == c, 1 << i) for i, c in enumerate(K.CATEGORIES)],
-        1 << len(K.CATEGORIES),
-    )
+def _points(units: Column, digits: int) -> Column:
+    """Units to points, rounded half to even."""
+    return F.bround(units.cast("decimal(18,0)") / F.lit(UNITS).cast("decimal(5,0)"), digits)
+
+
+# -- per-repository measures ---------------------------------------------------
+def _measure_table() -> dict[str, tuple[str, str]]:
+    """name -> (SQL value per finding, aggregate). Every aggregate can be applied again
+    to its own results, so partial groups may be merged in any number of steps."""
+    critical = f"severity = '{K.CRITICAL}'"
+    real = f"{critical} AND NOT is_example"
+    bits = " ".join(f"WHEN '{c}' THEN {1 << i}" for i, c in enumerate(K.CATEGORIES))
+
+    def count(condition: str) -> tuple[str, str]:
+        return f"if({condition}, 1L, 0L)", "sum"
 
-    def count(condition: Column) -> tuple:
-        return F.when(condition, 1).otherwise(0).cast("bigint"), F.sum
+    def units(condition: str) -> tuple[str, str]:
+        return f"if({condition}, penalty_units, 0L)", "sum"
 
-    def units_if(condition: Column) -> tuple:
-        return F.when(condition, units).otherwise(0).cast("bigint"), F.sum
+    def mentions(keywords) -> str:
+        return f"upper(rule_id) RLIKE '{'|'.join(keywords)}'"
 
-    out = {"total": (F.lit(1).cast("bigint"), F.sum)}
-    for name in K.SEVERITIES:
-        out[name] = count(severity == name)
+    out = {"total": ("1L", "sum")}
+    out |= {name: count(f"severity = '{name}'") for name in K.SEVERITIES}
     for bucket in ("production", "env_config", "test_demo", "documentation_template"):
-        out[f"{bucket}_units"] = units_if(F.col("bucket") == bucket)
+        out[f"{bucket}_units"] = units(f"bucket = '{bucket}'")
     for bucket in ("production", "env_config", "test_demo", "docs_template",
                    "generated_dependency"):
-        out[f"{bucket}_critical"] = count(critical & (F.col("critical_bucket") == bucket))
-    out["low_units"] = units_if(severity == K.LOW)
-    out["other_units"] = units_if(severity != K.LOW)
-    out["exposed_high"] = count(
-        (severity == K.HIGH) & F.col("bucket").isin("production", "env_config")
-    )
-    out["confirmed_critical"] = count(confirmed)
-    out["ceiling"] = (_ceiling(), F.min)
-    out["least_repeat_pct"] = (F.col("repeat_pct"), F.min)
-    out["real_critical"] = count(real_critical)
-    out["real_critical_categories"] = (
-        F.when(real_critical, category_bit).otherwise(0), F.bit_or)
-    out["catastrophic_rules"] = count(real_critical & rule.rlike("|".join(K.CATASTROPHIC_KEYWORDS)))
-    out["code_execution_rules"] = count(
-        real_critical & rule.rlike("|".join(K.CODE_EXECUTION_KEYWORDS)))
-    out["top_sev_rank"] = (N.severity_rank(severity), F.min)
+        out[f"{bucket}_critical"] = count(f"{critical} AND critical_bucket = '{bucket}'")
+    out |= {
+        "low_units": units(f"severity = '{K.LOW}'"),
+        "other_units": units(f"severity <> '{K.LOW}'"),
+        "exposed_high": count(
+            f"severity = '{K.HIGH}' AND bucket IN ('production', 'env_config')"),
+        "confirmed_critical": count(f"{real} AND file_context = '{K.PRODUCTION}'"),
+        "ceiling": ("score_cap", "min"),
+        "least_repeat_pct": ("repeat_pct", "min"),
+        "real_critical": count(real),
+        "real_critical_categories": (
+            f"if({real}, CASE category {bits} ELSE {1 << len(K.CATEGORIES)} END, 0)", "bit_or"),
+        "catastrophic_rules": count(f"{real} AND {mentions(K.CATASTROPHIC_KEYWORDS)}"),
+        "code_execution_rules": count(f"{real} AND {mentions(K.CODE_EXECUTION_KEYWORDS)}"),
+        "top_sev_rank": (
+            " ".join(["CASE severity", *(f"WHEN '{s}' THEN {i}"
+                                         for i, s in enumerate(K.SEVERITIES)), "END"]), "min"),
+    }
     return out
 
 
-def measures(penalized: DataFrame, by=("repo_id",), extra=()) -> DataFrame:
-    """Additive measures per group; the first step combines before the shuffle."""
-    table = _measures()
-    staged = penalized.select(*by, *extra, *(value.alias(name) for name, (value, _) in
-                                             table.items()))
-    return staged.groupBy(*by).agg(
-        *(agg(name).alias(name) for name, (_, agg) in table.items()),
-        *(F.min(c).alias(c) for c in extra),
-    )
+_MEASURES = _measure_table()
 
 
 def merged_measures() -> list[Column]:
-    """The aggregates that merge rows of ``measures`` into coarser groups."""
-    return [agg(name).alias(name) for name, (_, agg) in _measures().items()]
+    """The aggregates that turn per-finding values, or rows of ``measures``, into
+    measures of a coarser group."""
+    return [F.expr(f"{agg}({name}) AS {name}") for name, (_, agg) in _MEASURES.items()]
+
+
+def measures(penalized: DataFrame, by=("repo_id",), extra=()) -> DataFrame:
+    """Additive measures per group; the first step combines before the shuffle."""
+    values = [f"{sql} AS {name}" for name, (sql, _) in _MEASURES.items()]
+    return penalized.selectExpr(*by, *extra, *values).groupBy(*by).agg(
+        *merged_measures(), *(F.min(column).alias(column) for column in extra)
+    )
 
 
 # -- from measures to score ----------------------------------------------------
 def with_score(measured: DataFrame) -> DataFrame:
     """Deduction, score, label and message from the measures of a repository."""
-    m = F.col
+    c = F.col
     cap = F.lit(K.LOW_DEDUCTION_CAP * UNITS)
-    exposed_critical = m("production_critical") + m("env_config_critical")
     catastrophic = (
-        ((m("real_critical") >= 4) & (F.bit_count("real_critical_categories") >= 2))
-        | (m("catastrophic_rules") > 0)
-        | (m("code_execution_rules") >= 2)
+        ((c("real_critical") >= 4) & (F.bit_count("real_critical_categories") >= 2))
+        | (c("catastrophic_rules") > 0)
+        | (c("code_execution_rules") >= 2)
     )
-    ceiling = F.least(
-        m("ceiling"),
-        F.when(m("exposed_high") >= 4, 65).when(m("exposed_high") >= 2, 75).otherwise(100),
+    by_highs = F.when(c("exposed_high") >= 4, 65).when(c("exposed_high") >= 2, 75).otherwise(100)
+    deducted = c("other_units") + F.least(c("low_units"), cap)
+    extra = F.when(c("catastrophic") & (deducted >= 60 * UNITS), 30 * UNITS).otherwise(0)
+    raw_score = _points(F.lit(100 * UNITS) - c("deduction_units"), 0).cast("int")
+    # floors, in this order
+    floors = (
+        (~c("catastrophic"), 10),
+        (c("exposed_critical") < 3, 20),
+        (c("critical") - c("confirmed_critical") > c("confirmed_critical"), 40),
+        ((c("exposed_critical") == 0) & (c("production_units") + c("env_config_units") == 0), 50),
     )
-    score = m("score")
+    score = F.least(F.greatest(raw_score, F.lit(0)), c("score_ceiling"))
+    for condition, floor in floors:
+        # a floor lifts a lower score and leaves a higher one, as greatest() does
+        score = F.greatest(score, F.when(condition, floor))
     return (
         measured
-        .withColumn("exposed_critical", exposed_critical)
-        .withColumn("catastrophic", catastrophic)
-        .withColumn("deducted", m("other_units") + F.least(m("low_units"), cap))
-        .withColumn("deduction_units", m("deducted") + F.when(
-            m("catastrophic") & (m("deducted") >= 60 * UNITS), 30 * UNITS).otherwise(0))
-        .withColumn("score_ceiling", ceiling)
-        .withColumn("score", _points(F.lit(100 * UNITS) - m("deduction_units"), 0).cast("int"))
-        .withColumn("score", F.least(F.greatest(score, F.lit(0)), m("score_ceiling")))
-        # floors, in this order
-        .withColumn("score", F.when((score < 10) & ~m("catastrophic"), 10).otherwise(score))
-        .withColumn("score", F.when((m("exposed_critical") < 3) & (score < 20), 20)
-                    .otherwise(score))
-        .withColumn("score", F.when(
-            (m("critical") - m("confirmed_critical") > m("confirmed_critical")) & (score < 40), 40)
-            .otherwise(score))
-        .withColumn("score", F.when(
-            (m("exposed_critical") == 0)
-            & (m("production_units") + m("env_config_units") == 0) & (score < 50), 50)
-            .otherwise(score))
-        .withColumn("duplicate_caps_applied",
-                    (m("least_repeat_pct") < 100) | (m("low_units") > cap))
+        .withColumns({
+            "exposed_critical": c("production_critical") + c("env_config_critical"),
+            "catastrophic": catastrophic,
+            "score_ceiling": F.least(c("ceiling"), by_highs),
+            "duplicate_caps_applied": (c("least_repeat_pct") < 100) | (c("low_units") > cap),
+        })
+        .withColumn("deduction_units", deducted + extra)
+        .withColumn("score", score)
         .withColumn("risk_label", risk_label())
         .withColumn("warning_message", warning_message())
     )
@@ -299,7 +298,7 @@ def complete(measured: DataFrame, repos: DataFrame) -> DataFrame:
     ``repo_id`` once each, and columns to carry along. One row per repository on
     both sides: the join cannot be skewed."""
     joined = repos.join(measured, "repo_id", "left")
-    fills = {name: _NO_FINDINGS.get(name, 0) for name in _measures() if name != "top_sev_rank"}
+    fills = {name: _NO_FINDINGS.get(name, 0) for name in _MEASURES if name != "top_sev_rank"}
     return joined.fillna(fills)
 
 

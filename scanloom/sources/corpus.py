@@ -8,6 +8,8 @@ takes any table with the columns ``repo_id, path, content, size``.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scanloom.sources.files import spread
@@ -71,14 +73,18 @@ def snippets() -> list[str]:
     ]
 
 
+def literal_array(texts) -> Column:
+    """A constant array; one literal, folded at planning time."""
+    return F.from_json(F.lit(json.dumps(list(texts))), "array<string>")
+
+
 def hex_int(digest: Column, start: int, length: int) -> Column:
     return F.conv(F.substring(digest, start, length), 16, 10).cast("int")
 
 
 def corpus_path(doc_id: Column) -> Column:
     digest = F.md5(doc_id.cast("string"))
-    templates = F.array(*(F.lit(t) for t in PATH_TEMPLATES))
-    template = F.element_at(templates, hex_int(digest, 3, 2) % len(PATH_TEMPLATES) + 1)
+    template = F.element_at(literal_array(PATH_TEMPLATES), hex_int(digest, 3, 2) % len(PATH_TEMPLATES) + 1)
     return F.replace(template, F.lit("{d}"), doc_id.cast("string"))
 
 
@@ -86,7 +92,7 @@ def corpus_from(documents: DataFrame, second: bool = True, extra=()) -> DataFram
     """``documents`` (batch or stream) as a files table; ``second`` is for the second
     snippet, ``extra`` names columns to keep."""
     texts = snippets() + [""] * (SNIPPET_SLOTS - len(snippets()))
-    slots = F.array(*(F.lit(t) for t in texts))
+    slots = literal_array(texts)
     digest = F.md5(F.col("doc_id").cast("string"))
     first = F.element_at(slots, hex_int(digest, 1, 2) % SNIPPET_SLOTS + 1)
     another = F.element_at(slots, hex_int(digest, 5, 2) % SNIPPET_SLOTS + 1)
