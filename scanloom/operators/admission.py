@@ -27,14 +27,25 @@ def _step(acc: Column, part: Column) -> Column:
     return F.struct(now.alias("now"), F.least(acc["least"], now).alias("least"))
 
 
-def entry_reason(max_file_bytes: int = K.MAX_FILE_BYTES) -> Column:
-    """Why one entry alone rejects its archive; null if it does not."""
+# Reasons in the order they are checked for one entry.
+REASONS = ("absolute_path", "null_byte", "path_escape", "file_too_large", "total_too_large",
+           "too_many_files")
+
+
+def _verdict(code: Column) -> Column:
+    """Ordinal and reason in one number: the least of an archive is its first
+    violation, found by a plain hash aggregate."""
+    return F.col("ordinal").cast("bigint") * len(REASONS) + code
+
+
+def entry_code(max_file_bytes: int = K.MAX_FILE_BYTES) -> Column:
+    """Index of the reason why one entry alone rejects its archive; null if none does."""
     path = F.col("path")
     return (
-        F.when(path.startswith("/"), "absolute_path")
-        .when(F.contains(path, F.lit("\x00")), "null_byte")
-        .when(escapes_root(path), "path_escape")
-        .when(~F.col("is_dir") & (F.col("size") > max_file_bytes), "file_too_large")
+        F.when(path.startswith("/"), 0)
+        .when(F.contains(path, F.lit("\x00")), 1)
+        .when(escapes_root(path), 2)
+        .when(~F.col("is_dir") & (F.col("size") > max_file_bytes), 3)
     )
 
 
@@ -49,22 +60,18 @@ def archive_admission(
     Running totals are not taken over whole archives, which may be huge. Ordinal
     ranges are summed first; a window over the few range sums finds the range
     in which a limit is crossed, and only its entries are looked at one by one.
-    Expects unique ordinals within an archive.
+    Expects unique ordinals, from 0, within an archive.
     """
-    staged = (
-        entries.withColumn("range", F.expr(f"ordinal div {RANGE}"))
-        .withColumn("file_bytes", F.when(F.col("is_dir"), 0).otherwise(F.col("size")))
-        .withColumn("file_count", F.when(F.col("is_dir"), 0).otherwise(1))
-    )
+    staged = entries.withColumns({
+        "range": F.expr(f"ordinal div {RANGE}"),
+        "file_bytes": F.when(F.col("is_dir"), 0).otherwise(F.col("size")),
+        "file_count": F.when(F.col("is_dir"), 0).otherwise(1),
+    })
     alone = (
-        staged.withColumn("reason", entry_reason(max_file_bytes))
+        staged.withColumn("verdict", _verdict(entry_code(max_file_bytes)))
         .groupBy("archive_id")
-        .agg(
-            F.min(F.when(F.col("reason").isNotNull(),
-                         F.struct("ordinal", F.lit(0).alias("check"), "reason"))).alias("first"),
-            F.sum("file_count").alias("n_files"),
-            F.sum("file_bytes").alias("total_bytes"),
-        )
+        .agg(F.min("verdict").alias("alone"), F.sum("file_count").alias("n_files"),
+             F.sum("file_bytes").alias("total_bytes"))
     )
     before = (Window.partitionBy("archive_id").orderBy("range")
               .rowsBetween(Window.unboundedPreceding, -1))
@@ -72,8 +79,10 @@ def archive_admission(
     ranges = (
         staged.groupBy("archive_id", "range")
         .agg(F.sum("file_bytes").alias("range_bytes"), F.sum("file_count").alias("range_files"))
-        .withColumn("bytes_before", F.coalesce(F.sum("range_bytes").over(before), none))
-        .withColumn("files_before", F.coalesce(F.sum("range_files").over(before), none))
+        .withColumns({
+            "bytes_before": F.coalesce(F.sum("range_bytes").over(before), none),
+            "files_before": F.coalesce(F.sum("range_files").over(before), none),
+        })
     )
 
     def crossed(so_far: str, added: str, limit: int) -> Column:
@@ -87,21 +96,25 @@ def archive_admission(
               .rowsBetween(Window.unboundedPreceding, 0))
     running = (
         staged.join(crossing, ["archive_id", "range"])
-        .withColumn("bytes_so_far", F.col("bytes_before") + F.sum("file_bytes").over(within))
-        .withColumn("files_so_far", F.col("files_before") + F.sum("file_count").over(within))
+        .withColumns({
+            "bytes_so_far": F.col("bytes_before") + F.sum("file_bytes").over(within),
+            "files_so_far": F.col("files_before") + F.sum("file_count").over(within),
+        })
         .filter(~F.col("is_dir"))
-        .withColumn("reason", F.when(F.col("bytes_so_far") > max_total_bytes, "total_too_large")
-                    .when(F.col("files_so_far") > max_files, "too_many_files"))
-        .filter(F.col("reason").isNotNull())
+        .withColumn("verdict", _verdict(
+            F.when(F.col("bytes_so_far") > max_total_bytes, 4)
+            .when(F.col("files_so_far") > max_files, 5)))
         .groupBy("archive_id")
-        .agg(F.min(F.struct("ordinal", F.lit(1).alias("check"), "reason")).alias("crossing"))
+        .agg(F.min("verdict").alias("in_total"))
     )
-    first = F.least("first", "crossing")  # least skips nulls
+    first = F.least("alone", "in_total")  # least skips nulls
+    names = F.array(*(F.lit(r) for r in REASONS))
     return alone.join(running, "archive_id", "left").select(
         "archive_id", "n_files", "total_bytes",
         first.isNull().alias("accepted"),
-        first["reason"].alias("reason"),
-        first["ordinal"].alias("reject_ordinal"),
+        F.when(first.isNotNull(),
+               F.element_at(names, (first % len(REASONS) + 1).cast("int"))).alias("reason"),
+        F.expr(f"least(alone, in_total) div {len(REASONS)}").alias("reject_ordinal"),
     )
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from scanloom import constants as K
 from scanloom.functions import paths as P
 
-SCAN, PRUNED, SKIPPED, TOO_LARGE = "scan", "pruned_directory", "not_scannable", "too_large"
+SCAN, PRUNED, SKIPPED, TOO_LARGE, UNREADABLE = (
+    "scan", "pruned_directory", "not_scannable", "too_large", "unreadable",
+)
 
 
 def with_decision(files: DataFrame) -> DataFrame:
@@ -18,6 +20,7 @@ def with_decision(files: DataFrame) -> DataFrame:
         F.when(P.is_pruned(path), PRUNED)
         .when(P.is_skipped(path), SKIPPED)
         .when(F.col("size") > K.MAX_FILE_BYTES, TOO_LARGE)
+        .when(F.col("size").isNull(), UNREADABLE)
         .otherwise(SCAN),
     )
 

@@ -1,57 +1,126 @@
-"""Reading source trees and writing scan results."""
+"""Reading source trees and writing scan results.
 
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+Spark's file sources skip names that start with a dot or an underscore, which is
+where a scanner has most to find (``.env``). So trees are listed level by level
+with a small listing helper, one Spark job per level, and contents are read by the
+tasks that hold the listed rows. The driver never sees a listing.
+"""
 
-from scanloom import constants as K
-from scanloom.functions.text import decode_utf8
+from __future__ import annotations
 
-# Directories below a root are repositories: <root>/<repo_id>/<path in the repo>.
+import itertools
+import os
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-def _tree_columns(raw: DataFrame, root: str) -> DataFrame:
-    # "file:/x" and "/x" name the same root; cut everything up to it
-    base = root.split(":", 1)[-1].rstrip("/")
-    inside = F.expr(
-        "substring(path, instr(path, {0}) + length({0}))".format(_sql_text(base + "/"))
-    )
-    return raw.select(
+from scanloom.functions.text import decode_utf8
+from scanloom.operators.inventory import SCAN, with_decision
+from scanloom.plans.workspace import materialize
+
+_CHILDREN = "uri string, is_dir boolean, size bigint"
+_CHUNK_ROWS = 10_000
+_CHUNK_BYTES = 16 * 1024 * 1024
+
+
+def _children(uri: str) -> Iterator[tuple[str, bool, int | None]]:
+    """What a directory holds. Links to directories are left out: they may form cycles."""
+    filesystem, base = pafs.FileSystem.from_uri(uri)
+    prefix = uri[: len(uri) - len(base)]
+    if filesystem.type_name == "local":
+        for entry in os.scandir(base):
+            if entry.is_dir():
+                if not entry.is_symlink():
+                    yield prefix + entry.path, True, None
+            else:
+                readable = entry.is_file()  # false for broken links
+                yield prefix + entry.path, False, entry.stat().st_size if readable else None
+    else:
+        for info in filesystem.get_file_info(pafs.FileSelector(base)):
+            is_dir = info.type == pafs.FileType.Directory
+            yield prefix + info.path, is_dir, None if is_dir else info.size
+
+
+def _list_children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for uri in batch.column("uri").to_pylist():
+            children = _children(uri)
+            while rows := list(itertools.islice(children, _CHUNK_ROWS)):
+                uris, dirs, sizes = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(uris, pa.string()), pa.array(dirs, pa.bool_()),
+                     pa.array(sizes, pa.int64())],
+                    names=["uri", "is_dir", "size"],
+                )
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """``repo_id, path, size, uri`` of every file under ``root``; the directories
+    directly below it are the repositories. Enough for inventory and statistics."""
+    root = root.rstrip("/")
+    level = spark.createDataFrame([(root,)], "uri string")
+    found = []
+    while True:
+        children = materialize(level.mapInArrow(_list_children, _CHILDREN), "listing")
+        found.append(children.filter(~F.col("is_dir")))
+        folders = children.filter("is_dir").select("uri")
+        if folders.isEmpty():
+            break
+        level = folders.repartition("uri")
+    inside = F.substring(F.col("uri"), len(root) + 2, 1 << 30)
+    return reduce(DataFrame.union, found).select(
         F.substring_index(inside, "/", 1).alias("repo_id"),
-        F.regexp_replace(inside, r"^[^/]*/", "").alias("path"),
-        F.when(F.col("length") <= K.MAX_FILE_BYTES, decode_utf8(F.col("content"))).alias("content"),
-        F.col("length").alias("size"),
+        F.regexp_replace(inside, r"\A[^/]*/", "").alias("path"),
+        "size", "uri",
     )
 
 
-def _sql_text(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """All files under ``root``, recursively, one repository per top directory.
-
-    The content of a file over the size limit is not decoded: the inventory
-    reports it as too large and no rule looks at it. A query that keeps only
-    paths and sizes never opens the files.
-    """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add file contents. Output batches are cut by bytes, so that memory does not
+    depend on how many rows arrive together."""
+    for batch in batches:
+        rows, held = [], 0
+        for row in batch.to_pylist():
+            raw = None
+            if row.pop("wanted"):
+                try:
+                    filesystem, path = pafs.FileSystem.from_uri(row["uri"])
+                    with filesystem.open_input_stream(path) as stream:
+                        raw = stream.read()
+                except OSError:  # gone or unreadable: no content, no findings
+                    raw = None
+            rows.append({**row, "raw": raw})
+            held += len(raw or b"")
+            if held >= _CHUNK_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, schema=_READ_ARROW)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_READ_ARROW)
+
+
+_READ_ARROW = pa.schema([("repo_id", pa.string()), ("path", pa.string()), ("size", pa.int64()),
+                         ("uri", pa.string()), ("raw", pa.binary())])
+_READ_TYPE = "repo_id string, path string, size bigint, uri string, raw binary"
+
+
+def read_contents(listing: DataFrame) -> DataFrame:
+    """A files table from listed files (batch, or a stream of manifests). Only files
+    that will be scanned are opened."""
+    wanted = with_decision(listing).select(
+        "repo_id", "path", "size", "uri", (F.col("decision") == SCAN).alias("wanted")
+    )
+    return wanted.mapInArrow(_read, _READ_TYPE).select(
+        "repo_id", "path", decode_utf8(F.col("raw")).alias("content"), "size"
     )
-    return _tree_columns(raw, root)
 
 
-def stream_tree(spark: SparkSession, root: str, max_files_per_trigger: int = 10_000) -> DataFrame:
-    """The same table as an unbounded stream of arriving files."""
-    raw = (
-        spark.readStream.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .load(root)
-    )
-    return _tree_columns(raw, root)
+def read_tree(spark: SparkSession, root: str) -> DataFrame:
+    """All files under ``root`` with the contents of those that will be scanned. The
+    listing is spread by path, so a large repository is read by many tasks."""
+    return read_contents(list_tree(spark, root).repartition("uri"))
 
 
 def spread(table: DataFrame, key: str) -> DataFrame:
@@ -67,7 +136,7 @@ def spread(table: DataFrame, key: str) -> DataFrame:
 
 
 def write_result(result: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                 partition_by: Column | str | None = None) -> None:
+                 partition_by: str | None = None) -> None:
     writer = result.write.mode(mode).format(fmt)
     if partition_by is not None:
         writer = writer.partitionBy(partition_by)
