@@ -41,16 +41,16 @@ def evidence(line: Column, chars: int = EVIDENCE_CHARS) -> Column:
     return F.concat(F.substring(s, 1, chars), F.when(F.length(s) > chars, "...").otherwise(""))
 
 
-# One alternation, leftmost match first: whichever of string, comment or
-# definition starts earliest hides the others inside it.
-_PY_TOKEN = "|".join([
-    r'"""(?:[^"\\]++|\\[\s\S]|"{1,2}(?:[^"\\]|\\[\s\S]))*+"""',
-    r"'''(?:[^'\\]++|\\[\s\S]|'{1,2}(?:[^'\\]|\\[\s\S]))*+'''",
+# One alternation, leftmost match first: whichever string or comment starts earliest
+# hides the others inside it. The look-ahead rejects most positions at once.
+_PY_TOKEN = "(?=[\"'#])(?:" + "|".join([
+    r'''"""(?:[^"\\]++|\\[\s\S]|"{1,2}(?:[^"\\]|\\[\s\S]))*+"""''',
+    r"""'''(?:[^'\\]++|\\[\s\S]|'{1,2}(?:[^'\\]|\\[\s\S]))*+'''""",
     r'"(?:[^"\\\n]++|\\[\s\S])*+"',
     r"'(?:[^'\\\n]++|\\[\s\S])*+'",
     r"#[^\n]*",
-    r"\b(?:def|class)[ \t]+\w+",
-])
+]) + ")"
+_DEFINITION = r"\b(?:def|class)[ \t]+\w+"
 
 
 def mask_python(text: Column) -> Column:
@@ -60,11 +60,11 @@ def mask_python(text: Column) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(_PY_TOKEN), F.lit(0))
 
     def join(code: Column, token: Column) -> Column:
-        is_string = F.left(token, F.lit(1)).isin('"', "'")
-        return F.concat(
-            code,
-            F.when(is_string, '""').otherwise(""),
-            F.coalesce(F.regexp_replace(token, r"[^\n]+", ""), F.lit("")),
+        return (
+            F.when(token.isNull(), code)
+            .when(token.startswith("#"), code)
+            .otherwise(F.concat(code, F.lit('""'), F.regexp_replace(token, r"[^\n]+", "")))
         )
 
-    return F.array_join(F.zip_with(code_parts, tokens, join), "")
+    code = F.array_join(F.zip_with(code_parts, tokens, join), "")
+    return F.regexp_replace(code, _DEFINITION, "")

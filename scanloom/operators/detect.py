@@ -42,9 +42,15 @@ _LITERAL_FIRST_ARG = (
 )
 
 
-def marked_python_code(text: Column) -> Column:
+def _may_call(text: Column) -> Column:
+    """Could Python source hold a call that a rule looks for? Only such files are masked."""
+    bare = F.contains(text, F.lit("eval")) | F.contains(text, F.lit("exec"))
+    shell = F.contains(text, F.lit("subprocess")) & F.contains(text, F.lit("shell"))
+    return (bare & text.rlike(r"(?:^|[^.\w])e(?:val|xec)\s*\(")) | shell
+
+
+def marked_shell_calls(code: Column) -> Column:
     """Masked source with a marker before every subprocess call that uses a shell."""
-    code = X.mask_python(F.translate(text, _DYNAMIC + _STATIC, "  "))
     marked = F.regexp_replace(code, _SHELL_CALL, _DYNAMIC)
     return F.regexp_replace(
         marked, f"{_DYNAMIC}(?={_CALL_HEAD}{_LITERAL_FIRST_ARG})", _STATIC
@@ -204,11 +210,9 @@ def admitted(files: DataFrame, carry=()) -> DataFrame:
 
 def candidate_lines(routed: DataFrame, carry=()) -> DataFrame:
     """The lines that may match a rule, with their masked code where it matters."""
-    # only Python files that name one of the calls pay for masking
-    has_calls = (F.col("ext_scanner") == "python") & reduce(
-        lambda a, b: a | b,
-        (F.contains(F.col("text"), F.lit(word)) for word in ("eval", "exec", "subprocess")),
-    )
+    masks = (F.col("ext_scanner") == "python") & _may_call(F.col("text"))
+    if any(rule.on_code for rule in R.extra_rules()):
+        masks = F.col("ext_scanner") == "python"
     hint = F.col("text_line").rlike(R.LINE_HINTS)
     for rule in R.extra_rules():
         hint = hint | (F.col("code").rlike(rule.regex) if rule.on_code
@@ -218,13 +222,16 @@ def candidate_lines(routed: DataFrame, carry=()) -> DataFrame:
             "example_env", *carry]
     return (
         routed
-        .withColumn("text", X.unix_newlines(F.col("content")))
-        .withColumn("real_env", P.is_real_env_name(name))
-        .withColumn("example_env", P.is_example_env_name(name))
-        .withColumn(
-            "code_lines",
-            F.when(has_calls, F.split(marked_python_code(F.col("text")), "\n", -1)),
-        )
+        .withColumns({
+            "text": X.unix_newlines(F.col("content")),
+            "real_env": P.is_real_env_name(name),
+            "example_env": P.is_example_env_name(name),
+        })
+        .withColumn("masked", F.when(
+            masks, X.mask_python(F.translate("text", _DYNAMIC + _STATIC, "  "))))
+        .withColumn("code_lines", F.split(
+            F.when(F.contains("masked", F.lit("subprocess")), marked_shell_calls(F.col("masked")))
+            .otherwise(F.col("masked")), "\n", -1))
         .select(*keep, "code_lines",
                 F.posexplode(F.split("text", "\n", -1)).alias("pos", "text_line"))
         .withColumn("code", F.col("code_lines")[F.col("pos")])
@@ -246,8 +253,8 @@ def match_rules(lines: DataFrame, groups=tuple(GROUPS), unique: bool = False,
                 carry=()) -> DataFrame:
     """Raw findings of the candidate lines, for some or all rule groups.
 
-    ``unique`` keeps the first finding of a rule on a line right here. That replaces
-    de-duplication where every line is seen once, as within one micro-batch.
+    ``unique`` keeps only the first finding of a rule on a line. Where every file is
+    listed once this is all the de-duplication there is to do.
     """
     is_config = F.col("ext_scanner") == "config"
     any_name = "|".join(K.NAMED_SECRETS)
@@ -267,9 +274,13 @@ def match_rules(lines: DataFrame, groups=tuple(GROUPS), unique: bool = False,
             "env_placeholder": V.is_placeholder(F.col("env_value")),
             "env_public": F.upper("env_name").startswith("NEXT_PUBLIC_"),
         })
-        .withColumn("hits", F.expr(f"filter(array({', '.join(hits)}), h -> h IS NOT NULL)"))
     )
-    found = _first_of_rule(F.col("hits")) if unique else F.col("hits")
+    # What is exploded must be an expression: for a bare column Spark would infer a
+    # non-empty filter, push it down, and match every rule a second time there.
+    found = F.expr(f"filter(array({', '.join(hits)}), h -> h IS NOT NULL)")
+    if unique:
+        staged = staged.withColumn("hits", found)
+        found = _first_of_rule(F.col("hits"))
     public, kind = F.col("entry.shows") == "public", V.secret_type(F.col("env_name"))
     return (
         staged.withColumn("hit", F.explode(found))

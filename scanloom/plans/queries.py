@@ -35,7 +35,7 @@ def corpus_scan(spark: SparkSession, sf_dir: str) -> ScanResult:
 
 
 def final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.final_findings(M.detect(read_corpus(spark, sf_dir)))
+    return N.final_findings(M.detect(read_corpus(spark, sf_dir), unique=True))
 
 
 def scored_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,7 +334,7 @@ def incremental_changed_files(spark, sf_dir):
 
 
 def scan_diff(spark, sf_dir):
-    before = N.final_findings(M.detect(_before(spark, sf_dir)))
+    before = N.final_findings(M.detect(_before(spark, sf_dir), unique=True))
     return C.scan_diff(before, final(spark, sf_dir))
 
 

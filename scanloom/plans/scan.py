@@ -43,7 +43,7 @@ class ScanResult:
 
 def scan(files: DataFrame) -> ScanResult:
     """``files(repo_id, path, content, size)`` to findings and per-repository risk."""
-    return ScanResult(files, S.with_penalties(N.final_findings(D.detect(files))))
+    return ScanResult(files, S.with_penalties(N.final_findings(D.detect(files, unique=True))))
 
 
 def nested_by_file(result: ScanResult) -> DataFrame:
