@@ -32,6 +32,8 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        # the queries together generate more classes than the default cache holds
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         # Column calls otherwise look up their call site in Python each time
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

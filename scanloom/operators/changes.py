@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from scanloom.plans.workspace import materialize
+
 FINDING_KEY = ["repo_id", "rule_id", "file", "line"]
 
 
@@ -12,13 +14,21 @@ def manifest(files: DataFrame) -> DataFrame:
     return files.select("repo_id", "path", F.sha2("content", 256).alias("content_sha"))
 
 
+def changed_keys(files: DataFrame, last_manifest: DataFrame) -> DataFrame:
+    """Manifest rows of files that are new or differ from the last scan. Digests are
+    taken where the files are read; only they are shuffled. Keys are unique, so the anti
+    join has no hot key."""
+    return manifest(files).join(last_manifest, ["repo_id", "path", "content_sha"], "left_anti")
+
+
 def changed_files(files: DataFrame, last_manifest: DataFrame) -> DataFrame:
-    """Files that are new or differ from the last scan. Only digests are shuffled to
-    find them; the anti join's keys are unique, so no key is hot."""
-    return (
-        files.withColumn("content_sha", F.sha2("content", 256))
-        .join(last_manifest, ["repo_id", "path", "content_sha"], "left_anti")
-    )
+    """The files to scan again, with their contents.
+
+    The changed keys are written first: with their size known Spark broadcasts them if
+    they are few, and contents stay where they are.
+    """
+    keys = materialize(changed_keys(files, last_manifest), "changed")
+    return files.join(keys.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
 
 
 def removed_files(files: DataFrame, last_manifest: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from scanloom.functions import paths as P
 
 SORT_KEY = ("sev_rank", "file", "line", "disc_ord")
 
-# Findings of one repository are spread over this many shuffle lanes, so that a
+# Findings of one repository are spread over this many lanes by file, so that a
 # repository holding a large share of all findings is not one task.
 LANES = 256
 
@@ -30,17 +30,15 @@ def lane_of(file: Column, lanes: int = LANES) -> Column:
     return F.pmod(F.xxhash64(file), F.lit(lanes)).cast("int")
 
 
-def dedup(findings: DataFrame, lanes: int = LANES) -> DataFrame:
+def dedup(findings: DataFrame) -> DataFrame:
     """First discovered finding per repository, file, line and rule.
 
-    The lane is a function of the file, so it splits no duplicate group. The column
-    stays: repeat ranks work on the same lanes and then need no shuffle of their own.
+    The row-number filter lets Spark drop repeats within each task before the
+    shuffle, so a file that is listed very often does not make one task large.
     """
-    by_line = Window.partitionBy("repo_id", "lane", "file", "rule_id", "line").orderBy("disc_ord")
+    by_line = Window.partitionBy("repo_id", "file", "rule_id", "line").orderBy("disc_ord")
     return (
-        findings.withColumn("lane", lane_of(F.col("file"), lanes))
-        .repartition("repo_id", "lane")
-        .withColumn("copy", F.row_number().over(by_line))
+        findings.withColumn("copy", F.row_number().over(by_line))
         .filter(F.col("copy") == 1)
         .drop("copy")
     )

@@ -6,6 +6,7 @@ each pattern is compiled once per task and no rules table is joined to lines.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -238,6 +239,14 @@ _extra_scanners: list[Scanner] = []
 
 def register_rule(rule: Rule) -> None:
     """Add a line rule; every later ``detect`` applies it."""
+    if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_.-]*", rule.id):
+        raise ValueError(f"rule id must be a plain name: {rule.id!r}")
+    if rule.id in {entry["rule_id"] for entry in catalog_entries().values()}:
+        raise ValueError(f"rule id is taken: {rule.id}")
+    if not rule.scanners or set(rule.scanners) - {"python", "javascript", "config", "secrets"}:
+        raise ValueError(f"unknown scanners: {rule.scanners}")
+    if rule.severity not in K.SEVERITIES:
+        raise ValueError(f"unknown severity: {rule.severity}")
     _extra_rules.append(rule)
 
 

@@ -32,15 +32,17 @@ def _pct(earlier: Column, table) -> Column:
 
 def repeat_multipliers(findings: DataFrame, order=N.SORT_KEY, lanes: int = N.LANES) -> DataFrame:
     """Add ``rule_pct``, ``severity_pct``, ``category_pct`` and their least,
-    ``repeat_pct``. ``order`` must order the findings of a repository totally."""
+    ``repeat_pct``. ``order`` must order the findings of a repository totally.
+
+    The shared ranking lane of a repository holds at most lanes x 3 rows per rule,
+    severity and category, however large the repository is."""
     keys = [F.col(c) for c in order]
-    if "lane" not in findings.columns:
-        findings = findings.withColumn("lane", N.lane_of(F.col("file"), lanes))
     nth = F.row_number().over(
         Window.partitionBy("repo_id", "lane", "rule_id", "severity", "category").orderBy(*keys)
     )
     spread = (
-        findings.withColumn("nth", nth)
+        findings.withColumn("lane", N.lane_of(F.col("file"), lanes))
+        .withColumn("nth", nth)
         # lane -1 gathers what may still rank among the first; the rest stays spread
         .withColumn("rank_lane", F.when(F.col("nth") <= _DEPTH, -1).otherwise(F.col("lane")))
         .repartition("repo_id", "rank_lane")

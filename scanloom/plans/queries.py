@@ -329,8 +329,7 @@ def _before(spark, sf_dir) -> DataFrame:
 
 
 def incremental_changed_files(spark, sf_dir):
-    changed = C.changed_files(read_corpus(spark, sf_dir), C.manifest(_before(spark, sf_dir)))
-    return changed.select("repo_id", "path", "content_sha")
+    return C.changed_keys(read_corpus(spark, sf_dir), C.manifest(_before(spark, sf_dir)))
 
 
 def scan_diff(spark, sf_dir):

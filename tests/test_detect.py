@@ -198,3 +198,12 @@ def test_registered_rule_and_scanner(files):
             ("a.py", "X_DEBUG", 1), ("c.ini", "X_DEBUG", 2), ("c.ini", "X_LONG", 1)}
     finally:
         R.clear_extensions()
+
+
+@pytest.mark.parametrize("change", [{"id": "it's"}, {"id": "PY_EVAL"}, {"scanners": ("ruby",)},
+                                    {"severity": "huge"}])
+def test_bad_rules_are_refused(change):
+    good = {"id": "X_OK", "title": "t", "severity": K.LOW, "category": K.CONFIG,
+            "scanners": ("python",), "pattern": "x", "recommendation": "r"}
+    with pytest.raises(ValueError):
+        R.register_rule(R.Rule(**{**good, **change}))
