@@ -61,9 +61,11 @@ def queue_misses(queue: DataFrame, cache: DataFrame) -> DataFrame:
 
 def explained_findings(findings: DataFrame, cache: DataFrame, **skew) -> DataFrame:
     """Each finding with its report key and explanation, if there is one yet.
-    Many findings may share one key, hence the skew-proof join."""
-    keyed = P.report_keys(with_cache_key(findings))
-    return lookup_join(keyed, cache, "cache_key", spread_by="report_key", **skew)
+    Many findings may share one key, hence the skew-proof join. Keys are counted
+    beforehand, so pass findings from a stored table."""
+    keyed = with_cache_key(findings)
+    return lookup_join(P.report_keys(keyed), cache, "cache_key", spread_by="report_key",
+                       counted=keyed, **skew)
 
 
 # -- responses -----------------------------------------------------------------

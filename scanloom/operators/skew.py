@@ -11,14 +11,16 @@ SALTS = 64
 
 
 def lookup_join(large: DataFrame, lookup: DataFrame, key: str, spread_by: str,
-                hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+                hot_rows: int = HOT_ROWS, salts: int = SALTS,
+                counted: DataFrame | None = None) -> DataFrame:
     """Left join of a large table with a lookup holding each key at most once.
 
     Rows of a hot key are spread over ``salts`` sub-keys by a hash of
     ``spread_by``, and only the lookup rows of hot keys are repeated that often.
+    ``counted`` may name a cheaper table with the same keys to count them in.
     """
     hot = (
-        large.groupBy(key).count().filter(F.col("count") > hot_rows)
+        (large if counted is None else counted).groupBy(key).count().filter(F.col("count") > hot_rows)
         .select(key, F.lit(True).alias("_hot"))
     )
 

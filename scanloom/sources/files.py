@@ -22,8 +22,10 @@ from scanloom.operators.inventory import SCAN, with_decision
 from scanloom.plans.workspace import materialize
 
 _CHILDREN = "uri string, is_dir boolean, size bigint"
+_FOLDERS_PER_TASK = 50
 _CHUNK_ROWS = 10_000
 _CHUNK_BYTES = 16 * 1024 * 1024
+_TASK_BYTES = 128 * 1024 * 1024
 
 
 def _children(uri: str) -> Iterator[tuple[str, bool, int | None]]:
@@ -67,9 +69,12 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
         children = materialize(level.mapInArrow(_list_children, _CHILDREN), "listing")
         found.append(children.filter(~F.col("is_dir")))
         folders = children.filter("is_dir").select("uri")
-        if folders.isEmpty():
+        count = folders.count()
+        if not count:
             break
-        level = folders.repartition("uri")
+        # a fixed number of tasks: sized by bytes, a few large ones would do all listing
+        cores = spark.sparkContext.defaultParallelism
+        level = folders.repartition(min(count // _FOLDERS_PER_TASK + 1, 20 * cores), "uri")
     inside = F.substring(F.col("uri"), len(root) + 2, 1 << 30)
     return reduce(DataFrame.union, found).select(
         F.substring_index(inside, "/", 1).alias("repo_id"),
@@ -118,9 +123,17 @@ def read_contents(listing: DataFrame) -> DataFrame:
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """All files under ``root`` with the contents of those that will be scanned. The
-    listing is spread by path, so a large repository is read by many tasks."""
-    return read_contents(list_tree(spark, root).repartition("uri"))
+    """All files under ``root`` with the contents of those that will be scanned.
+
+    The listing is spread by path into as many tasks as the bytes to read call for, so a
+    large repository is read by many. The number is set here because the listing
+    itself is small: left to its size, Spark would read everything in a few tasks.
+    """
+    listing = list_tree(spark, root)
+    to_read = with_decision(listing).filter(F.col("decision") == SCAN).agg(F.sum("size"))
+    tasks = (to_read.first()[0] or 0) // _TASK_BYTES + 1
+    cores = spark.sparkContext.defaultParallelism
+    return read_contents(listing.repartition(max(tasks, cores), "uri"))
 
 
 def spread(table: DataFrame, key: str) -> DataFrame:

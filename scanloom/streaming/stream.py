@@ -68,7 +68,8 @@ class RunningSummary:
     Every batch writes its own partition of three tables, so a repeated batch
     overwrites what it wrote before: the files seen, their findings, and new
     summaries of the repositories it touched. A file that arrives again
-    replaces its earlier version.
+    replaces its earlier version. No table holds contents; their history is read in
+    each batch, to find the earlier files and findings of the touched repositories.
     """
 
     root: str

@@ -228,3 +228,18 @@ def test_dedup_survives_copied_files(spark, files):
     table = files(("a.py", "eval(x)\nexec(y)\n"), ("b.py", "eval(x)\n"))
     copies = table.crossJoin(spark.range(50)).drop("id")
     assert N.dedup(detect(copies)).count() == 3
+
+
+def test_invariants_on_the_corpus(spark):
+    from scanloom.sources.corpus import read_corpus
+    result = scan(read_corpus(spark, "/root/testdata/sf0.001")).stored()
+    findings = result.findings
+    assert findings.count() == findings.select("repo_id", "rule_id", "file", "line").distinct().count()
+    totals = {r.repo_id: r["count"] for r in findings.groupBy("repo_id").count().collect()}
+    for row in result.summary.collect():
+        assert 0 <= row.score <= 100
+        assert row.total == totals.get(row.repo_id, 0)
+        assert row.total == row.critical + row.high + row.medium + row.low
+        exposed = row.production_critical_count + row.env_critical_count
+        assert exposed < 2 or row.risk_label == "Critical Risk"
+        assert row.total or (row.score, row.risk_label) == (100, "Healthy")
