@@ -570,7 +570,7 @@ FROM (SELECT page_id, (length(url) % {len(Q.URL_SHAPES)} + 1)::INT AS k FROM pag
         "repeat_pct FROM scored")
     out["finding_penalty"] = with_(
         found, "SELECT repo_id, file, line, rule_id, context_pct, bucket, units AS penalty_units, "
-        "round_even(units / 10000.0, 2)::DOUBLE AS score_penalty FROM scored")
+        "printf('%.2f', weight * (repeat_pct / 100.0) * (context_pct / 100.0))::DOUBLE AS score_penalty FROM scored")
     meas = found + summary_ctes()[:2]
     out["severity_counts"] = with_(
         meas, "SELECT repo_id, total, critical, high, medium, low, top_rank::INT AS top_sev_rank "
@@ -587,7 +587,7 @@ FROM (SELECT page_id, (length(url) % {len(Q.URL_SHAPES)} + 1)::INT AS k FROM pag
     out["risk_summary"] = with_(summed, "SELECT * FROM summary")
     out["scan_response"] = with_(
         found, f"SELECT {RAW}, original_severity, adjusted_severity_reason, "
-        "round_even(units / 10000.0, 2)::DOUBLE AS score_penalty FROM scored")
+        "printf('%.2f', weight * (repeat_pct / 100.0) * (context_pct / 100.0))::DOUBLE AS score_penalty FROM scored")
     counts = ("production_critical_count || ' production', env_critical_count || ' env/config', "
               "test_demo_critical_count || ' test/demo', "
               "docs_template_critical_count || ' docs/templates'")

@@ -13,6 +13,8 @@ others take the final multiplier without ever meeting in one task.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scanloom import constants as K
@@ -20,6 +22,7 @@ from scanloom.functions import paths as P
 from scanloom.operators import findings as N
 
 UNITS = 10_000  # penalty units per point
+CONTEXT_PCT = (100, 50, 30, 25, 20, 15)  # every factor with_penalties gives
 _DEPTH = max(len(K.RULE_REPEAT_PCT), len(K.SEVERITY_REPEAT_PCT), len(K.CATEGORY_REPEAT_PCT)) - 1
 
 
@@ -120,10 +123,31 @@ def with_penalties(findings: DataFrame, order=N.SORT_KEY, lanes: int = N.LANES)
             "penalty_units",
             (weight * F.col("repeat_pct") * F.col("context_pct")).cast("bigint"),
         )
-        .withColumn("score_penalty", _points(F.col("penalty_units"), 2).cast("double"))
+        .withColumn("score_penalty", _shown_penalty(weight))
     )
 
 
+def _shown_penalties() -> dict[int, float]:
+    """Displayed penalty of every (weight, repeat, context) combination. Displayed values
+    are rounded from binary floats, which decimals cannot tell: 1.275 is shown as 1.27."""
+    repeats = {*K.RULE_REPEAT_PCT, *K.SEVERITY_REPEAT_PCT, *K.CATEGORY_REPEAT_PCT}
+    return {
+        _combination(weight, repeat, context): round(weight * (repeat / 100) * (context / 100), 2)
+        for weight in K.SEVERITY_WEIGHTS.values() for repeat in repeats
+        for context in CONTEXT_PCT
+    }
+
+
+def _combination(weight, repeat, context):
+    return weight * 1_000_000 + repeat * 1_000 + context
+
+
+def _shown_penalty(weight: Column) -> Column:
+    table = F.from_json(F.lit(json.dumps(_shown_penalties())), "map<string,double>")
+    code = _combination(weight, F.col("repeat_pct"), F.col("context_pct"))
+    return table[code.cast("string")]
+
+
 def _score_cap() -> Column:
     """The best score a repository with this finding can have."""
     rule, severity = F.upper("rule_id"), F.col("severity")

@@ -103,7 +103,8 @@ def test_end_to_end_goldens(spark, files):
         (".env", "CONFIG_ENV_FILE", 11.0), (".env", "CONFIG_NEXT_PUBLIC_API_KEY", 8.25),
         ("app.js", "JS_EVAL", 6.05), ("app.js", "JS_LOCALSTORAGE_TOKEN", 3.85),
         ("config.py", "PY_SUBPROCESS_SHELL", 3.85), ("config.py", "SECRETS_VALUE_OPENAI_VALUE", 6.0),
-        (".env.example", "CONFIG_EXAMPLE_NEXT_PUBLIC_PLACEHOLDER", 0.2),
+        (".env.example", "CONFIG_EXAMPLE_NEXT_PUBLIC_PLACEHOLDER",
+         round(1 * 0.65 * 0.3, 2)),
         ("config.py", "SECRETS_OPENAI_API_KEY", 0.75)]
     nested = {(r.repo_id, r.file): [x.rule_id for x in r.findings]
               for r in nested_by_file(result).collect()}
@@ -223,6 +224,16 @@ def test_display_rounding(spark):
             for u in (0, 1, 9_999, 10_000, 10_001, 15_000, 985_000)] == [s for _, s in shown]
 
 
+def test_shown_penalties():
+    table = S._shown_penalties()
+    assert len(table) == 216
+    assert table[6_000_000 + 85_000 + 25] == round(6 * 0.85 * 0.25, 2) == 1.27
+    decimals = {code: float((Decimal(code // 1_000_000) * (code // 1000 % 1000) * (code % 1000) / 10_000)
+                            .quantize(Decimal("0.01"), ROUND_HALF_EVEN)) for code in table}
+    off = [code for code in table if table[code] != decimals[code]]
+    assert len(off) == 18 and all(abs(table[c] - decimals[c]) < 0.011 for c in off)
+
+
 def test_dedup_survives_copied_files(spark, files):
     from scanloom.operators.detect import detect
     table = files(("a.py", "eval(x)\nexec(y)\n"), ("b.py", "eval(x)\n"))
