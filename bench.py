@@ -38,6 +38,8 @@ def main() -> None:
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # the test tables are single row groups, which one task would read alone
+        .config("scanloom.corpus.partitions", cpus)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -244,6 +244,8 @@ def group_branches(lines: str = "lines") -> dict[str, list[str]]:
         v = f"regexp_extract(txt, {q(rule.pattern)})"
         sev = "'critical'"
         if rule.weak_is_medium:
+            v = (f"coalesce(list_filter(regexp_extract_all(txt, {q(rule.pattern)}), lambda x: NOT regexp_matches("
+                 f"x, 'sk_test_|test|demo|sample|fake|example', 'i'))[1], {v})")
             sev = (f"CASE WHEN regexp_matches({v}, 'sk_test_|test|demo|sample|fake|example', 'i') "
                    f"THEN 'medium' ELSE 'critical' END")
         values.append(hit(200 + i, q(rule.id), q(rule.title), sev, K.SECRETS,
@@ -469,13 +471,13 @@ def parsed_responses(key: str, source: str) -> str:
     from scanloom.plans import queries as Q
 
     status = f"[{', '.join(map(str, Q.STATUSES))}][{_pick(1, len(Q.STATUSES), key)} + 1]"
-    kind = _pick(5, 8, key)
+    kind = _pick(5, 12, key)
     error = (f"CASE WHEN {_pick(3, 10, key)} = 0 THEN 'missing_key' "
              f"WHEN {_pick(3, 10, key)} = 1 THEN 'timeout' "
              f"WHEN {status} = 429 THEN 'rate_limited' WHEN {status} = 403 THEN 'invalid_key' "
              f"WHEN {status} = 500 THEN 'generic' "
-             f"WHEN {kind} IN (3, 5) THEN 'empty_response' "
-             f"WHEN {kind} IN (4, 7) THEN 'generic' END")
+             f"WHEN {kind} IN (3, 5, 10) THEN 'empty_response' "
+             f"WHEN {kind} IN (4, 7, 8, 9) THEN 'generic' END")
 
     def out(i: int, otherwise: str) -> str:
         cases = " ".join(f"WHEN error = {q(n)} THEN {q(t[i])}" for n, t in K.FALLBACKS.items())
@@ -693,6 +695,15 @@ FROM b_ctx o FULL JOIN ctx n ON o.repo_id = n.repo_id AND o.rule_id = n.rule_id
   AND o.file = n.file AND o.line = n.line
 WHERE o.severity IS DISTINCT FROM n.severity""")
 
+    out["incremental_rescan"] = out["context_adjust"]
+    out["tree_inventory"] = inv("repo_id, path, size, decision, scanner_key, file_context")
+    out["tree_scan"] = out["scan_findings_raw"]
+    out["tree_single_project"] = inv(
+        "'project' AS repo_id, repo_id || '/' || path AS path, size, decision, file_context")
+    out["scan_response_nested"] = with_(found[:7], """SELECT repo_id, file, count(*)::INT AS n_findings,
+  string_agg(rule_id || ':' || line || ':' || severity, ',' ORDER BY sev_rank, line, ord) AS findings
+FROM ctx GROUP BY repo_id, file""")
+
     out["stream_scan"] = with_(found[:7], f"SELECT {RAW}, adjusted_severity_reason FROM ctx")
     out["stream_finding_dedup"] = with_(
         found[:7], "SELECT repo_id, file, line, rule_id, severity FROM ctx")
@@ -701,11 +712,9 @@ WHERE o.severity IS DISTINCT FROM n.severity""")
     out["stream_finding_windows"] = with_(found[:7] + [f"""timed AS (
   SELECT severity, TIMESTAMP '{Q.ARRIVAL_START}' + to_seconds(doc_id) AS t
   FROM ctx JOIN (SELECT repo_id, path AS file, doc_id FROM corpus) USING (repo_id, file))"""], """
-SELECT * FROM (
-  SELECT time_bucket(INTERVAL 1 MINUTE, t) AS window_start,
-    time_bucket(INTERVAL 1 MINUTE, t) + INTERVAL 1 MINUTE AS window_end, severity,
-    count(*) AS n_findings FROM timed GROUP BY ALL)
-WHERE window_end <= (SELECT max(t) FROM timed) - INTERVAL 1 MINUTE""")
+SELECT time_bucket(INTERVAL 1 MINUTE, t) AS window_start,
+  time_bucket(INTERVAL 1 MINUTE, t) + INTERVAL 1 MINUTE AS window_end, severity,
+  count(*) AS n_findings FROM timed GROUP BY ALL""")
     out["stream_repo_summary"] = out["risk_summary"]
     return out
 

@@ -35,6 +35,18 @@ def removed_files(files: DataFrame, last_manifest: DataFrame) -> DataFrame:
     return last_manifest.join(files.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
 
 
+def rescan(files: DataFrame, last_manifest: DataFrame, last_findings: DataFrame, scan) -> DataFrame:
+    """Findings of the current files from those of the last scan: ``scan(files)`` runs on
+    changed files only, findings of unchanged ones are kept, and those of removed ones go.
+    Equal to scanning everything, as long as ``scan`` looks at one file at a time."""
+    changed = changed_files(files, last_manifest)
+    fresh = scan(changed)
+    gone = removed_files(files, last_manifest).select("repo_id", "path").unionByName(
+        changed.select("repo_id", "path"))
+    stale = gone.select("repo_id", F.translate("path", "\\", "/").alias("file"))
+    return last_findings.join(stale, ["repo_id", "file"], "left_anti").unionByName(fresh)
+
+
 def scan_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """New, fixed and changed findings between two scans (unchanged ones left out)."""
     old = before.select(*FINDING_KEY, F.col("severity").alias("severity_before"))

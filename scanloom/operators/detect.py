@@ -23,19 +23,11 @@ from scanloom.schemas import RAW_FINDING_COLUMNS
 _DYNAMIC, _STATIC = "\x01", "\x02"
 
 
-def _balanced(depth: int = 6) -> str:
-    inner = r"\([^()]*+\)"
-    for _ in range(depth - 1):
-        inner = rf"\((?:[^()]++|{inner})*+\)"
-    return inner
-
-
-_PARENS = _balanced()
 _CALL_HEAD = r"subprocess\s*\.\s*(?:run|call|Popen|check_call|check_output)\s*\("
-_SHELL_ARG = r"\bshell\s*=\s*True\b"
-_SHELL_CALL = (
-    rf"(?<![\w.])(?={_CALL_HEAD}(?:(?!{_SHELL_ARG})[^()]|{_PARENS})*+{_SHELL_ARG}"
-    rf"(?:[^()]++|{_PARENS})*+\))"
+# What the scan for calls stops at: a call's head, an argument that is exactly
+# shell=True, and brackets of all kinds.
+_STOPS = (
+    rf"(?<![\w.]){_CALL_HEAD}|(?<=[(,\s])shell\s*=\s*True(?=\s*[,)])|[\[({{\])}}]"
 )
 _LITERAL_FIRST_ARG = (
     r'\s*+(?:(?:[rRuU]?""\s*+)++|[\[(]\s*+(?:[rRuU]?""\s*+,?+\s*+)*+[\])])\s*+[,)]'
@@ -49,11 +41,46 @@ def _may_call(text: Column) -> Column:
     return (bare & text.rlike(r"(?:^|[^.\w])e(?:val|xec)\s*\(")) | shell
 
 
+def _shell_calls(code: Column) -> Column:
+    """Which of the subprocess calls in masked source, counted from 1, have shell=True among
+    their own arguments. One walk over the brackets keeps the calls that are open and how
+    deep each is, so nesting may go as deep as it likes."""
+    nothing = F.array().cast("array<struct<n:int,depth:int,shell:boolean>>")
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), nothing.alias("open"),
+                     F.array().cast("array<int>").alias("found"))
+
+    def step(at: Column, stop: Column) -> Column:
+        head, flag = stop.startswith("subprocess"), stop.startswith("shell")
+        opens = head | stop.isin("(", "[", "{")
+        depth = at["depth"] + F.when(opens, 1).when(flag, 0).otherwise(-1)
+        n = at["n"] + F.when(head, 1).otherwise(0)
+        closed = F.filter(at["open"], lambda c: (c["depth"] > depth) & c["shell"])
+        calls = (
+            F.when(head, F.concat(at["open"], F.array(F.struct(
+                n.alias("n"), depth.alias("depth"), F.lit(False).alias("shell")))))
+            .when(flag, F.transform(at["open"], lambda c: F.struct(
+                c["n"].alias("n"), c["depth"].alias("depth"),
+                (c["shell"] | (c["depth"] == depth)).alias("shell"))))
+            .when(opens, at["open"])
+            .otherwise(F.filter(at["open"], lambda c: c["depth"] <= depth))
+        )
+        found = F.when(opens | flag, at["found"]).otherwise(
+            F.concat(at["found"], F.transform(closed, lambda c: c["n"])))
+        return F.struct(n.alias("n"), depth.alias("depth"), calls.alias("open"), found.alias("found"))
+
+    stops = F.regexp_extract_all(code, F.lit(_STOPS), F.lit(0))
+    return F.aggregate(stops, start, step, lambda at: at["found"])
+
+
 def marked_shell_calls(code: Column) -> Column:
     """Masked source with a marker before every subprocess call that uses a shell."""
-    marked = F.regexp_replace(code, _SHELL_CALL, _DYNAMIC)
+    # the blank in front keeps the first part from being a call itself
+    parts = F.split(F.concat(F.lit(" "), code), rf"(?<![\w.])(?={_CALL_HEAD})", -1)
+    calls = _shell_calls(code)
+    marked = F.array_join(F.transform(parts, lambda part, i: F.when(
+        F.array_contains(calls, i), F.concat(F.lit(_DYNAMIC), part)).otherwise(part)), "")
     return F.regexp_replace(
-        marked, f"{_DYNAMIC}(?={_CALL_HEAD}{_LITERAL_FIRST_ARG})", _STATIC
+        F.substring(marked, 2, 1 << 30), f"{_DYNAMIC}(?={_CALL_HEAD}{_LITERAL_FIRST_ARG})", _STATIC
     )
 
 
@@ -62,6 +89,8 @@ def marked_shell_calls(code: Column) -> Column:
 # where there is one. The conditions are SQL text with literal patterns; texts,
 # severities and evidence are looked up and worked out afterwards, on hits only.
 _HIT_TYPE = "struct<disc_ord:int,key:string,value:string>"
+_ENTRY_TYPE = ("struct<rule_id:string,title:string,severity:string,category:string,"
+               "recommendation:string,shows:string>")
 
 
 def _regex(pattern: str) -> str:
@@ -139,9 +168,18 @@ def _named_secret_hits() -> list[str]:
 
 
 def _secret_value_hits() -> list[str]:
+    """One finding per line and pattern, of the line's worst match: the first that is no
+    test value, if there is one. (Our choice: a test key must not hide a real one.)"""
+    def worst(rule: R.SecretValue, pattern: str) -> str:
+        first = f"regexp_extract(text_line, {pattern}, 0)"
+        if not rule.weak_is_medium:
+            return first
+        return (f"coalesce(get(filter(regexp_extract_all(text_line, {pattern}, 0), "
+                f"v -> NOT v RLIKE {_regex(R.WEAK_VALUE)}), 0), {first})")
+
     return [
         _hit(f"run_secrets AND NOT named AND text_line RLIKE {pattern}", _ORD_SECRETS + 100 + i,
-             f"'{rule.id}'", f"regexp_extract(text_line, {pattern}, 0)")
+             f"'{rule.id}'", worst(rule, pattern))
         for i, rule in enumerate(R.SECRET_VALUES)
         for pattern in [_regex(rule.pattern)]
     ]
@@ -160,10 +198,14 @@ GROUPS = {
 
 def _catalog() -> Column:
     """Texts and severities by key: one literal map, folded at planning time."""
-    entries = json.dumps(R.catalog_entries())
-    kind = ("map<string,struct<rule_id:string,title:string,severity:string,category:string,"
-            "recommendation:string,shows:string>>")
-    return F.from_json(F.lit(entries), kind)
+    return F.from_json(F.lit(json.dumps(R.catalog_entries())), f"map<string,{_ENTRY_TYPE}>")
+
+
+def _with_entries(hits: Column) -> Column:
+    """Each hit with its catalog entry, looked up once: what is exploded is computed before the
+    rows that use it, so the map is not copied into every expression over them."""
+    return F.transform(hits, lambda h: F.struct(
+        h["disc_ord"].alias("disc_ord"), h["value"].alias("value"), _catalog()[h["key"]].alias("entry")))
 
 
 def _severity() -> Column:
@@ -192,13 +234,13 @@ def _evidence() -> Column:
 
 
 # -- plan ----------------------------------------------------------------------
-def admitted(files: DataFrame, carry=()) -> DataFrame:
+def admitted(files: DataFrame, carry=(), max_file_bytes: int | None = K.MAX_FILE_BYTES) -> DataFrame:
     """Files to scan, routed and classified. Path and size decide, before any
     expression touches the content. ``carry`` names more file columns to keep."""
     path = F.col("path")
     key = P.scanner_key(path)
     return (
-        I.with_decision(files)
+        I.with_decision(files, max_file_bytes)
         .filter(F.col("decision") == I.SCAN)
         .select(
             "repo_id", P.unix_path(path).alias("file"), "content",
@@ -283,8 +325,8 @@ def match_rules(lines: DataFrame, groups=tuple(GROUPS), unique: bool = False,
         found = _first_of_rule(F.col("hits"))
     public, kind = F.col("entry.shows") == "public", V.secret_type(F.col("env_name"))
     return (
-        staged.withColumn("hit", F.explode(found))
-        .withColumn("entry", _catalog()[F.col("hit.key")])
+        staged.withColumn("hit", F.explode(_with_entries(found)))
+        .withColumn("entry", F.col("hit.entry"))
         .select(
             "repo_id", "file", (F.col("pos") + 1).cast("int").alias("line"), "hit.disc_ord",
             F.when(public, F.concat("entry.rule_id", F.upper(kind)))
@@ -297,9 +339,10 @@ def match_rules(lines: DataFrame, groups=tuple(GROUPS), unique: bool = False,
     )
 
 
-def detect(files: DataFrame, groups=tuple(GROUPS), unique: bool = False, carry=()) -> DataFrame:
+def detect(files: DataFrame, groups=tuple(GROUPS), unique: bool = False, carry=(),
+           max_file_bytes: int | None = K.MAX_FILE_BYTES) -> DataFrame:
     """Raw findings of a files table; a rule may report one line more than once."""
-    routed = admitted(files, carry)
+    routed = admitted(files, carry, max_file_bytes)
     raw = match_rules(candidate_lines(routed, carry), groups, unique, carry)
     for scanner in R.extra_scanners():
         raw = raw.unionByName(scanner(routed).select(*RAW_FINDING_COLUMNS, *carry))

@@ -35,14 +35,15 @@ def prompt(title: Column, severity: Column, redacted: Column) -> Column:
     )
 
 
-def explanation_queue(findings: DataFrame) -> DataFrame:
+def explanation_queue(findings: DataFrame,
+                      evidence_chars: int | None = K.EXPLAIN_EVIDENCE_CHARS) -> DataFrame:
     """One request per distinct cache key, taken from its first finding.
 
     The row-number filter lets Spark cut each task's rows to one per key before the
     shuffle, so a key shared by a large part of all findings is not hot.
     """
     first = Window.partitionBy("cache_key").orderBy("repo_id", *N.SORT_KEY)
-    redacted = D.redact(F.col("evidence"), K.EXPLAIN_EVIDENCE_CHARS)
+    redacted = D.redact(F.col("evidence"), evidence_chars)
     return (
         with_cache_key(findings)
         .withColumn("nth", F.row_number().over(first))
@@ -91,6 +92,17 @@ def unfenced(text: Column) -> Column:
     return F.when(bare.startswith("```"), strip(inner)).otherwise(bare)
 
 
+_JSON_STRING = r'"(?:[^"\\]|\\.)*+"'
+
+
+def _last_keys(json: Column) -> Column:
+    """JSON text in which, of string fields that repeat a key side by side in one flat object,
+    only the last is left."""
+    repeated = (rf'(?s)({_JSON_STRING})\s*+:\s*+(?:{_JSON_STRING}|[^"{{}}\[\],]++)\s*+,\s*+'
+                rf'(?=(?:{_JSON_STRING}\s*+:\s*+(?:{_JSON_STRING}|[^"{{}}\[\],]++)\s*+,\s*+)*+\1\s*+:)')
+    return F.when(F.try_parse_json(json).isNull(), F.regexp_replace(json, repeated, "")).otherwise(json)
+
+
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Raw responses ``(cache_key, status, error_class, body)`` to cache rows.
 
@@ -98,28 +110,31 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     timeout); otherwise status and body decide. Every row yields texts: the model's, or
     the fallback of its error.
     """
-    text = F.get_json_object("body", "$.candidates[0].content.parts[0].text")
-    answer = F.try_parse_json(unfenced(F.col("_text")))
+    # A body is taken apart as text: variants reject an object that repeats a key, while the
+    # last value of a repeated key is the one that counts.
+    whole = F.try_parse_json(_last_keys(F.col("body")))
+    text = F.try_variant_get(whole, "$.candidates[0].content.parts[0].text", "string")
+    answer = F.try_parse_json(_last_keys(unfenced(F.col("_text"))))
 
     def field(name: str) -> Column:
         value = F.try_variant_get(F.col("_answer"), f"$.{name}", "string")
         kind = F.schema_of_variant(F.variant_get(F.col("_answer"), f"$.{name}", "variant"))
         return F.when(kind == "STRING", value), kind
 
+    def wrong(kind: Column) -> Column:
+        return kind.isNotNull() & (kind != "STRING")
+
     explanation, explanation_kind = field("explanation")
     scenario, scenario_kind = field("attack_scenario")
     fix, fix_kind = field("fix_details")
-    wrong_type = (
-        F.col("_answer").isNull()
-        | ~F.schema_of_variant(F.col("_answer")).startswith("OBJECT")
-        | (explanation_kind.isNotNull() & (explanation_kind != "STRING"))
-        | (scenario_kind.isNotNull() & (scenario_kind != "STRING"))
-        | (fix_kind.isNotNull() & (fix_kind != "STRING"))
-    )
+    not_an_object = F.col("_answer").isNull() | ~F.schema_of_variant(F.col("_answer")).startswith("OBJECT")
+    # in the order of the checks: the body itself, its text, then field by field
     body_error = (
-        F.when(strip(F.coalesce("_text", F.lit(""))) == "", "empty_response")
-        .when(wrong_type, "generic")
+        F.when(F.col("body").isNotNull() & whole.isNull(), "generic")
+        .when(strip(F.coalesce("_text", F.lit(""))) == "", "empty_response")
+        .when(not_an_object | wrong(explanation_kind), "generic")
         .when(strip(F.coalesce(explanation, F.lit(""))) == "", "empty_response")
+        .when(wrong(scenario_kind) | wrong(fix_kind), "generic")
     )
     error = F.col("_error")
 

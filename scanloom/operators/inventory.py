@@ -12,27 +12,28 @@ SCAN, PRUNED, SKIPPED, TOO_LARGE, UNREADABLE = (
 )
 
 
-def with_decision(files: DataFrame) -> DataFrame:
-    """Add ``decision``; needs only ``path`` and ``size``."""
+def with_decision(files: DataFrame, max_file_bytes: int | None = K.MAX_FILE_BYTES) -> DataFrame:
+    """Add ``decision``; needs only ``path`` and ``size``. ``max_file_bytes`` None means no
+    limit. A table with a column ``read_error`` says there which files could not be read."""
     path = F.col("path")
-    return files.withColumn(
-        "decision",
-        F.when(P.is_pruned(path), PRUNED)
-        .when(P.is_skipped(path), SKIPPED)
-        .when(F.col("size") > K.MAX_FILE_BYTES, TOO_LARGE)
-        .when(F.col("size").isNull(), UNREADABLE)
-        .otherwise(SCAN),
-    )
+    decision = F.when(P.is_pruned(path), PRUNED).when(P.is_skipped(path), SKIPPED)
+    if max_file_bytes is not None:
+        decision = decision.when(F.col("size") > max_file_bytes, TOO_LARGE)
+    unreadable = F.col("size").isNull()
+    if "read_error" in files.columns:
+        unreadable = unreadable | F.col("read_error").isNotNull()
+    return files.withColumn("decision", decision.when(unreadable, UNREADABLE).otherwise(SCAN))
 
 
-def inventory(files: DataFrame) -> DataFrame:
+def inventory(files: DataFrame, max_file_bytes: int | None = K.MAX_FILE_BYTES) -> DataFrame:
     """One row per file: admission, routing and role. Never reads ``content``."""
     path = F.col("path")
     key = P.scanner_key(path)
     generated = F.col("decision").isin(PRUNED) | (
         (F.col("decision") == SKIPPED) & P.is_generated_path(path)
     )
-    return with_decision(files.select("repo_id", "path", "size")).select(
+    known = [c for c in ("repo_id", "path", "size", "read_error") if c in files.columns]
+    return with_decision(files.select(*known), max_file_bytes).select(
         "repo_id", "path", "size", "decision",
         key.alias("scanner_key"),
         P.scanner_of(key).alias("ext_scanner"),
@@ -44,10 +45,10 @@ def inventory(files: DataFrame) -> DataFrame:
     )
 
 
-def scan_stats(files: DataFrame) -> DataFrame:
+def scan_stats(files: DataFrame, max_file_bytes: int | None = K.MAX_FILE_BYTES) -> DataFrame:
     """File counters per repository. Counting combines on the map side, so a
     repository that owns most of the files costs no more than the others."""
-    return count_decisions(inventory(files))
+    return count_decisions(inventory(files, max_file_bytes))
 
 
 def count_decisions(inv: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 # A key with more rows than this on the large side is hot. At most
-# (rows / HOT_ROWS) keys can be, which bounds the list that is broadcast.
+# (rows / HOT_ROWS) keys can be; how the list is joined is left to its size.
 HOT_ROWS = 1_000_000
 SALTS = 64
 
@@ -25,7 +25,7 @@ def lookup_join(large: DataFrame, lookup: DataFrame, key: str, spread_by: str,
     )
 
     def marked(table: DataFrame) -> DataFrame:
-        return table.join(F.broadcast(hot), key, "left")
+        return table.join(hot, key, "left")
 
     salted = marked(large).withColumn(
         "_salt",

@@ -12,11 +12,11 @@ from scanloom.operators import (
     admission as A, changes as C, detect as M, explain as E, findings as N, inventory as I,
     report as P, score as S,
 )
-from scanloom.plans.scan import ScanResult, scan
+from scanloom.plans.scan import ScanResult, nested_by_file, scan
 from scanloom.plans.workspace import materialize, new_dir
 from scanloom.schemas import FINDING_SCHEMA
-from scanloom.sources.corpus import corpus_from, corpus_path, read_corpus
-from scanloom.sources.files import spread
+from scanloom.sources.corpus import corpus_from, corpus_path, partitioned, read_corpus, write_tree
+from scanloom.sources.files import read_tree
 from scanloom.streaming import stream as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +63,7 @@ def scan_stats(spark, sf_dir):
 
 
 def _document_lines(spark, sf_dir) -> DataFrame:
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    documents = partitioned(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     lines = documents.select(
         "doc_id", F.posexplode(F.split(X.unix_newlines(F.col("text")), "\n", -1))
         .alias("pos", "text_line"))
@@ -118,12 +118,12 @@ def repo_admission(spark, sf_dir):
 
 
 URL_SHAPES = (
-    "https://github.com/owner{id}/repo", "https://github.com/owner{id}/repo.git",
-    "http://github.com/owner{id}/repo", "https://evil.example/owner{id}/repo",
-    "git@github.com:owner{id}/repo.git", "https://github.com/owner{id}",
-    "https://github.com/owner{id}/repo/issues", "https://github.com/owner{id}/repo?tab=readme",
-    "https://github.com/owner{id}/re po", "  HTTPS://GitHub.com//owner{id}/repo/ ",
-    "https://github.com/owner{id}/.git", "https://github.com/owner{id}/repo#top",
+    "https://github.com/team{id}/etl-jobs", "https://github.com/team{id}/etl.jobs.git",
+    "ftp://github.com/team{id}/etl", "https://github.com.example.net/team{id}/etl",
+    "github.com/team{id}/etl", "https://github.com/team{id}/",
+    "https://github.com/team{id}/etl/tree/main", "https://github.com/team{id}/etl?depth=1",
+    "https://github.com/team{id}/etl%20jobs", " HTTPS://GITHUB.com/team{id}//etl/ ",
+    "https://github.com/team{id}/.git", "https://github.com/team{id}/etl#L10",
 )
 
 
@@ -160,6 +160,29 @@ def findings_sorted(spark, sf_dir):
     return N.sorted_findings(final(spark, sf_dir)).select(*RAW)
 
 
+def _tree(spark, sf_dir) -> str:
+    """The corpus as a tree of files, hidden ones too, in the shared folder."""
+    root = new_dir(spark, "corpus-tree")
+    write_tree(read_corpus(spark, sf_dir), root)
+    return root
+
+
+def tree_inventory(spark, sf_dir):
+    return I.inventory(read_tree(spark, _tree(spark, sf_dir))).select(
+        "repo_id", "path", "size", "decision", "scanner_key", "file_context")
+
+
+def tree_scan(spark, sf_dir):
+    return M.detect(read_tree(spark, _tree(spark, sf_dir))).select(*RAW)
+
+
+def tree_single_project(spark, sf_dir):
+    """The whole tree as one project."""
+    files = read_tree(spark, _tree(spark, sf_dir), repo_level=0)
+    return I.inventory(files).select(
+        F.lit("project").alias("repo_id"), "path", "size", "decision", "file_context")
+
+
 # -- scoring ---------------------------------------------------------------------
 def repeat_multipliers(spark, sf_dir):
     return S.repeat_multipliers(final(spark, sf_dir)).select(
@@ -190,6 +213,14 @@ def scan_response(spark, sf_dir):
     return corpus_scan(spark, sf_dir).findings
 
 
+def scan_response_nested(spark, sf_dir):
+    """One row per file; its findings in report order, each as rule, line and severity."""
+    nested = nested_by_file(corpus_scan(spark, sf_dir))
+    return nested.select("repo_id", "file", F.size("findings").alias("n_findings"), F.array_join(
+        F.transform("findings", lambda f: F.concat_ws(":", f["rule_id"], f["line"].cast("string"), f["severity"])),
+        ",").alias("findings"))
+
+
 # -- reports ---------------------------------------------------------------------
 def critical_context_line(spark, sf_dir):
     return P.critical_context(risk_summary(spark, sf_dir))
@@ -221,7 +252,7 @@ def executive_summary(spark, sf_dir):
 # -- redaction, explanation --------------------------------------------------------
 def redact_documents(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spread(documents, "doc_id").select("doc_id", D.redact(F.col("text")).alias("redacted"))
+    return partitioned(documents, "doc_id").select("doc_id", D.redact(F.col("text")).alias("redacted"))
 
 
 def redact_pages(spark, sf_dir):
@@ -251,7 +282,7 @@ def explain_queue_misses(spark, sf_dir):
 
 
 def _response_to(key: Column, kind: Column) -> Column:
-    """A response body such as a model sends, in one of eight kinds."""
+    """A response body such as a model sends, in one of twelve kinds."""
     said = F.concat(F.lit("About "), key)
     full = F.to_json(F.struct(said.alias("explanation"), F.lit("They try it.").alias("attack_scenario"),
                               F.lit("1. Stop. 2. Fix it.").alias("fix_details")))
@@ -263,11 +294,17 @@ def _response_to(key: Column, kind: Column) -> Column:
         .when(kind == 4, F.lit("not json"))
         .when(kind == 5, F.lit('{"explanation": "  ", "fix_details": "x"}'))
         .when(kind == 6, F.to_json(F.struct(said.alias("explanation"))))
-        .otherwise(F.lit("[1, 2]"))
+        .when(kind == 7, F.lit("[1, 2]"))
+        .when(kind == 10, F.lit('{"explanation": " ", "attack_scenario": 5, "fix_details": [1]}'))
+        .otherwise(F.concat(F.lit('{"explanation": "old", "fix_details": "1. Stop. 2. Fix it.", '),
+                            F.lit('"attack_scenario": "They try it.", "explanation": "'), said, F.lit('"}')))
     )
     part = F.struct(text.alias("text"))
     content = F.struct(F.array(part).alias("parts"))
-    return F.to_json(F.struct(F.array(F.struct(content.alias("content"))).alias("candidates")))
+    body = F.to_json(F.struct(F.array(F.struct(content.alias("content"))).alias("candidates")))
+    # the body itself is no JSON, or is cut off
+    return F.when(kind == 8, F.lit("upstream error")).when(
+        kind == 9, F.substring(body, 1, 25)).otherwise(body)
 
 
 STATUSES = (200, 200, 200, 200, 200, 200, 429, 403, 500)
@@ -287,7 +324,7 @@ def _responses(keyed: DataFrame) -> DataFrame:
         .alias("status"),
         F.when(pick(3, 10) == 0, ERROR_CLASSES[0]).when(pick(3, 10) == 1, ERROR_CLASSES[1])
         .alias("error_class"),
-        _response_to(F.col("cache_key"), pick(5, 8)).alias("body"),
+        _response_to(F.col("cache_key"), pick(5, 12)).alias("body"),
     )
 
 
@@ -325,13 +362,24 @@ def normalize_lists(spark, sf_dir):
 def _before(spark, sf_dir) -> DataFrame:
     """An earlier state of the corpus: no Spanish files yet, no second snippets."""
     documents = table(spark, sf_dir, "documents").filter(F.col("lang") != "es")
-    return corpus_from(spread(documents.select("doc_id", "text"), "doc_id"), second=False)
+    return corpus_from(partitioned(documents.select("doc_id", "text"), "doc_id"), second=False)
 
 
 def incremental_changed_files(spark, sf_dir):
     return C.changed_keys(read_corpus(spark, sf_dir), C.manifest(_before(spark, sf_dir)))
 
 
+def incremental_rescan(spark, sf_dir):
+    """From the earlier state's findings, by scanning what changed, to the current ones."""
+    before = _before(spark, sf_dir)
+
+    def findings(files):
+        return N.final_findings(M.detect(files, unique=True))
+
+    return C.rescan(read_corpus(spark, sf_dir), C.manifest(before), findings(before), findings).select(
+        "repo_id", "file", "line", "rule_id", "original_severity", "severity", "adjusted_severity_reason")
+
+
 def scan_diff(spark, sf_dir):
     before = N.final_findings(M.detect(_before(spark, sf_dir), unique=True))
     return C.scan_diff(before, final(spark, sf_dir))
@@ -379,7 +427,10 @@ def stream_explain_dedup(spark, sf_dir):
 
 def stream_finding_windows(spark, sf_dir):
     found = T.stream_findings(_file_stream(spark, sf_dir))
-    return _run(spark, T.windowed_counts(found, "1 minute", "1 minute"), "stream-windows")
+    base = new_dir(spark, "stream-windows")
+    T.write_windows(T.windowed_counts(found, "1 minute", "1 minute"), f"{base}/out", f"{base}/checkpoint")\
+        .awaitTermination()
+    return T.current_windows(spark, f"{base}/out")
 
 
 def stream_repo_summary(spark, sf_dir):
@@ -409,6 +460,9 @@ QUERIES: dict[str, Query] = {
     "detect_secrets_named": _detect("secrets_named"),
     "detect_secrets_value": _detect("secrets_value"),
     "scan_findings_raw": scan_findings_raw,
+    "tree_inventory": tree_inventory,
+    "tree_scan": tree_scan,
+    "tree_single_project": tree_single_project,
     "dedup_findings": dedup_findings,
     "context_adjust": context_adjust,
     "findings_sorted": findings_sorted,
@@ -426,6 +480,7 @@ QUERIES: dict[str, Query] = {
     "score_ceiling": _scored("score_ceiling"),
     "catastrophic_flag": _scored("catastrophic", "deduction_units", "score"),
     "scan_response": scan_response,
+    "scan_response_nested": scan_response_nested,
     "critical_context_line": critical_context_line,
     "score_band": score_band,
     "report_keys": report_keys,
@@ -443,6 +498,7 @@ QUERIES: dict[str, Query] = {
     "response_fallbacks": response_fallbacks,
     "normalize_lists": normalize_lists,
     "incremental_changed_files": incremental_changed_files,
+    "incremental_rescan": incremental_rescan,
     "scan_diff": scan_diff,
     "stream_scan": stream_scan,
     "stream_finding_dedup": stream_finding_dedup,

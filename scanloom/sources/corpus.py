@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from scanloom.sources.files import spread
 
 PATH_TEMPLATES = (
     "src/a{d}.py", "src/b{d}.py", "app/c{d}.js", "app/d{d}.jsx", "web/e{d}.ts", "web/f{d}.tsx",
@@ -107,6 +108,28 @@ def corpus_from(documents: DataFrame, second: bool = True, extra=()) -> DataFram
     ).withColumn("size", F.octet_length("content").cast("bigint"))
 
 
+def partitioned(table: DataFrame, key: str) -> DataFrame:
+    """The table as it is read, or, where the session sets ``scanloom.corpus.partitions``, in so
+    many partitions: test tables are single row groups, which Spark can't split."""
+    partitions = table.sparkSession.conf.get("scanloom.corpus.partitions", None)
+    return table.repartition(int(partitions), key) if partitions else table
+
+
 def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return corpus_from(spread(documents, "doc_id"))
+    return corpus_from(partitioned(documents, "doc_id"))
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write a files table as a tree of files, ``root/repo_id/path``, from the tasks."""
+    def write(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                filesystem, base = pafs.FileSystem.from_uri(root)
+                path = f"{base}/{row['repo_id']}/{row['path']}"
+                filesystem.create_dir(path.rpartition("/")[0], recursive=True)
+                with filesystem.open_output_stream(path) as out:
+                    out.write(row["content"].encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    files.select("repo_id", "path", "content").mapInArrow(write, "n bigint").agg(F.sum("n")).first()

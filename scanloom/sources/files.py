@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import time
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scanloom import constants as K
 from scanloom.functions.text import decode_utf8
 from scanloom.operators.inventory import SCAN, with_decision
 from scanloom.plans.workspace import materialize
@@ -25,7 +27,8 @@ _CHILDREN = "uri string, is_dir boolean, size bigint"
 _FOLDERS_PER_TASK = 50
 _CHUNK_ROWS = 10_000
 _CHUNK_BYTES = 16 * 1024 * 1024
-_TASK_BYTES = 128 * 1024 * 1024
+_TASK_BYTES = 1024 * 1024 * 1024
+_ATTEMPTS = 3
 
 
 def _children(uri: str) -> Iterator[tuple[str, bool, int | None]]:
@@ -59,9 +62,12 @@ def _list_children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 )
 
 
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``repo_id, path, size, uri`` of every file under ``root``; the directories
-    directly below it are the repositories. Enough for inventory and statistics."""
+def list_tree(spark: SparkSession, root: str, repo_level: int = 1) -> DataFrame:
+    """``repo_id, path, size, uri`` of every file under ``root``, enough for inventory and
+    statistics. With ``repo_level`` 1 the directories directly below it are the repositories;
+    with 0 it is one project, named after the directory."""
+    if repo_level not in (0, 1):
+        raise ValueError(f"repo_level must be 0 or 1: {repo_level!r}")
     root = root.rstrip("/")
     level = spark.createDataFrame([(root,)], "uri string")
     found = []
@@ -76,28 +82,40 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
         cores = spark.sparkContext.defaultParallelism
         level = folders.repartition(min(count // _FOLDERS_PER_TASK + 1, 20 * cores), "uri")
     inside = F.substring(F.col("uri"), len(root) + 2, 1 << 30)
-    return reduce(DataFrame.union, found).select(
+    listed = reduce(DataFrame.union, found)
+    if repo_level == 0:
+        return listed.select(F.lit(root.rpartition("/")[2]).alias("repo_id"), inside.alias("path"), "size", "uri")
+    # a file directly below the root belongs to no repository directory: its own name is its id
+    return listed.select(
         F.substring_index(inside, "/", 1).alias("repo_id"),
         F.regexp_replace(inside, r"\A[^/]*/", "").alias("path"),
         "size", "uri",
     )
 
 
+def _contents(uri: str) -> tuple[bytes | None, str | None]:
+    """A file's bytes, or the error that several attempts ended with."""
+    for attempt in range(_ATTEMPTS):
+        try:
+            filesystem, path = pafs.FileSystem.from_uri(uri)
+            with filesystem.open_input_stream(path) as stream:
+                return stream.read(), None
+        except OSError as error:
+            last = str(error)[:500] or type(error).__name__
+            if isinstance(error, (FileNotFoundError, PermissionError)):
+                break
+            time.sleep(0.2 * 2 ** attempt)
+    return None, last
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add file contents. Output batches are cut by bytes, so that memory does not
     depend on how many rows arrive together."""
     for batch in batches:
         rows, held = [], 0
         for row in batch.to_pylist():
-            raw = None
-            if row.pop("wanted"):
-                try:
-                    filesystem, path = pafs.FileSystem.from_uri(row["uri"])
-                    with filesystem.open_input_stream(path) as stream:
-                        raw = stream.read()
-                except OSError:  # gone or unreadable: no content, no findings
-                    raw = None
-            rows.append({**row, "raw": raw})
+            raw, error = _contents(row["uri"]) if row.pop("wanted") else (None, None)
+            rows.append({**row, "raw": raw, "read_error": error})
             held += len(raw or b"")
             if held >= _CHUNK_BYTES:
                 yield pa.RecordBatch.from_pylist(rows, schema=_READ_ARROW)
@@ -107,45 +125,37 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _READ_ARROW = pa.schema([("repo_id", pa.string()), ("path", pa.string()), ("size", pa.int64()),
-                         ("uri", pa.string()), ("raw", pa.binary())])
-_READ_TYPE = "repo_id string, path string, size bigint, uri string, raw binary"
+                         ("uri", pa.string()), ("raw", pa.binary()), ("read_error", pa.string())])
+_READ_TYPE = "repo_id string, path string, size bigint, uri string, raw binary, read_error string"
 
 
-def read_contents(listing: DataFrame) -> DataFrame:
+def read_contents(listing: DataFrame, max_file_bytes: int | None = K.MAX_FILE_BYTES) -> DataFrame:
     """A files table from listed files (batch, or a stream of manifests). Only files
-    that will be scanned are opened."""
-    wanted = with_decision(listing).select(
+    that will be scanned are opened; ``read_error`` says which of them could not be read."""
+    wanted = with_decision(listing, max_file_bytes).select(
         "repo_id", "path", "size", "uri", (F.col("decision") == SCAN).alias("wanted")
     )
     return wanted.mapInArrow(_read, _READ_TYPE).select(
-        "repo_id", "path", decode_utf8(F.col("raw")).alias("content"), "size"
+        "repo_id", "path", decode_utf8(F.col("raw")).alias("content"), "size", "read_error"
     )
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, repo_level: int = 1,
+              max_file_bytes: int | None = K.MAX_FILE_BYTES) -> DataFrame:
     """All files under ``root`` with the contents of those that will be scanned.
 
     The listing is spread by path into as many tasks as the bytes to read call for, so a
     large repository is read by many. The number is set here because the listing
     itself is small: left to its size, Spark would read everything in a few tasks.
+
+    Every file is opened once: the table is written, columnar, to the shared folder, and
+    inventory, statistics and findings each read the columns they need from there.
     """
-    listing = list_tree(spark, root)
-    to_read = with_decision(listing).filter(F.col("decision") == SCAN).agg(F.sum("size"))
+    listing = list_tree(spark, root, repo_level)
+    to_read = with_decision(listing, max_file_bytes).filter(F.col("decision") == SCAN).agg(F.sum("size"))
     tasks = (to_read.first()[0] or 0) // _TASK_BYTES + 1
     cores = spark.sparkContext.defaultParallelism
-    return read_contents(listing.repartition(max(tasks, cores), "uri"))
-
-
-def spread(table: DataFrame, key: str) -> DataFrame:
-    """Rebalance a table that has fewer input splits than the cluster has cores.
-
-    Only small inputs are affected (fewer splits than cores, so at most cores x
-    split size); a large table keeps its scan partitions and is never shuffled.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() < cores:
-        return table.repartition(cores, key)
-    return table
+    return materialize(read_contents(listing.repartition(max(tasks, cores), "uri"), max_file_bytes), "tree")
 
 
 def write_result(result: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",

@@ -207,3 +207,44 @@ def test_bad_rules_are_refused(change):
             "scanners": ("python",), "pattern": "x", "recommendation": "r"}
     with pytest.raises(ValueError):
         R.register_rule(R.Rule(**{**good, **change}))
+
+
+def nest(inner, depth):
+    return "f(" * depth + inner + ")" * depth
+
+
+@pytest.mark.parametrize("call, found", [
+    (f"subprocess.run({nest('x', 12)}, shell=True)", True),
+    (f"subprocess.run([*a], {{'k': ({nest('x', 9)},)}}, shell = True,)", True),
+    (f"subprocess.run({nest('subprocess.call(x, shell=True)', 12)})", True),
+    ("subprocess.Popen(x, *, shell=True)", True),
+    ("subprocess.run(x, shell=True if a else False)", False),
+    ("subprocess.run(x, shell=True and y)", False),
+    ("subprocess.run(x, shell==True)", False),
+    ("subprocess.run(g(shell=True))", False),
+    ("subprocess.run(x, env=dict(shell=True))", False),
+    ("subprocess.run(x, myshell=True)", False),
+    ("subprocess.run(x, shell=True", False),
+])
+def test_shell_calls_at_any_depth(files, call, found):
+    rules = {r.rule_id for r in D.detect(files(("a.py", f"y = 1\n{call}\n")), ("python",)).collect()}
+    assert (R.SUBPROCESS_RULE_ID in rules) == found
+
+
+def test_shell_calls_keep_their_lines(files):
+    text = "subprocess.run(x)\nsubprocess.run(\n  'ls', shell=True)\nsubprocess.call(y, shell=True)\n"
+    rows = D.detect(files(("a.py", text)), ("python",)).collect()
+    assert {(r.line, r.severity) for r in rows} == {(2, "high"), (4, "critical")}
+
+
+def test_worst_secret_of_a_line(files):
+    line = f"keys = ['{S.STRIPE_TEST}abc12345', '{S.OPENAI}']\n"
+    rows = D.detect(files(("a.py", line)), ("secrets_value",)).collect()
+    assert {r.severity for r in rows if r.rule_id == "SECRETS_VALUE_OPENAI_VALUE"} == {"critical"}
+
+
+def test_size_limit_is_a_parameter(files):
+    table = files(("a.js", "eval(x)\n" * 200_000), ("b.js", "eval(x)\n" * 10))
+    assert {r.file for r in D.detect(table).select("file").distinct().collect()} == {"b.js"}
+    assert {r.file for r in D.detect(table, max_file_bytes=20).select("file").distinct().collect()} == set()
+    assert D.detect(table, max_file_bytes=None).count() == 200_010

@@ -99,6 +99,11 @@ GOOD = json.dumps({"explanation": " Why. ", "attack_scenario": "How.", "fix_deta
     (200, None, reply("[1]"), None, "ai_model_request_failed"),
     (200, None, reply('{"explanation": 5}'), None, "ai_model_request_failed"),
     (200, None, "{}", None, "ai_empty_response"),
+    (200, None, "upstream error", None, "ai_model_request_failed"),
+    (200, None, reply(GOOD)[:40], None, "ai_model_request_failed"),
+    (200, None, reply('{"explanation": " ", "fix_details": 5}'), None, "ai_empty_response"),
+    (200, None, reply('{"explanation": "E", "fix_details": 5}'), None, "ai_model_request_failed"),
+    (200, None, reply('{"explanation": "old", "fix_details": "f", "explanation": "E"}'), "E", ""),
     (200, None, None, None, "ai_empty_response"),
     (429, None, None, None, "ai_rate_limited"),
     (401, None, None, None, "ai_invalid_key"),
@@ -151,3 +156,10 @@ def test_explained_findings(spark):
     cache = E.explanation_queue(table).filter("rule_id = 'A'").select("cache_key", F.lit("because").alias("explanation"))
     got = {(r.report_key, r.explanation) for r in E.explained_findings(table, cache, hot_rows=1, salts=3).collect()}
     assert got == {("A:a.js:2:1", "because"), ("A:b.js:1:0", "because"), ("B:a.js:1:0", None)}
+
+
+def test_evidence_limit_is_a_parameter(spark):
+    table = findings(spark, ("X", "high", "a.js", 1, "z" * 700))
+    lengths = [len(E.explanation_queue(table, n).first().redacted_evidence) for n in (500, 600, None)]
+    assert len(E.explanation_queue(table).first().redacted_evidence) == lengths[0]
+    assert lengths[0] < lengths[1] < lengths[2] == 700

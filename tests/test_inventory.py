@@ -7,7 +7,8 @@ from scanloom import constants as K
 from scanloom.functions import paths as P, text as X
 from scanloom.operators import inventory as I
 from scanloom.operators.detect import detect
-from scanloom.sources.files import list_tree, read_tree
+from scanloom.plans.scan import scan
+from scanloom.sources.files import list_tree, read_contents, read_tree
 
 CONTEXTS = {
     "src/app.py": K.PRODUCTION,
@@ -114,3 +115,34 @@ def test_decoding_keeps_genuine_replacement_characters(spark):
     raw = spark.createDataFrame([("ok � ok".encode(),), (b"a\xffb\xc3",)], "raw binary")
     got = [r[0] for r in raw.select(X.decode_utf8(F.col("raw"))).collect()]
     assert got == ["ok � ok", "ab"]
+
+
+def test_one_project(spark, tmp_path):
+    root = tmp_path / "shop"
+    for path, text in {"src/a.py": "exec(x)\n", "tests/b.js": "eval(x)\n", ".env": "A_TOKEN=abcdefghijkl\n",
+                       "node_modules/x/i.js": "eval(x)\n"}.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+    files = read_tree(spark, str(root), repo_level=0)
+    rows = {r.path: (r.repo_id, r.decision, r.file_context) for r in I.inventory(files).collect()}
+    assert rows == {
+        "src/a.py": ("shop", I.SCAN, K.PRODUCTION), "tests/b.js": ("shop", I.SCAN, K.TEST_DEMO),
+        ".env": ("shop", I.SCAN, K.PRODUCTION), "node_modules/x/i.js": ("shop", I.PRUNED, K.GENERATED)}
+    result = scan(files)
+    assert {(r.file, r.severity) for r in result.findings.collect() if r.file == "tests/b.js"} == {
+        ("tests/b.js", "medium")}
+    assert result.summary.count() == 1
+    for table in (result.stats, result.summary):  # files were opened once, by read_tree
+        assert "MapInArrow" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unreadable_files_are_counted_apart(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.py").write_text("exec(x)\n")
+    listing = list_tree(spark, str(tmp_path))
+    lost = listing.withColumn("uri", F.concat("uri", F.lit(".gone"))).withColumn("path", F.lit("b.py"))
+    files = read_contents(listing.union(lost.select(*listing.columns)))
+    rows = {r.path: (r.decision) for r in I.inventory(files).collect()}
+    assert rows == {"a.py": I.SCAN, "b.py": I.UNREADABLE}
+    assert {r.path: bool(r.read_error) for r in files.collect()} == {"a.py": False, "b.py": True}
+    assert tuple(I.scan_stats(files).first())[1:3] == (1, 1)

@@ -105,3 +105,37 @@ def test_stream_of_manifests_reads_contents(spark, tmp_path):
     files = read_contents(spark.readStream.schema(listing.schema).parquet(manifests))
     rows = run(spark, T.stream_findings(files)).collect()
     assert {r.rule_id for r in rows} == {"CONFIG_ENV_FILE", "CONFIG_ENV_SECRET_LIKE_VALUE"}
+
+
+def test_all_windows_are_written(spark):
+    landing = Landing(spark)
+    for minute in (0, 4, 12, 40):
+        landing.add(("r", f"a{minute}.js", "eval(x)\n"), minute=minute)
+    base = new_dir(spark, "windows")
+    T.write_windows(T.windowed_counts(T.stream_findings(landing.stream())), f"{base}/out", f"{base}/c")\
+        .awaitTermination()
+    rows = T.current_windows(spark, f"{base}/out").collect()
+    got = {((r.window_start - START).seconds // 60, r.n_findings) for r in rows}
+    assert got == {(0, 2), (10, 1), (40, 1)}
+
+
+def test_running_summary_reads_touched_buckets_only(spark, monkeypatch):
+    read = []
+    original = T.RunningSummary._read
+
+    def counted(self, spark, table, versions, schema):
+        out = original(self, spark, table, versions, schema)
+        if table == "files":
+            read.append(out.count())
+        return out
+
+    monkeypatch.setattr(T.RunningSummary, "_read", counted)
+    sink = T.RunningSummary(new_dir(spark, "running"), buckets=10_000)
+    for n in range(6):
+        files = [(f"repo{n}", f"a{k}.js", "eval(x)\n", 8) for k in range(3)]
+        sink(spark.createDataFrame(files, "repo_id string, path string, content string, size bigint"), n)
+    assert read == [0] * 6  # new repositories: no earlier state is read
+    sink(spark.createDataFrame([("repo2", "a0.js", "fine\n", 5)], "repo_id string, path string, content string, size bigint"), 6)
+    assert read[-1] == 3
+    assert {r.repo_id: r.total for r in sink.latest(spark).collect()} == {
+        **{f"repo{n}": 3 for n in range(6)}, "repo2": 2}
