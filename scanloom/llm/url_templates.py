@@ -92,7 +92,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     )
     shapes = stored(shapes, "shape-counts")
     tree = templates(shapes)
-    overall = shapes.agg(F.sum("bad") / F.sum("labelled")).first()[0] or 0.0
+    overall = shapes.agg(F.try_divide(F.sum("bad"), F.sum("labelled"))).first()[0] or 0.0
     counted = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     judged = counted.select("host", "template", (
         (F.col("bad") + PRIOR_PAGES * overall) / (F.col("labelled") + PRIOR_PAGES)).alias("bad_share"))
