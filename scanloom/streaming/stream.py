@@ -172,6 +172,10 @@ class RunningSummary:
 
     def latest(self, spark) -> DataFrame:
         """Current summary of every repository: one state of each bucket."""
-        versions = {k: v[-1] for k in range(self.buckets) if (v := self._versions(spark, "files", k))}
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/files")
+        listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        names = [status.getPath().getName() for status in listed]
+        buckets = [int(n.partition("=")[2]) for n in names if n.startswith("bucket=")]
+        versions = {k: v[-1] for k in buckets if (v := self._versions(spark, "files", k))}
         schema = spark.read.parquet(f"{self.root}/summary").drop("bucket", "batch_id").schema
         return self._read(spark, "summary", versions, schema)
