@@ -106,6 +106,7 @@ def critical_context(summary: DataFrame) -> DataFrame:
     def part(count: Column, label: str) -> Column:
         return F.concat(count.cast("string"), F.lit(f" {label}"))
 
+    # fixed values: the labels of the report
     labels = ("production", "env/config", "test/demo", "docs/templates", "generated/dependencies")
     parts = [part(total, "total"), *(part(c, label) for c, label in zip(counts, labels))]
     shown = [*parts[:-1], F.when(counts[-1] > 0, parts[-1])]  # concat_ws skips nulls

@@ -247,6 +247,8 @@ def register_rule(rule: Rule) -> None:
         raise ValueError(f"unknown scanners: {rule.scanners}")
     if rule.severity not in K.SEVERITIES:
         raise ValueError(f"unknown severity: {rule.severity}")
+    if rule.category not in K.CATEGORIES:  # scoring counts distinct ones
+        raise ValueError(f"unknown category: {rule.category}")
     _extra_rules.append(rule)
 
 

@@ -201,7 +201,7 @@ def test_registered_rule_and_scanner(files):
 
 
 @pytest.mark.parametrize("change", [{"id": "it's"}, {"id": "PY_EVAL"}, {"scanners": ("ruby",)},
-                                    {"severity": "huge"}])
+                                    {"severity": "huge"}, {"category": "licences"}])
 def test_bad_rules_are_refused(change):
     good = {"id": "X_OK", "title": "t", "severity": K.LOW, "category": K.CONFIG,
             "scanners": ("python",), "pattern": "x", "recommendation": "r"}
