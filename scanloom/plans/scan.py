@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from scanloom import constants as K
 from scanloom.operators import detect as D, findings as N, inventory as I, score as S
 from scanloom.plans.workspace import materialize
 from scanloom.schemas import FINDING_SCHEMA, SUMMARY_SCHEMA
@@ -18,14 +19,15 @@ class ScanResult:
 
     files: DataFrame
     scored: DataFrame
+    max_file_bytes: int | None = K.MAX_FILE_BYTES
 
     @property
     def inventory(self) -> DataFrame:
-        return I.inventory(self.files)
+        return I.inventory(self.files, self.max_file_bytes)
 
     @property
     def stats(self) -> DataFrame:
-        return I.scan_stats(self.files)
+        return I.scan_stats(self.files, self.max_file_bytes)
 
     @property
     def findings(self) -> DataFrame:
@@ -38,18 +40,19 @@ class ScanResult:
     def stored(self) -> ScanResult:
         """Write the findings once and continue from the written table, so that
         several outputs do not each scan the files again."""
-        return ScanResult(self.files, materialize(self.scored, "findings"))
+        return ScanResult(self.files, materialize(self.scored, "findings"), self.max_file_bytes)
 
 
-def scan(files: DataFrame) -> ScanResult:
-    """``files(repo_id, path, content, size)`` to findings and per-repository risk."""
-    return ScanResult(files, S.with_penalties(N.final_findings(D.detect(files, unique=True))))
+def scan(files: DataFrame, max_file_bytes: int | None = K.MAX_FILE_BYTES) -> ScanResult:
+    """``files(repo_id, path, content, size)`` to findings and per-repository risk. Files over
+    ``max_file_bytes`` are counted but not scanned; None scans files of any size."""
+    raw = D.detect(files, unique=True, max_file_bytes=max_file_bytes)
+    return ScanResult(files, S.with_penalties(N.final_findings(raw)), max_file_bytes)
 
 
 def nested_by_file(result: ScanResult) -> DataFrame:
-    """One row per file with its findings as an array, in report order. Files are
-    limited in size, so an array is too; a repository's findings are never put into
-    one row."""
+    """One row per file with its findings as an array, in report order. A file is read into
+    one row, so its findings fit into one too; a repository's are never put into one."""
     ordered = F.struct("sev_rank", "line", "disc_ord",
                        F.struct(*FINDING_SCHEMA.fieldNames()[1:]).alias("finding"))
     return result.scored.groupBy("repo_id", "file").agg(
