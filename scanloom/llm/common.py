@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scanloom.plans.workspace import materialize as stored
 
-__all__ = ["WORD", "read", "stored", "id_remainder", "unit_hash", "word_count", "connected_components"]
+__all__ = ["WORD", "read", "stored", "id_remainder", "unit_hash", "word_count", "connected_components",
+           "fresh", "slices"]
 
 # A word is a run of characters other than blank and the five ASCII line and tab controls.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +32,14 @@ def unit_hash(seed: int, *columns: str | Column) -> Column:
     return bits.cast("double") / F.lit(float(1 << 53))
 
 
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """The name, with underscores in front until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -65,3 +78,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         current = stored(
             linked.filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that ``column`` (text or bytes) holds about ``most`` bytes in each, or is
+    one row: what a task works on at once then doesn't depend on how long the texts are."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        low, held = 0, 0
+        for k, size in enumerate(sizes.tolist()):
+            if k > low and held + size > most:
+                yield batch.slice(low, k - low)
+                low, held = k, 0
+            held += size
+        if batch.num_rows > low:
+            yield batch.slice(low)

@@ -1,7 +1,8 @@
 """The registered queries of this subpackage, with their production parameters.
 
-None has SQL: each result hangs on seeded hashes, trained weights or libraries that DuckDB
-lacks. ``tests/llm`` compares them with brute force, round trips and held-out rows.
+``sql`` has the SQL of two of them. The results of the others hang on hashes, trained weights or
+libraries that DuckDB lacks: ``tests/llm`` compares them with brute force, round trips and
+held-out rows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from scanloom.llm import (
     token_planes, url_templates,
 )
 from scanloom.llm.common import id_remainder, read
+from scanloom.llm.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -90,4 +94,3 @@ def op10_quality_rules(spark, sf_dir) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_language_id, op3_token_planes, op4_decontaminate, op5_simhash, op6_secrets,
     op7_mixing, op8_url_templates, op9_quality, op10_quality_rules)}
-SQL: dict[str, str] = {}

@@ -112,7 +112,8 @@ def shard_table(docs: DataFrame, shards: int = 40) -> DataFrame:
 
 
 def with_shard(docs: DataFrame, shards: int = 40, name: str = "shard") -> DataFrame:
-    """The documents, with all their columns, and the number of their shard. The exact
+    """The documents, with all their columns, and the number of their shard (a column that
+    already has this name is replaced). The exact
     borders of the shards (at most ``shards`` of them) are compared with each row's key,
     so whole documents need not be joined. Rows equal in text and id stay together."""
     borders = (

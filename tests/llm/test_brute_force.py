@@ -255,6 +255,18 @@ def test_op7_mix(spark, documents):
     assert again == {(r.doc_id, r.taken) for r in rows}
 
 
+@pytest.mark.parametrize("name", queries.SQL)
+def test_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from check import compare
+
+    con = duckdb.connect()
+    for table in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    outcome = compare(spark, con, name, queries.QUERIES[name], queries.SQL[name], SF)
+    assert outcome.startswith("ok") and "TYPES" not in outcome, outcome
+
+
 def test_quotas_are_sainte_lague(spark):
     goals = {1: 530.0, 2: 240.0, 3: 91.0, 4: 7.0, 5: 0.0}
     table = spark.createDataFrame([("s", k, 1.0, 1000, 868, v) for k, v in goals.items()],

@@ -9,7 +9,7 @@ from scanloom.llm import (
 )
 
 SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, size string, shard string, "
-          "key string, id string, spans string, `row` string, digest string, `rank` string, fp string")
+          "key string, good string, _id string, `row` string, _digest string, copy string, fp string")
 WORDS = "the cat sat on a mat and then it ran far away from here. "
 ROWS = [
     (1, WORDS * 5, "en", "a"), (2, WORDS * 5, "en", "b"), (3, None, "en", "a"), (4, "", None, None),
