@@ -86,13 +86,11 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> dict[str, int]:
         """Encode new pieces in one go: each opens with a blank, and only first tokens do. A
         piece that begins with a line feed or a carriage return stands for one without a
-        blank before it."""
-        if len(self.known) + len(pieces) > CACHED_PIECES:
-            self.known.clear()
-            self.used = 0
+        blank before it. When enough pieces are known (the frequent ones come early), further
+        ones are kept for one text only."""
         blank = [p for p in pieces if p[0] not in "\n\r"]
         parts: list[np.ndarray] = []
         if blank:
@@ -111,8 +109,11 @@ class Encoder:
         self.flat[self.used:ends[-1]] = np.concatenate(parts)
         self.begins[first] = self.used
         self.begins[first + 1:first + 1 + len(parts)] = ends
-        self.used = int(ends[-1])
-        self.known.update(zip(blank + bare, range(first, first + len(parts))))
+        numbers = dict(zip(blank + bare, range(first, first + len(parts))))
+        if first + len(parts) <= CACHED_PIECES:
+            self.used = int(ends[-1])
+            self.known.update(numbers)
+        return numbers
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, with the end id."""
@@ -125,14 +126,9 @@ class Encoder:
         try:
             numbers = list(map(self.known.__getitem__, pieces))
         except KeyError:
-            before = len(self.known)
-            fresh = list({p: None for p in pieces if p not in self.known})
-            if before + len(fresh) > CACHED_PIECES:
-                fresh = list(dict.fromkeys(pieces))
-            if len(fresh) > CACHED_PIECES:
-                return np.concatenate([self.whole(text), self.end])
-            self._learn(fresh)
-            numbers = list(map(self.known.__getitem__, pieces))
+            known = self.known
+            fresh = self._learn(list({p: None for p in pieces if p not in known}))
+            numbers = [fresh[p] if p in fresh else known[p] for p in pieces]
         which = np.array(numbers)
         begins = self.begins[which]
         lengths = self.begins[which + 1] - begins
