@@ -695,6 +695,7 @@ FROM b_ctx o FULL JOIN ctx n ON o.repo_id = n.repo_id AND o.rule_id = n.rule_id
   AND o.file = n.file AND o.line = n.line
 WHERE o.severity IS DISTINCT FROM n.severity""")
 
+    out["content_memo_scan"] = out["scan_findings_raw"]
     out["incremental_rescan"] = out["context_adjust"]
     out["tree_inventory"] = inv("repo_id, path, size, decision, scanner_key, file_context")
     out["tree_scan"] = out["scan_findings_raw"]

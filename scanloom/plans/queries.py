@@ -10,7 +10,7 @@ from scanloom import constants as K
 from scanloom.functions import redact as D, text as X
 from scanloom.operators import (
     admission as A, changes as C, detect as M, explain as E, findings as N, inventory as I,
-    report as P, score as S,
+    memo as H, report as P, score as S,
 )
 from scanloom.plans.scan import ScanResult, nested_by_file, scan
 from scanloom.plans.workspace import materialize, new_dir
@@ -146,6 +146,10 @@ def scan_findings_raw(spark, sf_dir):
     return M.detect(read_corpus(spark, sf_dir)).select(*RAW)
 
 
+def content_memo_scan(spark, sf_dir):
+    return H.detect_once(read_corpus(spark, sf_dir)).select(*RAW)
+
+
 def dedup_findings(spark, sf_dir):
     return N.dedup(M.detect(read_corpus(spark, sf_dir))).select(*RAW)
 
@@ -463,6 +467,7 @@ QUERIES: dict[str, Query] = {
     "tree_inventory": tree_inventory,
     "tree_scan": tree_scan,
     "tree_single_project": tree_single_project,
+    "content_memo_scan": content_memo_scan,
     "dedup_findings": dedup_findings,
     "context_adjust": context_adjust,
     "findings_sorted": findings_sorted,

@@ -146,3 +146,14 @@ def test_unreadable_files_are_counted_apart(spark, tmp_path):
     assert rows == {"a.py": I.SCAN, "b.py": I.UNREADABLE}
     assert {r.path: bool(r.read_error) for r in files.collect()} == {"a.py": False, "b.py": True}
     assert tuple(I.scan_stats(files).first())[1:3] == (1, 1)
+
+
+def test_equal_contents_are_scanned_once(spark, files):
+    from scanloom.operators.memo import detect_once
+
+    table = files(repos={"r": [("a.js", "eval(x)\n"), ("tests/a.js", "eval(x)\n"), ("a.py", "eval(x)\n"),
+                               (".env", "A_TOKEN=abcdefghijkl\n"), ("b/.env.example", "A_TOKEN=abcdefghijkl\n")],
+                         "s": [("z.js", "eval(x)\n"), ("c/.env", "A_TOKEN=abcdefghijkl\n"), ("e.js", None)]})
+    want = sorted(map(tuple, detect(table).collect()), key=repr)
+    got = detect_once(table)
+    assert sorted(map(tuple, got.select(*detect(table).columns).collect()), key=repr) == want
