@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scanloom.llm.common import unit_hash
+from scanloom.llm.common import slices, unit_hash
 
 PER_LANGUAGE = 1500
 GRAMS = 4000
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, grams:
     sample = usable.filter(unit_hash(SEED, "doc_id") < chance).select("lang", "text")
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             by_lang: dict[str, list[str]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 by_lang.setdefault(lang, []).append(text)
@@ -153,7 +153,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             names, scores = model.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)],

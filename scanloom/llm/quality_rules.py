@@ -20,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scanloom.llm.common import unit_hash
+from scanloom.llm.common import slices, unit_hash
 
 TRAIN_DOCS = 400
 STEPS = 80
+SEQUENCE = 128  # lines, in training
 LEAST_CONTENT = 0.5
 LEAST_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
@@ -76,8 +77,10 @@ def train(texts: list[bytes], steps: int = STEPS) -> dict[str, np.ndarray]:
     common = {x for x, n in everywhere.items() if n >= 3}
     if not parts:
         return {"state": np.zeros((FEATURES, 2)), "step": np.zeros((2, 2))}
-    x = [features_of(*p) for p in parts]
-    y = [np.array(provisional(*p, common)) for p in parts]
+    # long documents are cut into several sequences, so that padding stays small
+    x = [f[k:k + SEQUENCE] for p in parts for f in [features_of(*p)] for k in range(0, len(f), SEQUENCE)]
+    y = [np.array(g[k:k + SEQUENCE]) for p in parts for g in [provisional(*p, common)]
+         for k in range(0, len(g), SEQUENCE)]
     longest = max(map(len, y))
     feats = np.zeros((len(x), longest, FEATURES))
     gold, mask = np.zeros((len(x), longest), dtype=int), np.zeros((len(x), longest))
@@ -193,7 +196,7 @@ def measure(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -> Data
     types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "bytes"):
             rows = [judge(t or b"", model) for t in batch.column("bytes").to_pylist()]
             columns = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays(

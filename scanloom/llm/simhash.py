@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scanloom.llm.common import connected_components, stored
+from scanloom.llm.common import connected_components, slices, stored
 
 MAX_BITS = 2
 SHINGLE = 3
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp as a signed long with the fingerprint's bits. Null texts count as
     empty; every row gives one."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "bytes"):
             texts = [t or b"" for t in batch.column("bytes").to_pylist()]
             fps = fingerprints_of(texts, width).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
