@@ -28,12 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scanloom.llm.common import stored
+from scanloom.llm.common import slices, stored
 
 STEPS = 112          # of the walk: about as many bytes as half of it are read
 SAMPLED = 8          # steps whose symbols make a hash
 SHARE = 0.2          # edits allowed, of an item's bytes
-RECALL = 0.95        # aimed at, for an item with edits
+RECALL = 0.995       # aimed at, for an item with edits
 HIT = 0.35           # chance that one repetition hits one of its anchors
 ANCHORS = 3          # wanted in every item
 BLOCK_BYTES = 16 << 20
@@ -280,7 +280,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         items = Filter(block)
 
         def run(batches, items=items):
-            for batch in batches:
+            for batch in slices(batches, "bytes"):
                 ids = batch.column("doc_id")
                 for low, part in _groups([t or b"" for t in batch.column("bytes").to_pylist()]):
                     rows = items.find(part)
@@ -304,7 +304,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         items = Filter(block)
 
         def run(batches, items=items):
-            for batch in batches:
+            for batch in slices(batches, "text"):
                 texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
                 keep = np.ones(len(texts), dtype=bool)
                 for low, part in _groups(texts):
