@@ -542,7 +542,8 @@ SELECT repo_id, n AS n_files, n <= {Q.REPO_LIMIT} AS accepted FROM (
   SELECT repo_id, count(*) FILTER (NOT list_has_any(string_split(path, '/')[1:-2],
     {lst(K.SKIP_DIRS)})) AS n FROM corpus GROUP BY repo_id)""")
     shapes = lst(Q.URL_SHAPES)
-    good = "'https://github.com/owner' || page_id || '/repo.git'"
+    names = "['etl-jobs', 'etl.jobs', '', '', '', '', '', '', '', 'etl', '', '']"
+    good = f"'https://github.com/team' || page_id || '/' || {names}[k] || '.git'"
     verdicts = [None, None, K.URL_SCHEME, K.URL_HOST, K.URL_SCHEME, K.URL_SHAPE, K.URL_SHAPE,
                 K.URL_QUERY, K.URL_CHARS, None, K.URL_EMPTY, K.URL_QUERY]
     verdict_list = "[" + ", ".join("NULL" if v is None else q(v) for v in verdicts) + "]"
