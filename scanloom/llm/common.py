@@ -10,14 +10,26 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scanloom.plans.workspace import materialize as stored
 
-__all__ = ["WORD", "read", "stored", "id_remainder", "unit_hash", "word_count", "connected_components",
+__all__ = ["WORD", "bound_batches", "read", "stored", "id_remainder", "unit_hash", "word_count", "connected_components",
            "fresh", "slices"]
 
 # A word is a run of characters other than blank and the five ASCII line and tab controls.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_BYTES = "8m"
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let batches for Python hold a few megabytes instead of 10,000 rows of any size, where
+    the session or cluster doesn't say otherwise: texts may be long."""
+    if _BATCH_CONF not in spark.conf.getAll:
+        spark.conf.set(_BATCH_CONF, BATCH_BYTES)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
