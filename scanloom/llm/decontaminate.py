@@ -3,13 +3,21 @@
 The CGK walk copies a string symbol by symbol, at each step staying or moving on as a random
 bit of (step, symbol) says. Strings a few edits apart leave walks a small Hamming distance
 apart, so equal symbols at a few sampled steps are a locality-sensitive hash for edit
-distance. One repetition misses some; ``repeats`` gives how many reach a target recall.
-
-Texts are lower-cased and white space is made single blanks. Windows of texts and items
-start at words picked by their own first bytes (anchors), so both sides pick the same
-words, and the choice is made so that every item has several. What shares a hash is cut out as
-a window of the item's size around that place and verified by exact edit distance, up to
-a share of the item's size. The walk stops early where the symbols so far match no item.
+distance.
+
+Texts are lower-cased and white space is made single blanks. Items fall into classes by
+length; each class has walks of its own, which start at places picked by their own four bytes
+(anchors), so both sides pick the same ones, with or without blanks around them. A walk covers a
+few bytes only, so that among an item's many anchors some have few edits near them even where
+all edits allowed are made. Repetitions are added until walks find the wanted share of copies
+of the class's own items edited as far as is allowed (``Walks.measure``). Items with too few
+anchors go to a class in which every place is one. Items of less than ``SHORT`` bytes are cut
+into one piece more than edits are allowed: one piece is in the text unchanged, so that none is
+missed.
+
+Where a hash or piece is shared, 64 bytes of the item around it are compared first, many places at
+once, then a window of the item's size is verified by exact edit distance, up to a share of the
+item's size.
 
 Items are taken in blocks of ``BLOCK_BYTES``, one pass over the texts for each, so what goes to
 the tasks is bounded. No pair of documents is formed, and nothing of the documents is collected.
@@ -21,22 +29,25 @@ tables give no rows; columns other than the named ones are not read.
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from scanloom.llm.common import slices, stored
 
-STEPS = 112          # of the walk: about as many bytes as half of it are read
-SAMPLED = 8          # steps whose symbols make a hash
 SHARE = 0.2          # edits allowed, of an item's bytes
-RECALL = 0.995       # aimed at, for an item with edits
-HIT = 0.35           # chance that one repetition hits one of its anchors
-ANCHORS = 3          # wanted in every item
-BLOCK_BYTES = 16 << 20
+SHORT = 40           # bytes; items below are found by their pieces
+# least bytes of a class, steps of its walks (a multiple of SAMPLED), places of which one is an anchor
+CLASSES = ((40, 16, 2), (80, 24, 4), (160, 32, 8))
+DENSE = (40, 16, 1)  # for items in which a class picks too few places
+SAMPLED = 8          # steps whose symbols make a hash
+REPEATS = 3
+ANCHORS = 4          # wanted in every item over two repetitions
+BLOCK_BYTES = 4 << 20
+SEGMENT = 64         # bytes of an item compared first
+SEGMENT_EDITS = 24   # allowed in a segment: edits may lie denser there than in the item
+PAD = 2 * SEGMENT + 2 * SEGMENT_EDITS
+PLACES = 1 << 16     # worked on at once
 SEED = 61
 
 
@@ -44,12 +55,6 @@ def normal(text: bytes) -> bytes:
     return b" ".join(text.lower().split())
 
 
-def repeats(recall: float = RECALL, hit: float = HIT, anchors: int = ANCHORS) -> int:
-    """Repetitions after which an item whose ``anchors`` each hit with chance ``hit`` is
-    found with chance ``recall``."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit) / anchors))
-
-
 def edits(item: bytes, window: bytes, most: int) -> tuple[int, int] | None:
     """Least edits that turn the item into some part of the window, and where that part ends;
     None if over ``most``. Bit-parallel over the item's bytes."""
@@ -81,160 +86,278 @@ def edits(item: bytes, window: bytes, most: int) -> tuple[int, int] | None:
     return (best, end) if best <= most else None
 
 
-def anchor_words(text: np.ndarray, salt: int, one_in: int) -> np.ndarray:
-    """Places of words that are anchors; ``text`` has at least four zero bytes at its end."""
-    starts = np.flatnonzero((text[:-4] != 32) & (text[:-4] != 0)
-                            & (np.concatenate([[32], text[:-5]]) <= 32))
-    head = sum(text[starts + k].astype(np.uint32) << np.uint32(8 * k) for k in range(4))
-    return starts[_picked(head, salt, one_in)]
+def heads(text: bytes, size: int = 4) -> np.ndarray:
+    """The ``size`` bytes from each place on, as a number."""
+    array = np.frombuffer(text, dtype=np.uint8)
+    n = max(0, len(array) - size + 1)
+    value = np.zeros(n, dtype=np.uint32)
+    for k in range(size):
+        value |= array[k:k + n].astype(np.uint32) << np.uint32(8 * k)
+    return value
 
 
-def _picked(head: np.ndarray, salt: int, one_in: int) -> np.ndarray:
+def picked(head: np.ndarray, salt: int, one_in: int) -> np.ndarray:
     mixed = (head ^ np.uint32(salt * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
     mixed ^= mixed >> np.uint32(15)
-    return (mixed >> np.uint32(8)) % np.uint32(one_in) == 0
-
-
-def _padded(text: bytes) -> np.ndarray:
-    return np.frombuffer(text + bytes(STEPS + 8), dtype=np.uint8)
-
-
-@dataclass
-class Filter:
-    """Hash tables of a block of items."""
-
-    items: list[tuple[int, bytes]]
-    seed: int = SEED
-    salt: int = 0
-    one_in: int = 3
-    walks: list[np.ndarray] = field(default_factory=list)    # steps x 256, 0 or 1
-    sampled: list[np.ndarray] = field(default_factory=list)  # steps
-    pairs: list[np.ndarray] = field(default_factory=list)    # which first two symbols occur
-    keys: list[list[np.ndarray]] = field(default_factory=list)  # sorted, by number of symbols
-    owners: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
-
-    def __post_init__(self):
-        texts = [_padded(t) for _, t in self.items]
-        self.one_in, self.salt = self._choose(texts)
-        places = [anchor_words(t, self.salt, self.one_in) for t in texts]
-        rng = np.random.default_rng(self.seed)
-        for _ in range(repeats()):
-            walk = rng.integers(0, 2, (STEPS, 256)).astype(np.int32)
-            # one step in each of as many equal stretches, so that a hash sees all of a window
-            steps = (np.arange(SAMPLED) * STEPS + rng.integers(0, STEPS, SAMPLED)) // SAMPLED
-            self.walks.append(walk)
-            self.sampled.append(steps)
-            hashes, item, offset = [], [], []
-            for n, (t, p) in enumerate(zip(texts, places)):
-                symbols, ends = self._walk(t, p.astype(np.int64), walk, steps)
-                # a walk past the item's end would hash what follows it in a text
-                inside = ends <= len(self.items[n][1])
-                if not inside.any() and len(p):
-                    inside[:1] = True
-                hashes.append(symbols[inside])
-                item += [n] * int(inside.sum())
-                offset += p[inside].tolist()
-            table = np.concatenate(hashes) if hashes else np.zeros((0, SAMPLED), dtype=np.uint64)
-            parts = [np.unique(self._key(table[:, :k])) for k in range(1, SAMPLED + 1)]
-            order = np.argsort(self._key(table), kind="stable")
-            self.keys.append(parts)
-            self.pairs.append(np.isin(np.arange(1 << 16, dtype=np.uint64), parts[1]))
-            self.owners.append((self._key(table)[order], np.array(item, dtype=np.int64)[order],
-                                np.array(offset, dtype=np.int64)[order]))
-
-    def _choose(self, texts) -> tuple[int, int]:
-        heads = []
-        for t in texts:
-            p = anchor_words(t, 0, 1)
-            heads.append(sum(t[p + k].astype(np.uint32) << np.uint32(8 * k) for k in range(4)))
-        heads = [h for h in heads if len(h)]
-        best = (-1, 1, 0)
-        for one_in in (4, 3, 2, 1):
-            for salt in range(16):
-                least = min((int(_picked(h, salt, one_in).sum()) - min(ANCHORS, len(h)) for h in heads), default=0)
-                if least >= 0:
-                    return one_in, salt
-                best = max(best, (least, one_in, salt))
-        return 1, 0
+    return (mixed >> np.uint32(8)) < np.uint32((1 << 24) // one_in)
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64)
+
+
+def _matches(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (index in ``key``, index in sorted ``keys``) of equal values."""
+    low = np.searchsorted(keys, key, side="left")
+    n = np.searchsorted(keys, key, side="right") - low
+    which = np.repeat(np.arange(len(key)), n)
+    return which, np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(which))
+
+
+class Pieces:
+    """Items of less than ``SHORT`` bytes, by pieces of which at least one stays unchanged."""
+
+    def __init__(self, items: dict[int, bytes]):
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        rows: dict[int, list[tuple[int, int, int]]] = {}
+        for n, item in items.items():
+            count = int(SHARE * len(item)) + 1
+            cuts = [len(item) * k // count for k in range(count + 1)]
+            for low, high in zip(cuts, cuts[1:]):
+                size = min(4, high - low)
+                rows.setdefault(size, []).append((int(heads(item[low:low + size], size)[0]), n, low))
+        for size, found in rows.items():
+            key, item, offset = np.array(sorted(found), dtype=np.int64).T
+            self.tables[size] = key.astype(np.uint64), item, offset
+
+    def candidates(self, text: bytes, head: np.ndarray):
+        for size, (keys, item, offset) in self.tables.items():
+            value = head if size == 4 else heads(text, size)
+            known = np.zeros(1 << 18, dtype=bool)
+            known[_slot(keys)] = True
+            for low in range(0, len(value), PLACES):
+                part = value[low:low + PLACES].astype(np.uint64)
+                at = np.flatnonzero(known[_slot(part)])
+                which, j = _matches(keys, part[at])
+                yield low + at[which], item[j], offset[j]
+
+
+class Walks:
+    """Hash tables of one class of items."""
+
+    def __init__(self, items: dict[int, bytes], steps: int, one_in: int, seed: int = SEED):
+        self.items, self.steps, self.one_in = items, steps, one_in
+        self.rng = np.random.default_rng(seed)
+        self.tables: list[tuple] = []  # of each repetition
+
+    def add(self) -> None:
+        """One more repetition."""
+        walk = self.rng.integers(0, 2, (self.steps, 256)).astype(np.int32)
+        # one step in each of as many equal stretches, so that a hash sees all of a window
+        sampled = (np.arange(SAMPLED) * self.steps + self.rng.integers(0, self.steps, SAMPLED)) // SAMPLED
+        keys, items, offsets = [], [], []
+        for n, item in self.items.items():
+            places = np.flatnonzero(picked(heads(item), len(self.tables), self.one_in))
+            key, end = self._walk(item, places, walk, sampled)
+            inside = end <= len(item)  # a walk past the item's end would hash what follows it in a text
+            keys.append(key[inside])
+            items.append(np.full(int(inside.sum()), n))
+            offsets.append(places[inside])
+        key, item, offset = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (keys, items, offsets))
+        order = np.argsort(key.astype(np.uint64), kind="stable")
+        key = key.astype(np.uint64)[order]
+        known = {}
+        for k in (1, 3, 5, 7):
+            known[k] = np.zeros(1 << 18, dtype=bool)
+            known[k][_slot(key & np.uint64((1 << 8 * (k + 1)) - 1))] = True
+        self.tables.append((walk, sampled, known, key, item[order], offset[order]))
 
     @staticmethod
-    def _key(symbols: np.ndarray) -> np.ndarray:
-        key = np.zeros(len(symbols), dtype=np.uint64)
-        for k in range(symbols.shape[1]):
-            key |= symbols[:, k].astype(np.uint64) << np.uint64(8 * k)
-        return key
-
-    @staticmethod
-    def _walk(text, at, walk, steps):
-        """Sampled symbols of walks from ``at``, and where the walks end."""
-        at, symbols = at.copy(), np.zeros((len(at), SAMPLED), dtype=np.uint64)
-        k = 0
-        for step in range(int(steps[-1]) + 1):
+    def _walk(item: bytes, places, walk, sampled):
+        text = np.frombuffer(item + bytes(len(walk)), dtype=np.uint8)
+        at, key = places.copy(), np.zeros(len(places), dtype=np.uint64)
+        for step in range(int(sampled[-1]) + 1):
             c = text[at]
-            if step == steps[k]:
-                symbols[:, k] = c
-                k += 1
+            for k in np.flatnonzero(sampled == step):
+                key |= c.astype(np.uint64) << np.uint64(8 * k)
             at += walk[step][c]
-        return symbols, at
-
-    def candidates(self, text: np.ndarray, places: np.ndarray):
-        """(place, item, offset) of text anchors that share a hash with an item's anchor."""
-        for walk, steps, pairs, keys, (owner_keys, item, offset) in zip(
-                self.walks, self.sampled, self.pairs, self.keys, self.owners):
-            origin, at = places, places.astype(np.int32)
-            key = np.zeros(len(at), dtype=np.uint64)
-            k = 0
-            for step in range(int(steps[-1]) + 1):
-                c = text[at]
-                if step == steps[k]:
-                    key |= c.astype(np.uint64) << np.uint64(8 * k)
-                    if k == 1:
-                        hit = pairs[key]
-                    elif k > 1:
-                        known = keys[k]
-                        hit = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
-                    if k:
-                        origin, at, key, c = origin[hit], at[hit], key[hit], c[hit]
-                    k += 1
+        return key, at
+
+    def scarce(self, repeats: int = 2) -> list[int]:
+        """Items with too few anchors in the first repetitions."""
+        count = sum(np.bincount(t[4].astype(np.int64), minlength=max(self.items, default=0) + 1)
+                    for t in self.tables[:repeats])
+        return [n for n in self.items if count[n] < ANCHORS]
+
+    def candidates(self, text: bytes, head: np.ndarray):
+        """(places, items, offsets) of text anchors that share a hash with an item's anchor."""
+        array = np.frombuffer(text, dtype=np.uint8)
+        for number in range(len(self.tables)):
+            for low in range(0, len(head), 4 * PLACES):
+                places = low + np.flatnonzero(picked(head[low:low + 4 * PLACES], number, self.one_in))
+                yield from self._of(number, array, places)
+
+    def _of(self, number: int, array: np.ndarray, places: np.ndarray):
+        walk, sampled, known, keys, item, offset = self.tables[number]
+        at, key, k = places.copy(), np.zeros(len(places), dtype=np.uint64), 0
+        for step in range(int(sampled[-1]) + 1):
+            c = array[at]
+            if step == sampled[k]:
+                key |= c.astype(np.uint64) << np.uint64(8 * k)
+                if k in known:
+                    hit = known[k][_slot(key)]
+                    places, at, key, c = places[hit], at[hit], key[hit], c[hit]
                     if not len(at):
-                        break
-                at += walk[step][c]
-            if not len(at):
-                continue
-            low = np.searchsorted(owner_keys, key, side="left")
-            high = np.searchsorted(owner_keys, key, side="right")
-            for place, a, b in zip(origin.tolist(), low.tolist(), high.tolist()):
-                for j in range(a, b):
-                    yield place, int(item[j]), int(offset[j])
+                        return
+                k += 1
+            at += walk[step][c]
+        which, j = _matches(keys, key)
+        if len(j):
+            yield places[which], item[j], offset[j]
 
-    def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+
+class Filter:
+    """What finds the items of a block."""
+
+    def __init__(self, items: list[tuple[int, bytes]], seed: int = SEED):
+        self.items = items
+        self.pieces = Pieces({n: t for n, (_, t) in enumerate(items) if len(t) < SHORT})
+        self.walks: list[Walks] = []
+        dense: dict[int, bytes] = {}
+        for k, (least, steps, one_in) in enumerate(CLASSES):
+            most = CLASSES[k + 1][0] if k + 1 < len(CLASSES) else float("inf")
+            own = {n: t for n, (_, t) in enumerate(items) if least <= len(t) < most}
+            self._add_class(own, steps, one_in, seed + k, dense)
+        self._add_class(dense, *DENSE[1:], seed + len(CLASSES), None)
+        # segments of items, one after another
+        self.first = np.cumsum([0] + [self._segments(len(t)) for _, t in items])
+        self._masks = None
+
+    def _add_class(self, own: dict[int, bytes], steps: int, one_in: int, seed: int, dense) -> None:
+        if own and dense is not None:
+            trial = Walks(own, steps, one_in, seed)
+            trial.add()
+            trial.add()
+            for n in trial.scarce():
+                dense[n] = own.pop(n)
+        if own:
+            walks = Walks(own, steps, one_in, seed)
+            for _ in range(REPEATS):
+                walks.add()
+            self.walks.append(walks)
+
+    @staticmethod
+    def _segments(size: int) -> int:
+        return max(0, -(-(size - SEGMENT) // (SEGMENT // 2))) + 1
+
+    def __getstate__(self):
+        return {**self.__dict__, "_masks": None}
+
+    def masks(self):
+        """Of each segment: where it starts, its size, and for each symbol (its low six
+        bits) the places that have it."""
+        if self._masks is None:
+            sizes = np.array([len(t) for _, t in self.items], dtype=np.int64)
+            item = np.repeat(np.arange(len(sizes)), np.diff(self.first))
+            begin = np.minimum((np.arange(len(item)) - self.first[item]) * (SEGMENT // 2),
+                               np.maximum(0, sizes[item] - SEGMENT))
+            size = np.minimum(sizes[item], SEGMENT)
+            text = np.frombuffer(b"".join(t for _, t in self.items) + bytes(SEGMENT), dtype=np.uint8)
+            at = (np.cumsum(sizes) - sizes)[item] + begin
+            table, every = np.zeros((len(item), 64), dtype=np.uint64), np.arange(len(item))
+            for k in range(SEGMENT):
+                bit = np.where(k < size, np.uint64(1 << k), np.uint64(0))
+                table[every, text[at + k] & 63] |= bit
+            whole = sizes[item] <= SEGMENT
+            allowed = np.where(whole, (SHARE * sizes[item]).astype(np.int64), SEGMENT_EDITS)
+            self._masks = begin, size, allowed, table.reshape(-1)
+        return self._masks
+
+    def near(self, array: np.ndarray, place, item, offset) -> np.ndarray:
+        """Which places have the item's segment around them within the edits allowed for one, or
+        with symbols that look alike in six bits. Bit-parallel, many places at once."""
+        begin, size, allowed, table = self.masks()
+        last = np.diff(self.first)[item] - 1
+        segment = self.first[item] + np.clip((offset - SEGMENT // 4) // (SEGMENT // 2), 0, last)
+        begin, size, allowed, row = begin[segment], size[segment], allowed[segment], segment * 64
+        drift = np.minimum(allowed, SEGMENT_EDITS)
+        at = place - offset + begin - drift
+        up, down = np.full(len(place), ~np.uint64(0)), np.zeros(len(place), dtype=np.uint64)
+        score, best, top = size.copy(), size.copy(), (size - 1).astype(np.uint64)
+        one = np.uint64(1)
+        for _ in range(int((size + 2 * drift).max())):
+            c = array[np.clip(at, 0, len(array) - 1)] & 63
+            eq = table[row + c]
+            x = eq | down
+            d = (((eq & up) + up) ^ up) | eq
+            h_up = down | ~(d | up)
+            h_down = up & d
+            score += (h_up >> top & one).astype(np.int64) - (h_down >> top & one).astype(np.int64)
+            np.minimum(best, score, out=best)
+            h_up <<= one
+            h_down <<= one
+            up = h_down | ~(x | h_up)
+            down = h_up & x
+            at += 1
+        return best <= allowed
+
+    def candidates(self, text: bytes):
+        """(place, where the item would start, item) of places that pass the first comparison."""
+        array, head = np.frombuffer(text, dtype=np.uint8), heads(text)
+        held: list[tuple] = []
+        size = 0
+        for found in self._seeds(text, head):
+            held.append(found)
+            size += len(found[0])
+            if size >= PLACES:
+                yield from self._passed(array, held)
+                held, size = [], 0
+        yield from self._passed(array, held)
+
+    def _seeds(self, text: bytes, head: np.ndarray):
+        for source in (self.pieces, *self.walks):
+            yield from source.candidates(text, head)
+
+    def _passed(self, array, held):
+        if not held:
+            return
+        place, item, offset = (np.concatenate(x) for x in zip(*held))
+        for low in range(0, len(place), PLACES // 4):
+            p, n, o = (x[low:low + PLACES // 4] for x in (place, item, offset))
+            hit = self.near(array, p, n, o)
+            yield from zip(p[hit].tolist(), (p - o)[hit].tolist(), n[hit].tolist())
+
+    def find(self, texts: list[bytes], once: bool = False) -> list[tuple[int, int, int, int, int]]:
         """(text, item id, edits, start, end) of each item found, in bytes of the
-        normal form."""
-        parts = [normal(t) for t in texts]
-        gap = bytes(STEPS + 8)
-        text = np.frombuffer(gap.join([*parts, b""]), dtype=np.uint8)
-        if not parts or not self.items:
+        normal form; with ``once`` of one item for each text."""
+        if not texts or not self.items:
             return []
-        places = anchor_words(text, self.salt, self.one_in)
+        parts = [normal(t) for t in texts]
+        gap = bytes(PAD)
+        text = gap.join([*parts, b""])
         firsts = np.cumsum([0] + [len(p) + len(gap) for p in parts])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        tried: set[tuple[int, int]] = set()
-        for place, n, offset in self.candidates(text, places):
-            spot = (place - offset, n)
-            if spot in tried:
+        tried: set[tuple[int, int, int]] = set()
+        done: set[int] = set()
+        for place, start, n in self.candidates(text):
+            item_id, item = self.items[n]
+            most = int(SHARE * len(item))
+            row = int(np.searchsorted(firsts, place, side="right")) - 1
+            start -= int(firsts[row])
+            spot = (row, start // 8, n)
+            if row in done or spot in tried:
                 continue
             tried.add(spot)
-            row = int(np.searchsorted(firsts, place, side="right")) - 1
-            item_id, item = self.items[n]
             if best.get((row, n), (1,))[0] == 0:
                 continue
-            most = int(SHARE * len(item))
-            begin = max(0, place - int(firsts[row]) - offset - most)
-            window = parts[row][begin:begin + len(item) + 2 * most]
+            low = start // 8 * 8 - most
+            window = parts[row][max(0, low):max(0, low + len(item) + 2 * most + 8)]
             found = edits(item, window, most)
             if found and found[0] < best.get((row, n), (most + 1,))[0]:
-                end = begin + found[1]
+                end = max(0, low) + found[1]
                 best[row, n] = (found[0], max(0, end - len(item)), end)
+                if once:
+                    done.add(row)
         return [(row, self.items[n][0], *v) for (row, n), v in sorted(best.items())]
 
 
@@ -308,7 +431,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
                 keep = np.ones(len(texts), dtype=bool)
                 for low, part in _groups(texts):
-                    keep[[low + r[0] for r in items.find(part)]] = False
+                    keep[[low + r[0] for r in items.find(part, once=True)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
