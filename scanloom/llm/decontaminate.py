@@ -29,6 +29,8 @@ tables give no rows; columns other than the named ones are not read.
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -41,7 +43,9 @@ SHORT = 40           # bytes; items below are found by their pieces
 CLASSES = ((40, 16, 2), (80, 24, 4), (160, 32, 8))
 DENSE = (40, 16, 1)  # for items in which a class picks too few places
 SAMPLED = 8          # steps whose symbols make a hash
-REPEATS = 3
+RECALL = 0.995       # aimed at, for items with all edits that are allowed
+TRIALS = 200         # edited copies of a class's items, to measure it with
+MOST_REPEATS = 24    # where the aim is not reached before
 ANCHORS = 4          # wanted in every item over two repetitions
 BLOCK_BYTES = 4 << 20
 SEGMENT = 64         # bytes of an item compared first
@@ -114,6 +118,25 @@ def _matches(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return which, np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(which))
 
 
+def edited(item: bytes, most: int, rng: random.Random) -> bytes:
+    """A copy ``most`` edits away, by substitutions, insertions and deletions; of long items by
+    as many edits, some of which may cancel out."""
+    text = bytearray(item)
+
+    def edit():
+        at = rng.randrange(len(text))
+        kind = rng.randrange(3)
+        text[at:at + (kind != 1)] = b"" if kind == 2 else bytes([item[rng.randrange(len(item))]])
+
+    before = item
+    for k in range(2 * most + 8):  # a text of one symbol would stay near for ever
+        if k > most and (len(item) > 1024 or not text or (edits(item, bytes(text), most) or (most + 1,))[0] > most):
+            break
+        before = bytes(text)
+        edit()
+    return before
+
+
 class Pieces:
     """Items of less than ``SHORT`` bytes, by pieces of which at least one stays unchanged."""
 
@@ -183,6 +206,29 @@ class Walks:
             at += walk[step][c]
         return key, at
 
+    def measure(self, seed: int = SEED) -> float:
+        """Add repetitions until they find ``RECALL`` of copies with all edits allowed of the
+        shorter half of the items, which are the harder ones; gives the share found."""
+        rng = random.Random(seed)
+        shorter = sorted(self.items, key=lambda n: len(self.items[n]))[:(len(self.items) + 1) // 2]
+        trials = []
+        for k in range(TRIALS):
+            n = shorter[k % len(shorter) if len(shorter) <= TRIALS else k * len(shorter) // TRIALS]
+            most = int(SHARE * len(self.items[n]))
+            text = edited(self.items[n], most, rng)
+            trials.append((n, most, np.frombuffer(text + bytes(self.steps), dtype=np.uint8), heads(text)))
+        while True:
+            self.add()
+            number = len(self.tables) - 1
+            trials = [t for t in trials if not self._finds(number, *t)]
+            if len(trials) <= (1 - RECALL) * TRIALS or number + 1 >= MOST_REPEATS:
+                return 1 - len(trials) / TRIALS
+
+    def _finds(self, number: int, n: int, most: int, array: np.ndarray, head: np.ndarray) -> bool:
+        places = np.flatnonzero(picked(head, number, self.one_in)).astype(np.int32)
+        return any(((item == n) & (np.abs(place - offset) <= most)).any()
+                   for place, item, offset in self._of(number, array, places))
+
     def scarce(self, repeats: int = 2) -> list[int]:
         """Items with too few anchors in the first repetitions."""
         count = sum(np.bincount(t[4].astype(np.int64), minlength=max(self.items, default=0) + 1)
@@ -193,9 +239,9 @@ class Walks:
         """(places, items, offsets) of text anchors that share a hash with an item's anchor."""
         array = np.frombuffer(text, dtype=np.uint8)
         for number in range(len(self.tables)):
-            for low in range(0, len(head), 4 * PLACES):
-                places = low + np.flatnonzero(picked(head[low:low + 4 * PLACES], number, self.one_in))
-                yield from self._of(number, array, places)
+            for low in range(0, len(head), 2 * PLACES):
+                places = low + np.flatnonzero(picked(head[low:low + 2 * PLACES], number, self.one_in))
+                yield from self._of(number, array, places.astype(np.int32))
 
     def _of(self, number: int, array: np.ndarray, places: np.ndarray):
         walk, sampled, known, keys, item, offset = self.tables[number]
@@ -242,8 +288,7 @@ class Filter:
                 dense[n] = own.pop(n)
         if own:
             walks = Walks(own, steps, one_in, seed)
-            for _ in range(REPEATS):
-                walks.add()
+            walks.measure(seed)
             self.walks.append(walks)
 
     @staticmethod
