@@ -63,20 +63,22 @@ class Encoder:
     """Ids of whole texts. Byte-level pre-tokenization always starts a token at a blank
     between two characters that are not white space, and at a line feed between two
     such, so a text without other white space is encoded piece by piece, and pieces seen before
-    are looked up. New pieces go to the tokenizer together. Other texts go to it whole."""
+    are looked up. New pieces go to the tokenizer together. Other texts, and those that hold
+    an added token's content, go to it whole."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.end = np.array([end_id], dtype=np.uint32)
         blank = next(v for v in self.tokenizer.encode(" a", add_special_tokens=False).tokens)[0]
         size = self.tokenizer.get_vocab_size()
         self.opens = np.zeros(size, dtype=bool)  # tokens that begin with a blank
         for token, number in self.tokenizer.get_vocab().items():
             self.opens[number] = token.startswith(blank)
+        # added tokens are found in a whole text, across pieces
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         # seen pieces: number of each, and the ids of all of them end to end
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
@@ -119,6 +121,8 @@ class Encoder:
         """Ids of a text, with the end id."""
         if not text:
             return self.end
+        if any(t in text for t in self.added):
+            return np.concatenate([self.whole(text), self.end])
         pieces = ("\r" + text).replace("\n", " \n").split(" ")
         # white space other than single blanks and line feeds between two words
         if "\r" in text or len(text.split()) != len(pieces) or text[0].isspace() or text[-1].isspace():
