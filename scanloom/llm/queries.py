@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, with their production parameters.
 
-``sql`` has the SQL of two of them. The results of the others hang on hashes, trained weights or
+``sql`` has the SQL of some of them. The results of the others hang on hashes, trained weights or
 libraries that DuckDB lacks: ``tests/llm`` compares them with brute force, round trips and
 held-out rows.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from scanloom.llm import (
-    decontaminate, language_id, mixing, quality, quality_rules, secrets, sharding, simhash,
+    decontaminate, language_id, mixing, prefix_trie, quality, quality_rules, secrets, sharding, simhash,
     token_planes, url_templates,
 )
 from scanloom.llm.common import id_remainder, read
@@ -91,6 +91,10 @@ def op10_quality_rules(spark, sf_dir) -> DataFrame:
     return quality_rules.measure(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark, sf_dir) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_language_id, op3_token_planes, op4_decontaminate, op5_simhash, op6_secrets,
-    op7_mixing, op8_url_templates, op9_quality, op10_quality_rules)}
+    op7_mixing, op8_url_templates, op9_quality, op10_quality_rules, op11_prefix_trie)}

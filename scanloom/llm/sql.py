@@ -1,4 +1,4 @@
-"""DuckDB SQL of the queries that SQL can express whole: mixing and url templates."""
+"""DuckDB SQL of the queries that SQL can express whole: mixing, url templates, prefix trie, divergence."""
 
 from __future__ import annotations
 
@@ -116,4 +116,42 @@ FROM shaped s JOIN tree{U.DEPTH} t ON s.host = t.host AND s.shape = t.shape
 JOIN shares x ON x.host = t.host AND x.template = t.template"""
 
 
-SQL = {"op7_mixing": mixing_sql(), "op8_url_templates": url_templates_sql()}
+def prefix_trie_sql() -> str:
+    """A prefix's key is the SHA-256 of its turns, end to end, 64 characters a turn; crc32 goes bit by bit."""
+    turn = "sha256(length(role)::VARCHAR || ':' || role || text)"
+    steps = ", ".join(["256"] * 8)
+    crc = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+      lambda x: [ascii(x)::BIGINT, {steps}]))), lambda a, x: CASE WHEN x < 256 THEN xor(a, x)
+      WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+    return f"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT conv_id, {turn} AS digest, coalesce(len(regexp_extract_all(text, {q(WORD)})), 0) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {turn}) AS pos FROM given),
+ids AS (SELECT conv_id, {crc} % 4 AS h FROM turns GROUP BY conv_id),
+built AS (
+  SELECT i.conv_id, false AS own, pos, digest, words
+  FROM ids i JOIN turns t ON t.conv_id = i.conv_id - i.conv_id % 20 AND pos <= h
+  UNION ALL SELECT i.conv_id, true, pos, digest, words FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND pos > h),
+members AS (
+  SELECT conv_id, row_number() OVER line AS depth, string_agg(digest, '') OVER line AS key, words FROM built
+  WINDOW line AS (PARTITION BY conv_id ORDER BY own, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM ids),
+marked AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) = depth AS last FROM members),
+nodes AS (
+  SELECT key, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '') AS ends FROM marked GROUP BY key),
+children AS (
+  SELECT key[1:64 * (depth - 1)] AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (key)),
+below AS (
+  SELECT key[1:64 * up] AS key, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves,
+    sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM whole) GROUP BY 1)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens,
+  sha256(w.ends) AS ends_sha256
+FROM whole w JOIN below b USING (key) LEFT JOIN nodes p ON w.depth > 0 AND p.key = w.key[1:64 * (w.depth - 1)]"""
+
+
+SQL = {"op7_mixing": mixing_sql(), "op8_url_templates": url_templates_sql(), "op11_prefix_trie": prefix_trie_sql()}
