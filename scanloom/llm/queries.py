@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from scanloom.llm import (
-    decontaminate, language_id, mixing, prefix_trie, quality, quality_rules, secrets, sharding, simhash,
+    decontaminate, divergence, language_id, mixing, prefix_trie, quality, quality_rules, secrets, sharding, simhash,
     token_planes, url_templates,
 )
 from scanloom.llm.common import id_remainder, read
@@ -95,6 +95,11 @@ def op11_prefix_trie(spark, sf_dir) -> DataFrame:
     return prefix_trie.trie(read(spark, sf_dir, "conversations"))
 
 
+def op13_divergence(spark, sf_dir) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_language_id, op3_token_planes, op4_decontaminate, op5_simhash, op6_secrets,
-    op7_mixing, op8_url_templates, op9_quality, op10_quality_rules, op11_prefix_trie)}
+    op7_mixing, op8_url_templates, op9_quality, op10_quality_rules, op11_prefix_trie,
+    op13_divergence)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scanloom.llm import mixing, url_templates
+from scanloom.llm import divergence, mixing, url_templates
 from scanloom.llm.common import WORD
 
 
@@ -154,4 +154,48 @@ SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children,
 FROM whole w JOIN below b USING (key) LEFT JOIN nodes p ON w.depth > 0 AND p.key = w.key[1:64 * (w.depth - 1)]"""
 
 
-SQL = {"op7_mixing": mixing_sql(), "op8_url_templates": url_templates_sql(), "op11_prefix_trie": prefix_trie_sql()}
+def divergence_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    term = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+    def share(count: str, total: str) -> str:
+        return f"(1 + {divergence.SCALE}::HUGEINT * ({count} + 2) // ({total} + 2 * v))"
+
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), {q(term)}) AS terms FROM documents),
+found AS (SELECT id, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term FROM found GROUP BY ALL HAVING count(DISTINCT id) >= {divergence.LEAST_DOCS}),
+counts AS (SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+all_groups AS (
+  SELECT g.lang, g.source, coalesce(total, 0)::HUGEINT AS total, coalesce(v, 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM docs) g
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL) t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN sizes s ON s.lang = g.lang),
+shares AS (
+  SELECT g.lang, g.source, k.term, n, {share('coalesce(n, 0)', 'total')} AS p
+  FROM all_groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+wholes AS (
+  SELECT lang, term, {share('n', 'total')} AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL)
+  JOIN (SELECT lang, sum(total) AS total, any_value(v) AS v FROM all_groups GROUP BY lang) USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0)::BIGINT AS value
+  FROM all_groups a JOIN all_groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS f
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+  FROM shares JOIN wholes USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value,
+  row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}"""
+
+
+SQL = {"op7_mixing": mixing_sql(), "op8_url_templates": url_templates_sql(), "op11_prefix_trie": prefix_trie_sql(),
+       "op13_divergence": divergence_sql()}
