@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from scanloom.llm import (
-    decontaminate, divergence, language_id, mixing, prefix_trie, quality, quality_rules, secrets, sharding, simhash,
+    decontaminate, divergence, kneser_ney, language_id, mixing, prefix_trie, quality, quality_rules, secrets, sharding, simhash,
     token_planes, url_templates,
 )
 from scanloom.llm.common import id_remainder, read
@@ -95,6 +95,14 @@ def op11_prefix_trie(spark, sf_dir) -> DataFrame:
     return prefix_trie.trie(read(spark, sf_dir, "conversations"))
 
 
+def op12_kneser_ney(spark, sf_dir) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    remainder = id_remainder(F.col("doc_id"), 7)
+    model = kneser_ney.fit(docs, remainder != 2)
+    return kneser_ney.score(docs, model).select(
+        "doc_id", (remainder == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_divergence(spark, sf_dir) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
@@ -102,4 +110,4 @@ def op13_divergence(spark, sf_dir) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_language_id, op3_token_planes, op4_decontaminate, op5_simhash, op6_secrets,
     op7_mixing, op8_url_templates, op9_quality, op10_quality_rules, op11_prefix_trie,
-    op13_divergence)}
+    op12_kneser_ney,     op13_divergence)}
