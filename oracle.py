@@ -702,6 +702,8 @@ WHERE o.severity IS DISTINCT FROM n.severity""")
     out["tree_scan"] = out["scan_findings_raw"]
     out["tree_single_project"] = inv(
         "'project' AS repo_id, repo_id || '/' || path AS path, size, decision, file_context")
+    out["stream_tree_scan"] = with_(found[:7], f"SELECT {RAW}, adjusted_severity_reason FROM ctx")
+    out["lossy_decode"] = lossy_decode_sql(Q.DAMAGE)
     out["scan_response_nested"] = with_(found[:7], """SELECT repo_id, file, count(*)::INT AS n_findings,
   string_agg(rule_id || ':' || line || ':' || severity, ',' ORDER BY sev_rank, line, ord) AS findings
 FROM ctx GROUP BY repo_id, file""")
@@ -721,6 +723,22 @@ SELECT time_bucket(INTERVAL 1 MINUTE, t) AS window_start,
     return out
 
 
+def lossy_decode_sql(damage) -> str:
+    """Damaged bytes as hex, from which the well-formed characters are taken one by one."""
+    bad = lst("".join(f"\\x{h[k:k + 2]}" for k in range(0, len(h), 2)) for h in damage)
+    good = "|".join((
+        "[0-7][0-9A-F] ", "(?:C[2-9A-F]|D[0-9A-F]) [89AB][0-9A-F] ", "E0 [AB][0-9A-F] [89AB][0-9A-F] ",
+        "E[1-9A-CEF] [89AB][0-9A-F] [89AB][0-9A-F] ", "ED [89][0-9A-F] [89AB][0-9A-F] ",
+        "F0 [9AB][0-9A-F] [89AB][0-9A-F] [89AB][0-9A-F] ",
+        "F[1-3] [89AB][0-9A-F] [89AB][0-9A-F] [89AB][0-9A-F] ", "F4 8[0-9A-F] [89AB][0-9A-F] [89AB][0-9A-F] "))
+    return f"""
+WITH bytes AS (
+  SELECT doc_id, list_reduce(list_transform(string_split(text, ' e'), lambda x: encode(x)),
+    lambda a, b: a || ' '::BLOB || {bad}[doc_id % {len(damage)} + 1]::BLOB || 'e'::BLOB || b) AS raw FROM documents)
+SELECT doc_id, octet_length(raw)::INTEGER AS n_bytes, decode(unhex(replace(array_to_string(
+  regexp_extract_all(regexp_replace(hex(raw), '(..)', '\\1 ', 'g'), '{good}'), ''), ' ', ''))) AS decoded FROM bytes"""
+
+
 def _prompt_parts() -> list[str]:
     return [q(s) for s in (
         "A scanner reported the issue below. Explain it to someone new to programming.\n\nIssue: ",

@@ -12,12 +12,21 @@ from pyspark.sql import Column, functions as F
 from scanloom.constants import EVIDENCE_CHARS
 
 
+# One well-formed character of UTF-8 as bytes: no overlong forms, surrogates or values past the last plane.
+_UTF8 = (
+    r"[\x00-\x7F]|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}"
+    r"|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}"
+)
+
+
 def decode_utf8(raw: Column) -> Column:
-    """Bytes to text, dropping malformed sequences."""
+    """Bytes to text, dropping the bytes that belong to no well-formed character. A genuine
+    replacement character stays."""
     text = raw.cast("string")
-    return F.when(F.is_valid_utf8(text), text).otherwise(
-        F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit(""))
-    )
+    # each byte as one character: what the pattern matches is kept, any other byte goes
+    as_bytes = F.decode(raw, "ISO-8859-1")
+    kept = F.regexp_replace(as_bytes, f"((?:{_UTF8})++)|[\\x80-\\xFF]", "$1")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.encode(kept, "ISO-8859-1").cast("string"))
 
 
 def unix_newlines(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom import constants as K
 from scanloom.functions import paths as P
@@ -25,13 +25,17 @@ def with_decision(files: DataFrame, max_file_bytes: int | None = K.MAX_FILE_BYTE
     return files.withColumn("decision", decision.when(unreadable, UNREADABLE).otherwise(SCAN))
 
 
+def is_skipped_generated() -> Column:
+    """Of a table with a decision: is this a file of generated code or of a dependency?"""
+    return F.col("decision").isin(PRUNED) | (
+        (F.col("decision") == SKIPPED) & P.is_generated_path(F.col("path"))
+    )
+
+
 def inventory(files: DataFrame, max_file_bytes: int | None = K.MAX_FILE_BYTES) -> DataFrame:
     """One row per file: admission, routing and role. Never reads ``content``."""
     path = F.col("path")
     key = P.scanner_key(path)
-    generated = F.col("decision").isin(PRUNED) | (
-        (F.col("decision") == SKIPPED) & P.is_generated_path(path)
-    )
     known = [c for c in ("repo_id", "path", "size", "read_error") if c in files.columns]
     return with_decision(files.select(*known), max_file_bytes).select(
         "repo_id", "path", "size", "decision",
@@ -41,7 +45,7 @@ def inventory(files: DataFrame, max_file_bytes: int | None = K.MAX_FILE_BYTES) -
         P.file_context(path).alias("file_context"),
         P.is_demo_fixture_path(path).alias("is_demo_fixture"),
         P.is_documentation_path(path).alias("is_documentation"),
-        generated.alias("skipped_generated"),
+        is_skipped_generated().alias("skipped_generated"),
     )
 
 

@@ -23,7 +23,13 @@ from scanloom.operators import findings as N
 
 UNITS = 10_000  # penalty units per point
 CONTEXT_PCT = (100, 50, 30, 25, 20, 15)  # every factor with_penalties gives
-_DEPTH = max(len(K.RULE_REPEAT_PCT), len(K.SEVERITY_REPEAT_PCT), len(K.CATEGORY_REPEAT_PCT)) - 1
+DEPTH = max(len(K.RULE_REPEAT_PCT), len(K.SEVERITY_REPEAT_PCT), len(K.CATEGORY_REPEAT_PCT)) - 1
+LAST_REPEAT_PCT = min(K.RULE_REPEAT_PCT[-1], K.SEVERITY_REPEAT_PCT[-1], K.CATEGORY_REPEAT_PCT[-1])
+
+# What a finding counts by, apart from its place among the others.
+TRAITS = {"rule_id": "string", "severity": "string", "category": "string", "file_context": "string",
+          "bucket": "string", "critical_bucket": "string", "is_example": "boolean", "score_cap": "int",
+          "context_pct": "int"}
 
 
 def _pct(earlier: Column, table) -> Column:
@@ -47,7 +53,7 @@ def repeat_multipliers(findings: DataFrame, order=N.SORT_KEY, lanes: int = N.LAN
         findings.withColumn("lane", N.lane_of(F.col("file"), lanes))
         .withColumn("nth", nth)
         # lane -1 gathers what may still rank among the first; the rest stays spread
-        .withColumn("rank_lane", F.when(F.col("nth") <= _DEPTH, -1).otherwise(F.col("lane")))
+        .withColumn("rank_lane", F.when(F.col("nth") <= DEPTH, -1).otherwise(F.col("lane")))
         .repartition("repo_id", "rank_lane")
     )
 
@@ -76,14 +82,11 @@ def _first_true(cases, otherwise) -> Column:
     return out
 
 
-def with_penalties(findings: DataFrame, order=N.SORT_KEY, lanes: int = N.LANES) -> DataFrame:
-    """Add multipliers, ``penalty_units``, ``score_penalty``, and the two buckets a
-    finding counts in (penalty breakdown, critical counts)."""
+def with_traits(findings: DataFrame) -> DataFrame:
+    """Add context percentage, cap, and the two buckets a finding counts in (penalty
+    breakdown, critical counts). Row by row."""
     file, context = F.col("file"), F.col("file_context")
     env = F.col("is_env")
-    weight = _first_true(
-        [(F.col("severity") == s, w) for s, w in K.SEVERITY_WEIGHTS.items()], F.lit(None)
-    )
     context_pct = _first_true(
         [
             (env, 100),
@@ -112,21 +115,31 @@ def with_penalties(findings: DataFrame, order=N.SORT_KEY, lanes: int = N.LANES)
         "docs_template",
     )
     return (
-        repeat_multipliers(findings, order, lanes)
-        .withColumn("is_env", N.is_env_or_config(file, F.col("rule_id")))
+        findings.withColumn("is_env", N.is_env_or_config(file, F.col("rule_id")))
         .withColumns({
             "context_pct": context_pct, "bucket": bucket, "critical_bucket": critical_bucket,
             "is_example": N.is_example_finding(file, F.col("rule_id"), context),
             "score_cap": _score_cap(),
         })
-        .withColumn(
-            "penalty_units",
-            (weight * F.col("repeat_pct") * F.col("context_pct")).cast("bigint"),
-        )
-        .withColumn("score_penalty", _shown_penalty(weight))
     )
 
 
+def with_units(findings: DataFrame) -> DataFrame:
+    """Add ``penalty_units`` and ``score_penalty`` to findings with traits and multipliers."""
+    weight = _first_true(
+        [(F.col("severity") == s, w) for s, w in K.SEVERITY_WEIGHTS.items()], F.lit(None)
+    )
+    return findings.withColumn(
+        "penalty_units",
+        (weight * F.col("repeat_pct") * F.col("context_pct")).cast("bigint"),
+    ).withColumn("score_penalty", _shown_penalty(weight))
+
+
+def with_penalties(findings: DataFrame, order=N.SORT_KEY, lanes: int = N.LANES) -> DataFrame:
+    """Add multipliers, traits and penalties."""
+    return with_units(with_traits(repeat_multipliers(findings, order, lanes)))
+
+
 def _shown_penalties() -> dict[int, float]:
     """Displayed penalty of every (weight, repeat, context) combination. Displayed values
     are rounded from binary floats, which decimals cannot tell: 1.275 is shown as 1.27."""
@@ -223,9 +236,11 @@ def merged_measures() -> list[Column]:
     return [F.expr(f"{agg}({name}) AS {name}") for name, (_, agg) in _MEASURES.items()]
 
 
-def measures(penalized: DataFrame, by=("repo_id",), extra=()) -> DataFrame:
-    """Additive measures per group; the first step combines before the shuffle."""
-    values = [f"{sql} AS {name}" for name, (sql, _) in _MEASURES.items()]
+def measures(penalized: DataFrame, by=("repo_id",), extra=(), times: str | None = None) -> DataFrame:
+    """Additive measures per group; the first step combines before the shuffle. ``times`` names a
+    column that says how many findings a row stands for."""
+    values = [f"({sql}) * {times} AS {name}" if times and agg == "sum" else f"{sql} AS {name}"
+              for name, (sql, agg) in _MEASURES.items()]
     return penalized.selectExpr(*by, *extra, *values).groupBy(*by).agg(
         *merged_measures(), *(F.min(column).alias(column) for column in extra)
     )

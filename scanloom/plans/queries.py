@@ -17,7 +17,9 @@ from scanloom.plans.workspace import materialize, new_dir
 from scanloom.schemas import FINDING_SCHEMA
 from scanloom.sources.corpus import corpus_from, corpus_path, partitioned, read_corpus, write_tree
 from scanloom.sources.files import read_tree
+from scanloom.sources.tree import read_stream
 from scanloom.streaming import stream as T
+from scanloom.streaming.summary import RunningSummary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -180,6 +182,26 @@ def tree_scan(spark, sf_dir):
     return M.detect(read_tree(spark, _tree(spark, sf_dir))).select(*RAW)
 
 
+def stream_tree_scan(spark, sf_dir):
+    """The tree as a stream: what is there is scanned as it arrives."""
+    files = read_stream(spark, _tree(spark, sf_dir), settleSeconds=0)
+    return _run(spark, T.stream_findings(files), "stream-tree").select(*RAW, "adjusted_severity_reason")
+
+
+# Bytes put before an ``e`` at a word's start, by document: cut-off, overlong, surrogate and too large
+# characters, stray bytes, and a genuine replacement character.
+DAMAGE = ("C3", "E282", "FF", "C080", "EDA080", "F4908080", "EFBFBD", "80")
+
+
+def lossy_decode(spark, sf_dir):
+    documents = partitioned(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    bad = F.element_at(F.array(*(F.lit(bytes.fromhex(h).decode("latin-1")) for h in DAMAGE)),
+                       (F.col("doc_id") % len(DAMAGE) + 1).cast("int"))
+    as_bytes = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    raw = F.encode(F.replace(as_bytes, F.lit(" e"), F.concat(F.lit(" "), bad, F.lit("e"))), "ISO-8859-1")
+    return documents.select("doc_id", F.octet_length(raw).alias("n_bytes"), X.decode_utf8(raw).alias("decoded"))
+
+
 def tree_single_project(spark, sf_dir):
     """The whole tree as one project."""
     files = read_tree(spark, _tree(spark, sf_dir), repo_level=0)
@@ -439,7 +461,7 @@ def stream_finding_windows(spark, sf_dir):
 
 def stream_repo_summary(spark, sf_dir):
     base = new_dir(spark, "stream-summary")
-    sink = T.RunningSummary(base)
+    sink = RunningSummary(base)
     sink.start(_file_stream(spark, sf_dir).drop("arrived_at"), f"{base}/checkpoint")\
         .awaitTermination()
     return sink.latest(spark)
@@ -467,6 +489,8 @@ QUERIES: dict[str, Query] = {
     "tree_inventory": tree_inventory,
     "tree_scan": tree_scan,
     "tree_single_project": tree_single_project,
+    "stream_tree_scan": stream_tree_scan,
+    "lossy_decode": lossy_decode,
     "content_memo_scan": content_memo_scan,
     "dedup_findings": dedup_findings,
     "context_adjust": context_adjust,

@@ -1,111 +1,32 @@
-"""Reading source trees and writing scan results.
+"""Reading source trees as files tables, and writing scan results.
 
-Spark's file sources skip names that start with a dot or an underscore, which is
-where a scanner has most to find (``.env``). So trees are listed level by level
-with a small listing helper, one Spark job per level, and contents are read by the
-tasks that hold the listed rows. The driver never sees a listing.
+Trees are read by the data source of ``sources.tree``. What is here writes what it reads once to
+the shared folder, and opens the files of listings that come from elsewhere.
 """
 
 from __future__ import annotations
 
-import itertools
-import os
-import time
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scanloom import constants as K
 from scanloom.functions.text import decode_utf8
 from scanloom.operators.inventory import SCAN, with_decision
 from scanloom.plans.workspace import materialize
+from scanloom.sources import tree
 
-_CHILDREN = "uri string, is_dir boolean, size bigint"
-_FOLDERS_PER_TASK = 50
-_CHUNK_ROWS = 10_000
 _CHUNK_BYTES = 16 * 1024 * 1024
-_TASK_BYTES = 1024 * 1024 * 1024
-_ATTEMPTS = 3
-
-
-def _children(uri: str) -> Iterator[tuple[str, bool, int | None]]:
-    """What a directory holds. Links to directories are left out: they may form cycles."""
-    filesystem, base = pafs.FileSystem.from_uri(uri)
-    prefix = uri[: len(uri) - len(base)]
-    if filesystem.type_name == "local":
-        for entry in os.scandir(base):
-            if entry.is_dir():
-                if not entry.is_symlink():
-                    yield prefix + entry.path, True, None
-            else:
-                readable = entry.is_file()  # false for broken links
-                yield prefix + entry.path, False, entry.stat().st_size if readable else None
-    else:
-        for info in filesystem.get_file_info(pafs.FileSelector(base)):
-            is_dir = info.type == pafs.FileType.Directory
-            yield prefix + info.path, is_dir, None if is_dir else info.size
-
-
-def _list_children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for uri in batch.column("uri").to_pylist():
-            children = _children(uri)
-            while rows := list(itertools.islice(children, _CHUNK_ROWS)):
-                uris, dirs, sizes = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(uris, pa.string()), pa.array(dirs, pa.bool_()),
-                     pa.array(sizes, pa.int64())],
-                    names=["uri", "is_dir", "size"],
-                )
 
 
 def list_tree(spark: SparkSession, root: str, repo_level: int = 1) -> DataFrame:
     """``repo_id, path, size, uri`` of every file under ``root``, enough for inventory and
     statistics. With ``repo_level`` 1 the directories directly below it are the repositories;
     with 0 it is one project, named after the directory."""
-    if repo_level not in (0, 1):
-        raise ValueError(f"repo_level must be 0 or 1: {repo_level!r}")
-    root = root.rstrip("/")
-    level = spark.createDataFrame([(root,)], "uri string")
-    found = []
-    while True:
-        children = materialize(level.mapInArrow(_list_children, _CHILDREN), "listing")
-        found.append(children.filter(~F.col("is_dir")))
-        folders = children.filter("is_dir").select("uri")
-        count = folders.count()
-        if not count:
-            break
-        # a fixed number of tasks: sized by bytes, a few large ones would do all listing
-        cores = spark.sparkContext.defaultParallelism
-        level = folders.repartition(min(count // _FOLDERS_PER_TASK + 1, 20 * cores), "uri")
-    inside = F.substring(F.col("uri"), len(root) + 2, 1 << 30)
-    listed = reduce(DataFrame.union, found)
-    if repo_level == 0:
-        return listed.select(F.lit(root.rpartition("/")[2]).alias("repo_id"), inside.alias("path"), "size", "uri")
-    # a file directly below the root belongs to no repository directory: its own name is its id
-    return listed.select(
-        F.substring_index(inside, "/", 1).alias("repo_id"),
-        F.regexp_replace(inside, r"\A[^/]*/", "").alias("path"),
-        "size", "uri",
-    )
-
-
-def _contents(uri: str) -> tuple[bytes | None, str | None]:
-    """A file's bytes, or the error that several attempts ended with."""
-    for attempt in range(_ATTEMPTS):
-        try:
-            filesystem, path = pafs.FileSystem.from_uri(uri)
-            with filesystem.open_input_stream(path) as stream:
-                return stream.read(), None
-        except OSError as error:
-            last = str(error)[:500] or type(error).__name__
-            if isinstance(error, (FileNotFoundError, PermissionError)):
-                break
-            time.sleep(0.2 * 2 ** attempt)
-    return None, last
+    inside = F.col("path") if repo_level == 0 else F.rtrim(F.concat_ws("/", "repo_id", "path"), F.lit("/"))
+    return tree.inventory(spark, root, repoLevel=repo_level).select(
+        "repo_id", "path", "size", F.concat(F.lit(root.rstrip("/") + "/"), inside).alias("uri"))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +35,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, held = [], 0
         for row in batch.to_pylist():
-            raw, error = _contents(row["uri"]) if row.pop("wanted") else (None, None)
+            raw, error = tree.contents(row["uri"]) if row.pop("wanted") else (None, None)
             rows.append({**row, "raw": raw, "read_error": error})
             held += len(raw or b"")
             if held >= _CHUNK_BYTES:
@@ -144,18 +65,11 @@ def read_tree(spark: SparkSession, root: str, repo_level: int = 1,
               max_file_bytes: int | None = K.MAX_FILE_BYTES) -> DataFrame:
     """All files under ``root`` with the contents of those that will be scanned.
 
-    The listing is spread by path into as many tasks as the bytes to read call for, so a
-    large repository is read by many. The number is set here because the listing
-    itself is small: left to its size, Spark would read everything in a few tasks.
-
     Every file is opened once: the table is written, columnar, to the shared folder, and
     inventory, statistics and findings each read the columns they need from there.
     """
-    listing = list_tree(spark, root, repo_level)
-    to_read = with_decision(listing, max_file_bytes).filter(F.col("decision") == SCAN).agg(F.sum("size"))
-    tasks = (to_read.first()[0] or 0) // _TASK_BYTES + 1
-    cores = spark.sparkContext.defaultParallelism
-    return materialize(read_contents(listing.repartition(max(tasks, cores), "uri"), max_file_bytes), "tree")
+    files = tree.read(spark, root, repoLevel=repo_level, maxFileBytes=max_file_bytes or 0)
+    return materialize(files.drop("modified"), "tree")
 
 
 def write_result(result: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",

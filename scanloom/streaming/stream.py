@@ -1,19 +1,16 @@
 """Scanning files as they arrive.
 
 Detection and context adjustment look at one file at a time, so a stream runs the
-batch functions as they are. Repeat ranks depend on all findings of a repository and
-are recomputed per changed repository in ``foreachBatch``.
+batch functions as they are. Repeat ranks depend on all findings of a repository: see ``summary``.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scanloom.operators import detect as D, explain as E, findings as N, inventory as I, score as S
-from scanloom.plans.workspace import materialize
+from scanloom.operators import detect as D, explain as E, findings as N
+from scanloom.streaming.merged import MergedTable
 
 
 def stream_findings(files: DataFrame) -> DataFrame:
@@ -52,26 +49,25 @@ def windowed_counts(findings: DataFrame, width: str = "10 minutes",
     )
 
 
-def write_windows(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write every window as it grows: each batch adds the windows it changed, open ones
-    too. State is still bounded by the watermark. Read with ``current_windows``."""
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def _windows(path: str, every: int) -> MergedTable:
+    return MergedTable(path, ("window_start", "window_end", "severity"),
+                       "window_start timestamp, window_end timestamp, severity string, n_findings bigint", every)
+
 
+def write_windows(counts: DataFrame, path: str, checkpoint: str, every: int = 50) -> StreamingQuery:
+    """Keep a table of all windows, open ones too, each with its latest count. State is still
+    bounded by the watermark, and reading by the number of windows. Read with ``current_windows``."""
     return (
-        counts.writeStream.outputMode("update").foreachBatch(upsert)
+        counts.writeStream.outputMode("update").foreachBatch(_windows(path, every).write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def current_windows(spark, path: str) -> DataFrame:
+def current_windows(spark: SparkSession, path: str, every: int = 50) -> DataFrame:
     """Every window with its latest count."""
-    return (
-        spark.read.parquet(path).groupBy("window_start", "window_end", "severity")
-        .agg(F.max_by("n_findings", "batch_id").alias("n_findings"))
-    )
+    return _windows(path, every).read(spark)
 
 
 def write_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -82,100 +78,3 @@ def write_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
         .trigger(availableNow=True)
         .start(path)
     )
-
-
-@dataclass(frozen=True)
-class RunningSummary:
-    """``foreachBatch`` sink that keeps a risk summary per repository.
-
-    Repositories fall into ``buckets`` by hash. A bucket's state is its files (without
-    contents), their findings and its summaries, as of the last batch that touched it. A batch
-    reads the last state of the buckets it touches, replaces what it brings anew, and writes
-    them under its own number; other buckets are neither read nor written, and a bucket's
-    older states are dropped, but for the last, which a repeated batch starts from. So
-    the work of a batch follows the repositories it touches, not the length of the history.
-    """
-
-    root: str
-    buckets: int = 1024
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("repo_id"), F.lit(self.buckets)).cast("int")
-
-    def _versions(self, spark, table: str, bucket: int) -> list[int]:
-        """Numbers of the batches whose state of a bucket is there."""
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/bucket={bucket}")
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            return []
-        names = [s.getPath().getName() for s in files.listStatus(path)]
-        return sorted(int(n.partition("=")[2]) for n in names if n.startswith("batch_id="))
-
-    def _read(self, spark, table: str, versions: dict[int, int], schema) -> DataFrame:
-        """A table's state of the buckets at their versions. A bucket without rows in this
-        table has no folder."""
-        paths = [f"{self.root}/{table}/bucket={k}/batch_id={v}" for k, v in versions.items()
-                 if v in self._versions(spark, table, k)]
-        if not paths:
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(*paths)
-
-    def _write(self, table: DataFrame, name: str, batch_id: int) -> None:
-        spread = F.pmod(F.xxhash64(*table.columns), F.lit(16))
-        (
-            table.withColumns({"bucket": self._bucket(), "batch_id": F.lit(batch_id)})
-            .repartition("bucket", spread)
-            .write.partitionBy("bucket", "batch_id").mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").parquet(f"{self.root}/{name}")
-        )
-
-    def __call__(self, files: DataFrame, batch_id: int) -> None:
-        spark = files.sparkSession
-        arrived = materialize(
-            I.inventory(files).select("repo_id", "path", "decision", "skipped_generated").distinct(), "arrived")
-        found = materialize(stream_findings(files), "arrived-findings")
-        touched = [r.b for r in arrived.select(self._bucket().alias("b")).distinct().collect()]
-        versions = {}
-        for bucket in touched:
-            earlier = [v for v in self._versions(spark, "files", bucket) if v < batch_id]
-            if earlier:
-                versions[bucket] = earlier[-1]
-        known = self._read(spark, "files", versions, arrived.schema)
-        current = known.join(arrived, ["repo_id", "path"], "left_anti").unionByName(arrived)
-        replaced = arrived.select("repo_id", F.translate("path", "\\", "/").alias("file"))
-        kept = self._read(spark, "findings", versions, found.schema).join(
-            replaced, ["repo_id", "file"], "left_anti")
-        findings = N.dedup(kept.unionByName(found))
-        self._write(findings, "findings", batch_id)
-        summary = S.summarize(S.with_penalties(findings), I.count_decisions(current))
-        self._write(summary, "summary", batch_id)
-        self._write(current, "files", batch_id)  # last: it is what makes the state count
-        for bucket in touched:
-            self._drop_before(spark, bucket, versions.get(bucket, 0))
-
-    def _drop_before(self, spark, bucket: int, version: int) -> None:
-        for table in ("files", "findings", "summary"):
-            for old in self._versions(spark, table, bucket):
-                if old < version:
-                    path = spark._jvm.org.apache.hadoop.fs.Path(
-                        f"{self.root}/{table}/bucket={bucket}/batch_id={old}")
-                    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def start(self, files: DataFrame, checkpoint: str) -> StreamingQuery:
-        return (
-            files.writeStream.foreachBatch(self)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
-        )
-
-    def latest(self, spark) -> DataFrame:
-        """Current summary of every repository: one state of each bucket."""
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/files")
-        listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-        names = [status.getPath().getName() for status in listed]
-        buckets = [int(n.partition("=")[2]) for n in names if n.startswith("bucket=")]
-        versions = {k: v[-1] for k in buckets if (v := self._versions(spark, "files", k))}
-        schema = spark.read.parquet(f"{self.root}/summary").drop("bucket", "batch_id").schema
-        return self._read(spark, "summary", versions, schema)

@@ -9,6 +9,8 @@ from scanloom.plans.scan import scan
 from scanloom.plans.workspace import new_dir
 from scanloom.sources.files import list_tree, read_contents
 from scanloom.streaming import stream as T
+from scanloom.streaming.merged import MergedTable
+from scanloom.streaming.summary import RunningSummary
 
 SCHEMA = "repo_id string, path string, content string, size bigint, arrived_at timestamp"
 START = dt.datetime(2024, 1, 1)
@@ -69,31 +71,59 @@ def test_windows_close_with_the_watermark(spark):
     assert got == {(0, "high", 2), (10, "high", 1)}
 
 
+NAMES = ["repo_id", "path", "content", "size"]
+
+
 def test_running_summary(spark):
     landing = Landing(spark)
-    sink = T.RunningSummary(new_dir(spark, "running"))
+    sink = RunningSummary(new_dir(spark, "running"), lanes=3, every=2)
     checkpoint = new_dir(spark, "checkpoint")
-    names = ["repo_id", "path", "content", "size"]
 
     def step():
-        sink.start(landing.stream().select(*names), checkpoint).awaitTermination()
+        sink.start(landing.stream().select(*NAMES), checkpoint).awaitTermination()
         return sorted(map(tuple, sink.latest(spark).collect()))
 
     def want(files):
         return sorted(map(tuple, scan(files).summary.collect()))
 
     landing.add(("r", "a.js", "eval(x)\n"), ("r", "n.txt", "x"), ("s", "a.py", "x = 1\n"))
-    assert step() == want(landing.batch().select(*names))
+    assert step() == want(landing.batch().select(*NAMES))
     landing.add(("r", "b.py", "exec(x)\n"), ("t", "node_modules/x.js", "eval(x)"))
-    assert step() == want(landing.batch().select(*names))
+    assert step() == want(landing.batch().select(*NAMES))
     # a file that arrives again replaces its earlier version
     landing.add(("r", "a.js", "fine\n"))
-    current = landing.batch().select(*names).filter("NOT (path = 'a.js' AND content LIKE 'eval%')")
+    current = landing.batch().select(*NAMES).filter("NOT (path = 'a.js' AND content LIKE 'eval%')")
     assert step() == want(current)
-    # a batch that runs again, as after a failure, changes nothing
-    before = sorted(map(tuple, sink.latest(spark).collect()))
-    sink(spark.createDataFrame([("r", "a.js", "fine\n", 5)], "repo_id string, path string, content string, size bigint"), 2)
-    assert sorted(map(tuple, sink.latest(spark).collect())) == before
+    # many findings of a kind, in several lanes and batches: only the first three count fully
+    for k in range(4):
+        landing.add(*(("u", f"f{k}{n}.js", "eval(x)\n" * (k + 1) + "new Function('x')\n") for n in range(5)),
+                    ("u", "tests/t.py", "exec(x)\n" * 5), ("u", f"c{k}/.env", "A_TOKEN=abcdefghijkl\n"))
+    current = landing.batch().select(*NAMES).filter("NOT (path = 'a.js' AND content LIKE 'eval%')").distinct()
+    assert step() == want(current)
+
+
+def test_last_version_of_a_batch_counts(spark):
+    landing = Landing(spark)
+    landing.add(("r", "a.js", "eval(x)\n"), minute=5).add(("r", "a.js", "fine\n"), minute=9).add(
+        ("r", "a.js", "eval(x)\neval(y)\n"), minute=7)
+    sink = RunningSummary(new_dir(spark, "running"))
+    sink.start(landing.stream(10), new_dir(spark, "checkpoint")).awaitTermination()
+    assert [(r.repo_id, r.total, r.scanned_files) for r in sink.latest(spark).collect()] == [("r", 0, 1)]
+
+
+def test_merged_table(spark):
+    table = MergedTable(new_dir(spark, "merged"), ("k",), "k int, v string", every=3)
+    want = {}
+    for batch in range(11):
+        rows = [(k, f"{batch}-{k}") for k in range(batch % 4, batch + 1)]
+        want.update(rows)
+        for _ in range(1 + batch % 2):  # a batch that runs again changes nothing
+            table.write(spark.createDataFrame(rows, "k int, v string"), batch)
+        assert dict(map(tuple, table.read(spark).collect())) == want
+    # what is read doesn't grow: a base and at most two batches besides the first
+    files = table.read(spark).inputFiles()
+    assert {f.split("place=")[0].rsplit("/", 2)[-2] for f in files} == {"log", "base"}
+    assert len({f.rsplit("/", 1)[0] for f in files}) <= 4
 
 
 def test_stream_of_manifests_reads_contents(spark, tmp_path):
@@ -117,25 +147,3 @@ def test_all_windows_are_written(spark):
     rows = T.current_windows(spark, f"{base}/out").collect()
     got = {((r.window_start - START).seconds // 60, r.n_findings) for r in rows}
     assert got == {(0, 2), (10, 1), (40, 1)}
-
-
-def test_running_summary_reads_touched_buckets_only(spark, monkeypatch):
-    read = []
-    original = T.RunningSummary._read
-
-    def counted(self, spark, table, versions, schema):
-        out = original(self, spark, table, versions, schema)
-        if table == "files":
-            read.append(out.count())
-        return out
-
-    monkeypatch.setattr(T.RunningSummary, "_read", counted)
-    sink = T.RunningSummary(new_dir(spark, "running"), buckets=10_000)
-    for n in range(6):
-        files = [(f"repo{n}", f"a{k}.js", "eval(x)\n", 8) for k in range(3)]
-        sink(spark.createDataFrame(files, "repo_id string, path string, content string, size bigint"), n)
-    assert read == [0] * 6  # new repositories: no earlier state is read
-    sink(spark.createDataFrame([("repo2", "a0.js", "fine\n", 5)], "repo_id string, path string, content string, size bigint"), 6)
-    assert read[-1] == 3
-    assert {r.repo_id: r.total for r in sink.latest(spark).collect()} == {
-        **{f"repo{n}": 3 for n in range(6)}, "repo2": 2}
