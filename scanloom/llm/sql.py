@@ -28,32 +28,26 @@ levels AS (
 goals AS (
   SELECT source, rank, source_size, total, greatest(ceil(total / {mixing.BLOCKS}.0)::BIGINT, 1) AS block,
     least(filled, (SELECT max(level) FROM levels WHERE level <= full_at) * weight) AS target FROM levels),
-tries AS (
-  SELECT rank, target, ceil(total::DOUBLE / block)::BIGINT AS given, unnest(range(0, least(
-    floor(target / block)::BIGINT + 2, {cap} * ceil(source_size::DOUBLE / block)::BIGINT))) AS had
-  FROM goals),
-awards AS (
-  SELECT rank, count(*) AS quota
-  FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * had + 1) DESC, rank, had) AS turn FROM tries)
-  WHERE turn <= given GROUP BY rank),
 each AS (
-  SELECT *, quota // on_line AS passes, quota % on_line AS rest
-  FROM (SELECT g.*, coalesce(quota, 0) AS quota, greatest(ceil(source_size::DOUBLE / block)::BIGINT, 1) AS on_line
-        FROM goals g LEFT JOIN awards USING (rank))),
+  SELECT *, CASE WHEN source_size > 0 THEN want // source_size ELSE 0 END AS passes,
+    CASE WHEN source_size > 0 THEN want % source_size ELSE want END AS rest
+  FROM (SELECT g.*, round(target)::BIGINT AS want, greatest(ceil(source_size::DOUBLE / block)::BIGINT, 1) AS on_line FROM goals g)),
 chosen AS (
-  SELECT rank, idx, picked, coalesce(sum(CASE WHEN picked THEN block ELSE 0 END) OVER (
+  SELECT rank, idx, cut, coalesce(sum(cut) OVER (
     PARTITION BY rank ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_before
-  FROM (SELECT *, idx < on_line AND row_number() OVER (PARTITION BY rank, idx = on_line
-          ORDER BY md5(concat_ws(':', '{mixing.SEED + 1}', rank::VARCHAR, idx::VARCHAR)), idx) <= rest AS picked
-        FROM (SELECT rank, block, rest, on_line, unnest(range(0, on_line + 1)) AS idx FROM each))),
+  FROM (SELECT *, greatest(least(words, rest - coalesce(sum(words) OVER (
+          PARTITION BY rank ORDER BY md5(concat_ws(':', '{mixing.SEED + 1}', rank::VARCHAR, idx::VARCHAR)), idx
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS cut
+        FROM (SELECT *, greatest(least(block, source_size - idx * block), 0) AS words
+              FROM (SELECT rank, block, rest, source_size, unnest(range(0, on_line + 1)) AS idx FROM each)))),
 lined AS (
   SELECT s.doc_id, s.size, e.*, coalesce(sum(size) OVER (PARTITION BY rank ORDER BY md5(concat_ws(
       ':', '{mixing.SEED}', doc_id::VARCHAR, size::VARCHAR)), doc_id, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sized s JOIN each e ON s.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target, (passes * size
-  + b.words_before + CASE WHEN b.picked THEN (start + size) % block ELSE 0 END
-  - a.words_before - CASE WHEN a.picked THEN start % block ELSE 0 END)::BIGINT AS taken
+  + b.words_before + least(b.cut, (start + size) % block)
+  - a.words_before - least(a.cut, start % block))::BIGINT AS taken
 FROM lined l JOIN chosen a ON a.rank = l.rank AND a.idx = start // block
 JOIN chosen b ON b.rank = l.rank AND b.idx = (start + size) // block"""
 
@@ -71,48 +65,43 @@ def url_templates_sql() -> str:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     variable = " OR ".join(f"regexp_matches(s, {q(p)})" for p in (
         r"^[0-9]+(\.[A-Za-z0-9]+)?$", "^[0-9a-fA-F-]{16,}$", "[0-9]{4}"))
-    levels = []
-    for k in range(1, U.DEPTH + 1):
-        levels.append(f"""
-here{k} AS (SELECT *, CASE WHEN len(shape) >= {k} THEN shape[{k}] END AS seg FROM tree{k - 1}),
-branch{k} AS (
-  SELECT host, template, seg, sum(n) AS n, sum(labelled)::DOUBLE AS l, sum(bad) AS b
-  FROM here{k} WHERE seg IS NOT NULL GROUP BY ALL),
-parent{k} AS (SELECT host, template, sum(l) AS pl, sum(b) AS pb FROM branch{k} GROUP BY ALL),
-kept{k} AS (
-  SELECT host, template, seg, true AS kept
-  FROM (SELECT *, (pb + 0.5::DOUBLE) / (pl + 1.0::DOUBLE) AS pooled FROM branch{k} JOIN parent{k} USING (host, template))
-  WHERE seg <> '*' AND n >= {U.LEAST_PAGES}
-    AND abs((b + 0.5::DOUBLE) / (l + 1.0::DOUBLE) - ((pb - b) + 0.5::DOUBLE) / ((pl - l) + 1.0::DOUBLE))
-      > {U.SIGNIFICANT}::DOUBLE * sqrt(pooled * (1.0::DOUBLE - pooled)
-        * (1.0::DOUBLE / (l + 1.0::DOUBLE) + 1.0::DOUBLE / ((pl - l) + 1.0::DOUBLE)))),
-tree{k} AS (
-  SELECT h.host, shape, n, labelled, bad, CASE WHEN h.seg IS NULL THEN h.template
-      WHEN kept THEN h.template || h.seg || '/' ELSE h.template || '*/' END AS template
-  FROM here{k} h LEFT JOIN kept{k} k ON h.host = k.host AND h.template = k.template AND h.seg = k.seg),""")
     return f"""
-WITH located AS (
+WITH RECURSIVE located AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{upper.lower()}'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 shaped AS (
-  SELECT *, CASE WHEN len(whole) > {U.DEPTH} THEN list_append(whole[1:{U.DEPTH - 1}], '**') ELSE whole END AS shape
-  FROM (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
-          lambda s: CASE WHEN {variable} THEN '*' ELSE s END) AS whole FROM located)),
+  SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
+    lambda s: CASE WHEN {variable} THEN '*' ELSE s END) AS shape FROM located),
 marked AS (
   SELECT page_id, max(1 - quality)::DOUBLE AS bad
   FROM (SELECT page_id, try_cast(regexp_extract(path, {q(r'/([0-9]+)(?:[.][A-Za-z]+)?/?$')}, 1) AS BIGINT) AS doc_id FROM located)
   JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY page_id),
-tree0 AS (
-  SELECT host, shape, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0)::DOUBLE AS bad, '' AS template
-  FROM shaped LEFT JOIN marked USING (page_id) GROUP BY host, shape),{''.join(levels)}
+counted AS (
+  SELECT host, shape, count(*)::BIGINT AS n, count(bad)::DOUBLE AS labelled, coalesce(sum(bad), 0)::DOUBLE AS bad
+  FROM shaped LEFT JOIN marked USING (page_id) GROUP BY host, shape),
+tree AS (
+  SELECT host, shape, n, labelled, bad, '' AS template, 0 AS level, false AS done FROM counted
+  UNION ALL
+  SELECT host, shape, n, labelled, bad, CASE WHEN seg IS NULL THEN template WHEN pn < {U.LEAST_PAGES} THEN template || '**/'
+      WHEN seg <> '*' AND bn >= {U.LEAST_PAGES}
+        AND abs((b + 0.5::DOUBLE) / (l + 1.0::DOUBLE) - ((pb - b) + 0.5::DOUBLE) / ((pl - l) + 1.0::DOUBLE))
+          > {U.SIGNIFICANT}::DOUBLE * sqrt((pb + 0.5::DOUBLE) / (pl + 1.0::DOUBLE) * (1.0::DOUBLE - (pb + 0.5::DOUBLE) / (pl + 1.0::DOUBLE))
+            * (1.0::DOUBLE / (l + 1.0::DOUBLE) + 1.0::DOUBLE / ((pl - l) + 1.0::DOUBLE)))
+      THEN template || seg || '/' ELSE template || '*/' END, level, seg IS NULL OR pn < {U.LEAST_PAGES}
+  FROM (
+    SELECT *, sum(n) OVER branch AS bn, sum(labelled) OVER branch AS l, sum(bad) OVER branch AS b,
+      sum(n) OVER parent AS pn, sum(labelled) OVER parent AS pl, sum(bad) OVER parent AS pb
+    FROM (SELECT host, shape, n, labelled, bad, template, level + 1 AS level, shape[level + 1] AS seg FROM tree WHERE NOT done)
+    WINDOW branch AS (PARTITION BY host, template, seg), parent AS (PARTITION BY host, template, seg IS NULL))),
+final AS (SELECT * FROM tree WHERE done),
 shares AS (
-  SELECT host, template, (sum(bad) + {U.PRIOR_PAGES}::DOUBLE * coalesce((SELECT sum(bad) / nullif(sum(labelled), 0) FROM tree0), 0))
-    / (sum(labelled)::DOUBLE + {U.PRIOR_PAGES}::DOUBLE) AS bad_share FROM tree{U.DEPTH} GROUP BY host, template)
+  SELECT host, template, (sum(bad) + {U.PRIOR_PAGES}::DOUBLE * coalesce((SELECT sum(bad) / nullif(sum(labelled), 0) FROM counted), 0))
+    / (sum(labelled)::DOUBLE + {U.PRIOR_PAGES}::DOUBLE) AS bad_share FROM final GROUP BY host, template)
 SELECT page_id, s.host, path, {by_rule(lambda r: r.name).replace('host', 's.host').replace("'s.host", "'host")} AS rule,
   coalesce({by_rule(lambda r: r.verdict).replace('host', 's.host').replace("'s.host", "'host")},
     CASE WHEN bad_share >= {U.REJECT_AT} THEN 'block' ELSE 'allow' END) AS verdict,
   s.host || '/' || t.template AS template, bad_share
-FROM shaped s JOIN tree{U.DEPTH} t ON s.host = t.host AND s.shape = t.shape
+FROM shaped s JOIN final t ON s.host = t.host AND s.shape = t.shape
 JOIN shares x ON x.host = t.host AND x.template = t.template"""
 
 

@@ -6,7 +6,8 @@ hex strings, file names with numbers) become wildcards at once, so that what is
 shapes, far fewer than pages, and everything below works on counts of shapes. From the
 root down, a branch is kept as it is written only if it is frequent enough and its rate of bad
 labels differs from that of its siblings by more than chance; the others are merged into
-a wildcard. A template is rejected if its share of bad labels, smoothed towards the overall
+a wildcard. This goes on, whatever the depth, as long as at least ``LEAST_PAGES`` pages of a
+template have further segments: fewer can't be told apart, and their rest is one wildcard ``**``. A template is rejected if its share of bad labels, smoothed towards the overall
 rate, reaches a threshold; without labels it has the overall rate.
 
 Built from DataFrame operations only. A null url or one without ``://`` has empty host and
@@ -17,16 +18,18 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom.llm.common import stored
+from scanloom.operators.skew import lookup_join
 
-DEPTH = 4        # levels of the tree; what is deeper is one last segment
 LEAST_PAGES = 20  # a branch with fewer pages is merged with its siblings
 SIGNIFICANT = 3.0  # standard deviations
 PRIOR_PAGES = 10.0  # weight of the overall rate
 REJECT_AT = 0.5
+HOT_ROWS = 50_000  # pages of one shape that are looked up under one key
 
 
 @dataclass(frozen=True)
@@ -68,13 +71,11 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def shape_of(path: Column) -> Column:
-    """Segments of a path, variable ones as ``*``; the levels below ``DEPTH`` as one."""
+    """Segments of a path, variable ones as ``*``."""
     segments = F.filter(F.split(path, "/", -1), lambda s: s != "")
-    general = F.transform(segments, lambda s: F.when(
+    return F.transform(segments, lambda s: F.when(
         s.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$") | s.rlike("^[0-9a-fA-F-]{16,}$") | s.rlike("[0-9]{4}"),
         F.lit("*")).otherwise(s))
-    deep = F.when(F.size(general) > DEPTH, F.concat(F.slice(general, 1, DEPTH - 1), F.array(F.lit("**"))))
-    return deep.otherwise(general)
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
@@ -97,12 +98,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     judged = counted.select("host", "template", (
         (F.col("bad") + PRIOR_PAGES * overall) / (F.col("labelled") + PRIOR_PAGES)).alias("bad_share"))
     verdicts = stored(
-        tree.select("host", "shape", "template").join(judged, ["host", "template"]).select(
-            F.col("host").alias("_host"), F.col("shape").alias("_known"), "template", "bad_share"),
-        "template-verdicts")
-    return located.join(
-        verdicts, (F.col("host") == F.col("_host")) & (F.col("_shape") == F.col("_known")), "left"
-    ).select(
+        tree.join(judged, ["host", "template"]).select(
+            F.struct("host", "shape").alias("_key"), "template", "bad_share"), "template-verdicts")
+    keyed = located.withColumn("_key", F.struct("host", F.col("_shape").alias("shape")))
+    return lookup_join(keyed, verdicts, "_key", spread_by="page_id", hot_rows=HOT_ROWS).select(
         "page_id", "host", "path", F.col("_rule.name").alias("rule"),
         F.coalesce(F.col("_rule.verdict"), F.when(F.col("bad_share") >= REJECT_AT, "block").otherwise("allow"))
         .alias("verdict"),
@@ -110,27 +109,33 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """Adds ``template`` to the shapes (host, shape, n, labelled, bad), level by level."""
-    table = shapes.withColumn("template", F.lit(""))
-    for level in range(1, DEPTH + 1):
-        segment = F.try_element_at("shape", F.lit(level))
-        here = table.withColumn("_seg", segment)
+    """(host, shape, labelled, bad, template) of the shapes (host, shape, n, labelled, bad), level by
+    level. A shape leaves the loop with its last segment, or where its siblings are too few to be told apart."""
+    columns = ["host", "shape", "labelled", "bad", "template"]
+    table, level, done = shapes.withColumn("template", F.lit("")), 0, []
+    while True:
+        level += 1
+        here = table.withColumn("_seg", F.try_element_at("shape", F.lit(level)))
         branches = here.filter("_seg is not null").groupBy("host", "template", "_seg").agg(
             F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
         parents = branches.groupBy("host", "template").agg(
-            F.sum("l").alias("pl"), F.sum("b").alias("pb"))
+            F.sum("n").alias("pn"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
         own = (F.col("b") + 0.5) / (F.col("l") + 1.0)
         rest_l, rest_b = F.col("pl") - F.col("l"), F.col("pb") - F.col("b")
         rest = (rest_b + 0.5) / (rest_l + 1.0)
         pooled = (F.col("pb") + 0.5) / (F.col("pl") + 1.0)
         spread = F.sqrt(pooled * (1.0 - pooled) * (1.0 / (F.col("l") + 1.0) + 1.0 / (rest_l + 1.0)))
-        kept = branches.join(parents, ["host", "template"]).filter(
-            (F.col("_seg") != "*") & (F.col("n") >= LEAST_PAGES) & (F.abs(own - rest) > SIGNIFICANT * spread)
-        ).select("host", "template", "_seg", F.lit(True).alias("_kept"))
-        table = here.join(kept, ["host", "template", "_seg"], "left").select(
-            *shapes.columns,
+        kept = (F.col("_seg") != "*") & (F.col("n") >= LEAST_PAGES) & (F.abs(own - rest) > SIGNIFICANT * spread)
+        judged = branches.join(parents, ["host", "template"]).select(
+            "host", "template", "_seg", kept.alias("_kept"), (F.col("pn") < LEAST_PAGES).alias("_few"))
+        table = here.join(judged, ["host", "template", "_seg"], "left").select(
+            *shapes.columns, (F.col("_seg").isNull() | F.col("_few")).alias("_done"),
             F.when(F.col("_seg").isNull(), F.col("template"))
+            .when(F.col("_few"), F.concat("template", F.lit("**/")))
             .when(F.col("_kept"), F.concat("template", "_seg", F.lit("/")))
             .otherwise(F.concat("template", F.lit("*/"))).alias("template"))
         table = stored(table, "template-level")
-    return table
+        done.append(table.filter("_done").select(*columns))
+        table = table.filter("not _done").drop("_done")
+        if table.isEmpty():
+            return reduce(DataFrame.union, done)
