@@ -138,7 +138,7 @@ def edited(item: bytes, most: int, rng: random.Random) -> bytes:
 
 
 class Pieces:
-    """Items of less than ``SHORT`` bytes, by pieces of which at least one stays unchanged."""
+    """Short items, and those that walks find too rarely, by pieces of which at least one stays unchanged."""
 
     def __init__(self, items: dict[int, bytes]):
         self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -175,7 +175,7 @@ class Walks:
 
     def add(self) -> None:
         """One more repetition."""
-        walk = self.rng.integers(0, 2, (self.steps, 256)).astype(np.int32)
+        walk = self.rng.integers(0, 2, (self.steps, 256)).astype(np.intp)
         # one step in each of as many equal stretches, so that a hash sees all of a window
         sampled = (np.arange(SAMPLED) * self.steps + self.rng.integers(0, self.steps, SAMPLED)) // SAMPLED
         keys, items, offsets = [], [], []
@@ -216,7 +216,7 @@ class Walks:
             n = shorter[k % len(shorter) if len(shorter) <= TRIALS else k * len(shorter) // TRIALS]
             most = int(SHARE * len(self.items[n]))
             text = edited(self.items[n], most, rng)
-            trials.append((n, most, np.frombuffer(text + bytes(self.steps), dtype=np.uint8), heads(text)))
+            trials.append((n, most, np.frombuffer(text + bytes(self.steps), dtype=np.uint8).astype(np.intp), heads(text)))
         while True:
             self.add()
             number = len(self.tables) - 1
@@ -225,7 +225,7 @@ class Walks:
                 return 1 - len(trials) / TRIALS
 
     def _finds(self, number: int, n: int, most: int, array: np.ndarray, head: np.ndarray) -> bool:
-        places = np.flatnonzero(picked(head, number, self.one_in)).astype(np.int32)
+        places = np.flatnonzero(picked(head, number, self.one_in))
         return any(((item == n) & (np.abs(place - offset) <= most)).any()
                    for place, item, offset in self._of(number, array, places))
 
@@ -238,25 +238,29 @@ class Walks:
     def candidates(self, text: bytes, head: np.ndarray):
         """(places, items, offsets) of text anchors that share a hash with an item's anchor."""
         array = np.frombuffer(text, dtype=np.uint8)
-        for number in range(len(self.tables)):
-            for low in range(0, len(head), 2 * PLACES):
-                places = low + np.flatnonzero(picked(head[low:low + 2 * PLACES], number, self.one_in))
-                yield from self._of(number, array, places.astype(np.int32))
+        for low in range(0, len(head), 2 * PLACES):
+            # symbols as indexes, and places within this part: no step of a walk converts them again
+            part = array[low:low + 2 * PLACES + self.steps].astype(np.intp)
+            own = head[low:low + 2 * PLACES]
+            for number in range(len(self.tables)):
+                for place, item, offset in self._of(number, part, np.flatnonzero(picked(own, number, self.one_in))):
+                    yield low + place, item, offset
 
     def _of(self, number: int, array: np.ndarray, places: np.ndarray):
         walk, sampled, known, keys, item, offset = self.tables[number]
+        places = places[places + len(walk) <= len(array)]
         at, key, k = places.copy(), np.zeros(len(places), dtype=np.uint64), 0
         for step in range(int(sampled[-1]) + 1):
-            c = array[at]
+            c = array.take(at)
             if step == sampled[k]:
-                key |= c.astype(np.uint64) << np.uint64(8 * k)
+                key |= c.view(np.uint64) << np.uint64(8 * k)
                 if k in known:
-                    hit = known[k][_slot(key)]
+                    hit = known[k].take(_slot(key))
                     places, at, key, c = places[hit], at[hit], key[hit], c[hit]
                     if not len(at):
                         return
                 k += 1
-            at += walk[step][c]
+            at += walk[step].take(c)
         which, j = _matches(keys, key)
         if len(j):
             yield places[which], item[j], offset[j]
@@ -267,7 +271,7 @@ class Filter:
 
     def __init__(self, items: list[tuple[int, bytes]], seed: int = SEED):
         self.items = items
-        self.pieces = Pieces({n: t for n, (_, t) in enumerate(items) if len(t) < SHORT})
+        self.by_pieces = {n: t for n, (_, t) in enumerate(items) if len(t) < SHORT}
         self.walks: list[Walks] = []
         dense: dict[int, bytes] = {}
         for k, (least, steps, one_in) in enumerate(CLASSES):
@@ -275,6 +279,7 @@ class Filter:
             own = {n: t for n, (_, t) in enumerate(items) if least <= len(t) < most}
             self._add_class(own, steps, one_in, seed + k, dense)
         self._add_class(dense, *DENSE[1:], seed + len(CLASSES), None)
+        self.pieces = Pieces(self.by_pieces)
         # segments of items, one after another
         self.first = np.cumsum([0] + [self._segments(len(t)) for _, t in items])
         self._masks = None
@@ -288,8 +293,10 @@ class Filter:
                 dense[n] = own.pop(n)
         if own:
             walks = Walks(own, steps, one_in, seed)
-            walks.measure(seed)
-            self.walks.append(walks)
+            if walks.measure(seed) >= RECALL:
+                self.walks.append(walks)
+            else:
+                self.by_pieces |= own
 
     @staticmethod
     def _segments(size: int) -> int:

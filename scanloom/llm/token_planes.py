@@ -28,6 +28,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from scanloom.llm.common import slices
 from scanloom.plans.workspace import new_dir
 
 BLOCK_IDS = 1 << 14
@@ -35,6 +36,7 @@ CHUNK_IDS = 1 << 18
 LEVEL = 3
 SEGMENT_BYTES = 32 << 20
 CACHED_PIECES = 800_000
+TEXTS_BYTES = 1 << 20  # texts whose pieces are looked up together
 
 PLANES = "segment int, chunk int, planes array<binary>"
 INDEX = "segment int, chunk int, first bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>"
@@ -85,8 +87,18 @@ class Encoder:
         self.begins = np.zeros(1 << 12, dtype=np.int64)
         self.used = 0
 
+    def each(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts by the tokenizer as loaded, without the offsets it would also work out."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return np.array(self.each([text])[0], dtype=np.uint32)
+
+    def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of short texts end to end, and how many each has."""
+        found = self.each(texts)
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(lengths.sum())), lengths
 
     def _learn(self, pieces: list[str]) -> dict[str, int]:
         """Encode new pieces in one go: each opens with a blank, and only first tokens do. A
@@ -94,51 +106,65 @@ class Encoder:
         blank before it. When enough pieces are known (the frequent ones come early), further
         ones are kept for one text only."""
         blank = [p for p in pieces if p[0] not in "\n\r"]
-        parts: list[np.ndarray] = []
+        ids, lengths = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
         if blank:
             ids = self.whole(" " + " ".join(blank))
             starts = np.flatnonzero(self.opens[ids])
-            parts = (np.split(ids, starts[1:]) if len(starts) == len(blank)
-                     else [self.whole(" " + p) for p in blank])
+            lengths = np.diff(starts, append=len(ids))
+            if len(starts) != len(blank):
+                ids, lengths = self._joined([" " + p for p in blank])
         bare = [p for p in pieces if p[0] in "\n\r"]
-        parts += [self.whole(p if p[0] == "\n" else p[1:]) for p in bare]
-        first, lengths = len(self.known), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        if bare:
+            more, sizes = self._joined([p if p[0] == "\n" else p[1:] for p in bare])
+            ids, lengths = np.concatenate([ids, more]), np.concatenate([lengths, sizes])
+        first, count = len(self.known), len(lengths)
         while self.used + lengths.sum() > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(parts) + 1 > len(self.begins):
+        while first + count + 1 > len(self.begins):
             self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
         ends = self.used + np.cumsum(lengths)
-        self.flat[self.used:ends[-1]] = np.concatenate(parts)
+        self.flat[self.used:ends[-1]] = ids
         self.begins[first] = self.used
-        self.begins[first + 1:first + 1 + len(parts)] = ends
-        numbers = dict(zip(blank + bare, range(first, first + len(parts))))
-        if first + len(parts) <= CACHED_PIECES:
+        self.begins[first + 1:first + 1 + count] = ends
+        numbers = dict(zip(blank + bare, range(first, first + count)))
+        if first + count <= CACHED_PIECES:
             self.used = int(ends[-1])
             self.known.update(numbers)
         return numbers
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text, with the end id."""
-        if not text:
-            return self.end
-        if any(t in text for t in self.added):
-            return np.concatenate([self.whole(text), self.end])
+    def _pieces(self, text: str) -> list[str] | None:
+        """The pieces of a text, or None if it has to be encoded whole."""
+        if not text or any(t in text for t in self.added):
+            return None
         pieces = ("\r" + text).replace("\n", " \n").split(" ")
         # white space other than single blanks and line feeds between two words
         if "\r" in text or len(text.split()) != len(pieces) or text[0].isspace() or text[-1].isspace():
-            return np.concatenate([self.whole(text), self.end])
-        try:
-            numbers = list(map(self.known.__getitem__, pieces))
-        except KeyError:
-            known = self.known
-            fresh = self._learn(list({p: None for p in pieces if p not in known}))
-            numbers = [fresh[p] if p in fresh else known[p] for p in pieces]
-        which = np.array(numbers)
-        begins = self.begins[which]
-        lengths = self.begins[which + 1] - begins
-        upto = np.cumsum(lengths)
-        ids = self.flat[np.repeat(begins - upto + lengths, lengths) + np.arange(upto[-1])]
-        return np.concatenate([ids, self.end])
+            return None
+        return pieces
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts, each with the end id. New pieces of all of them are learned together."""
+        cut = [self._pieces(t) for t in texts]
+        known = self.known
+        new = {p: None for pieces in cut if pieces for p in pieces if p not in known}
+        fresh = self._learn(list(new)) if new else {}
+        kept = not fresh or len(known) and next(iter(fresh)) in known
+        out = []
+        for text, pieces in zip(texts, cut):
+            if pieces is None:
+                out.append(np.concatenate([self.whole(text), self.end]) if text else self.end)
+                continue
+            numbers = map(known.__getitem__, pieces) if kept else (fresh[p] if p in fresh else known[p] for p in pieces)
+            which = np.fromiter(numbers, dtype=np.int64, count=len(pieces))
+            begins = self.begins[which]
+            lengths = self.begins[which + 1] - begins
+            upto = np.cumsum(lengths)
+            ids = self.flat[np.repeat(begins - upto + lengths, lengths) + np.arange(upto[-1])]
+            out.append(np.concatenate([ids, self.end]))
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -160,7 +186,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> Non
     ordered = texts.repartitionByRange(int(segments), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        encode = encoder(tokenizer_path, end_id).encode
+        encode = encoder(tokenizer_path, end_id).encode_all
         segment, chunk, first = TaskContext.get().partitionId(), 0, 0
         held, doc_ids, size = [], [], 0
 
@@ -176,9 +202,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> Non
         names = ["segment", "chunk", "first", "n_ids", "doc_ids", "lengths", "planes"]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()),
                  pa.list_(pa.int64()), pa.list_(pa.binary())]
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encode(text.as_py())
+        for batch in slices(batches, "text", TEXTS_BYTES):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
                 if held and size + len(ids) > CHUNK_IDS:
                     yield flush()
                 held.append(ids)

@@ -75,7 +75,6 @@ def test_op3_round_trip(spark, documents):
     import public_tokenizers
 
     tok = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     got = {r.doc_id: tuple(r)[1:] for r in queries.op3_token_planes(spark, SF).select(
         "doc_id", "start", "n_tokens", "ids_crc32").collect()}
     start, want = 0, {}

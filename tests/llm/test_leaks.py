@@ -59,3 +59,30 @@ def test_edited_items_are_found(low, high, share):
     distances = [decontaminate.edits(t, x, len(t))[0] for (_, t), x in zip(items, texts)]
     assert all(0.8 * int(share * len(t)) <= d <= share * len(t) for (_, t), d in zip(items, distances))
     assert sum(found(items, texts)) >= 49
+
+
+@pytest.mark.parametrize("letters", ["acgt", "abcdefghijklmnopqrstuvwxyz      "])
+def test_recall_end_to_end(letters):
+    """Walks, first comparison and verification together, against the edit distance of every
+    (text, item) that was planted: at 5, 10, 15 and 20 % of edits."""
+    def some(size):
+        return decontaminate.normal("".join(rng.choice(letters) for _ in range(size)).encode())
+
+    items = [(k, some(rng.randrange(60, 300))) for k in range(60)]
+    search = decontaminate.Filter(items)
+    want, got = 0, 0
+    for share in (0.05, 0.1, 0.15, 0.2):
+        texts = [some(300) + b" " + decontaminate.edited(t, int(share * len(t)), rng) + b" " + some(300) for _, t in items]
+        near = {(n, k) for n, (k, t) in enumerate(items)
+                if decontaminate.edits(t, decontaminate.normal(texts[n]), int(decontaminate.SHARE * len(t)))}
+        want += len(near)
+        got += len(near & {r[:2] for r in search.find(texts)})
+    assert want > 200 and got >= 0.99 * want
+
+
+def test_classes_that_walks_miss_go_by_pieces(monkeypatch):
+    monkeypatch.setattr(decontaminate, "RECALL", 1.01)  # out of reach
+    monkeypatch.setattr(decontaminate, "MOST_REPEATS", 2)
+    items = [(k, prose(60)) for k in range(20)]
+    assert not decontaminate.Filter(items).walks
+    assert all(found(items, [edited(t, decontaminate.SHARE) for _, t in items]))
