@@ -275,10 +275,10 @@ def env_cte(lines: str = "lines") -> str:
 SEV = "list_position(['critical', 'high', 'medium', 'low'], {}) - 1"
 
 
-def findings_ctes(p: str = "", second: bool = True, where: str = "true") -> list[str]:
+def findings_ctes(p: str = "", second: bool = True, where: str = "true", extra=()) -> list[str]:
     """CTEs from corpus to scored findings; ``p`` prefixes their names."""
     groups = group_branches(f"{p}lines")
-    raw = "\n  UNION ALL ".join(b for g in groups.values() for b in g)
+    raw = "\n  UNION ALL ".join([*(b for g in groups.values() for b in g), *extra])
     name = "list_last(string_split(lower(file), '/'))"
     parts = "string_split(lower(file), '/')"
     demo = f"list_has_any({parts}, {lst(K.DEMO_FIXTURE_PARTS)})"
@@ -703,6 +703,50 @@ WHERE o.severity IS DISTINCT FROM n.severity""")
     out["tree_single_project"] = inv(
         "'project' AS repo_id, repo_id || '/' || path AS path, size, decision, file_context")
     out["stream_tree_scan"] = with_(found[:7], f"SELECT {RAW}, adjusted_severity_reason FROM ctx")
+    out["memo_rescan"] = with_(found[:5], f"SELECT {RAW} FROM raw")
+    route = "coalesce(ext_scanner, '') AS ext_scanner, run_secrets, real_env, example_env"
+    out["memo_rescan_work"] = with_(
+        [corpus_cte(), inv_cte(), corpus_cte("b_corpus", False, "lang <> 'es'"), inv_cte("b_inv", "b_corpus"),
+         f"contents AS (SELECT DISTINCT content, {route} FROM inv WHERE decision = 'scan')",
+         f"b_contents AS (SELECT DISTINCT content, {route} FROM b_inv WHERE decision = 'scan')"], """
+SELECT 0 AS scan, ext_scanner, count(*) AS n_contents FROM b_contents GROUP BY ALL
+UNION ALL
+SELECT 1, ext_scanner, count(*) FROM (SELECT * FROM contents EXCEPT SELECT * FROM b_contents) GROUP BY ALL
+UNION ALL
+SELECT 3, ext_scanner, count(*) FROM contents WHERE ext_scanner = 'python' GROUP BY ALL""")
+    custom = []
+    for i, rule in enumerate(Q.CUSTOM.rules):
+        subject, flags = "code" if rule.on_code else "txt", "'i'" if rule.case_insensitive else "'c'"
+        kinds = " OR ".join(f"ext_scanner = '{k}'" for k in rule.scanners)
+        where = f"({kinds}) AND regexp_matches({subject}, {q(rule.pattern)}, {flags})"
+        if rule.unless:
+            where += f" AND NOT regexp_matches({subject}, {q(rule.unless)}, {flags})"
+        custom.append(hit(1000 + i, q(rule.id), q(rule.title), q(rule.severity), rule.category,
+                          rule.recommendation, where, "lines", evidence("txt")))
+    union = "\nUNION ALL ".join(custom)
+    out["detect_custom_rule"] = with_(base, f"SELECT {RAW} FROM ({union})")
+    out["custom_rule_summary"] = with_(findings_ctes(extra=custom) + summary_ctes() + ["""reals AS (
+  SELECT repo_id, count(*) FILTER (severity = 'critical' AND NOT example) AS real_critical FROM scored GROUP BY repo_id)"""], """
+SELECT repo_id, total, coalesce(real_critical, 0) AS real_critical, catastrophic, deduction_units, score
+FROM s8 LEFT JOIN reals USING (repo_id)""")
+    out["detect_custom_scanner"] = with_(base, f"""SELECT {RAW} FROM (
+  SELECT repo_id, file, max(line) AS line, 'CUSTOM_LONG_FILE' AS rule_id, 'Long file' AS title, 'medium' AS severity,
+    'custom-size' AS category, max(line) || ' lines' AS evidence, 'Split it.' AS recommendation, file_context
+  FROM lines GROUP BY ALL HAVING max(line) > 12)""")
+    out["findings_rollup"] = with_(found, """
+SELECT repo_id, category, severity, (GROUPING(repo_id) + GROUPING(category) + GROUPING(severity))::INT AS level,
+  count(*) AS n_findings, sum(units)::BIGINT AS penalty_units, min(line)::INT AS first_line,
+  count(*) FILTER (env) AS n_env_config
+FROM scored GROUP BY ROLLUP (repo_id, category, severity)""")
+    out["scan_response_by_repo"] = with_(summed + ["""placed AS (
+  SELECT *, ((row_number() OVER (PARTITION BY repo_id ORDER BY sev_rank, file, line, ord) - 1) // 3)::INT AS part,
+    count(*) OVER (PARTITION BY repo_id) AS n FROM ctx)"""], """
+SELECT repo_id, coalesce(part, 0) AS part, (greatest(coalesce(n, 0) + 2, 3) // 3)::INT AS n_parts,
+  CASE WHEN coalesce(part, 0) = 0 THEN any_value(score) END AS score,
+  CASE WHEN coalesce(part, 0) = 0 THEN any_value(risk_label) END AS risk_label,
+  CASE WHEN coalesce(part, 0) = 0 THEN any_value(total) END AS total,
+  coalesce(string_agg(rule_id || ':' || file || ':' || line || ':' || severity, ',' ORDER BY sev_rank, file, line, ord), '') AS findings
+FROM summary LEFT JOIN placed USING (repo_id) GROUP BY repo_id, part, n""")
     out["lossy_decode"] = lossy_decode_sql(Q.DAMAGE)
     out["scan_response_nested"] = with_(found[:7], """SELECT repo_id, file, count(*)::INT AS n_findings,
   string_agg(rule_id || ':' || line || ':' || severity, ',' ORDER BY sev_rank, line, ord) AS findings

@@ -192,20 +192,26 @@ GROUPS = {
     "env_assign": _assignment_hits,
     "secrets_named": _named_secret_hits,
     "secrets_value": _secret_value_hits,
-    "extra": lambda: [_rule_hit(r, _ORD_EXTRA + i) for i, r in enumerate(R.extra_rules())],
 }
+EXTRA = "extra"  # the rules of the catalog
 
 
-def _catalog() -> Column:
+def _group_hits(group: str, catalog: R.Catalog) -> list[str]:
+    if group == EXTRA:
+        return [_rule_hit(r, _ORD_EXTRA + i) for i, r in enumerate(catalog.rules)]
+    return GROUPS[group]()
+
+
+def _texts(catalog: R.Catalog) -> Column:
     """Texts and severities by key: one literal map, folded at planning time."""
-    return F.from_json(F.lit(json.dumps(R.catalog_entries())), f"map<string,{_ENTRY_TYPE}>")
+    return F.from_json(F.lit(json.dumps(catalog.entries())), f"map<string,{_ENTRY_TYPE}>")
 
 
-def _with_entries(hits: Column) -> Column:
+def _with_entries(hits: Column, catalog: R.Catalog) -> Column:
     """Each hit with its catalog entry, looked up once: what is exploded is computed before the
     rows that use it, so the map is not copied into every expression over them."""
     return F.transform(hits, lambda h: F.struct(
-        h["disc_ord"].alias("disc_ord"), h["value"].alias("value"), _catalog()[h["key"]].alias("entry")))
+        h["disc_ord"].alias("disc_ord"), h["value"].alias("value"), _texts(catalog)[h["key"]].alias("entry")))
 
 
 def _severity() -> Column:
@@ -250,13 +256,14 @@ def admitted(files: DataFrame, carry=(), max_file_bytes: int | None = K.MAX_FILE
     )
 
 
-def candidate_lines(routed: DataFrame, carry=()) -> DataFrame:
+def candidate_lines(routed: DataFrame, carry=(), catalog: R.Catalog | None = None) -> DataFrame:
     """The lines that may match a rule, with their masked code where it matters."""
+    extra = (catalog or R.current()).rules
     masks = (F.col("ext_scanner") == "python") & _may_call(F.col("text"))
-    if any(rule.on_code for rule in R.extra_rules()):
+    if any(rule.on_code for rule in extra):
         masks = F.col("ext_scanner") == "python"
     hint = F.col("text_line").rlike(R.LINE_HINTS)
-    for rule in R.extra_rules():
+    for rule in extra:
         hint = hint | (F.col("code").rlike(rule.regex) if rule.on_code
                        else F.col("text_line").rlike(rule.regex))
     name = P.filename(F.col("file"))
@@ -291,16 +298,17 @@ def _first_of_rule(hits: Column) -> Column:
     ))
 
 
-def match_rules(lines: DataFrame, groups=tuple(GROUPS), unique: bool = False,
-                carry=()) -> DataFrame:
+def match_rules(lines: DataFrame, groups=(*GROUPS, EXTRA), unique: bool = False,
+                carry=(), catalog: R.Catalog | None = None) -> DataFrame:
     """Raw findings of the candidate lines, for some or all rule groups.
 
     ``unique`` keeps only the first finding of a rule on a line. Where every file is
     listed once this is all the de-duplication there is to do.
     """
+    catalog = catalog or R.current()
     is_config = F.col("ext_scanner") == "config"
     any_name = "|".join(K.NAMED_SECRETS)
-    hits = [h for g in groups for h in GROUPS[g]()] or [f"cast(null AS {_HIT_TYPE})"]
+    hits = [h for g in groups for h in _group_hits(g, catalog)] or [f"cast(null AS {_HIT_TYPE})"]
     staged = (
         lines
         .withColumns({
@@ -325,7 +333,7 @@ def match_rules(lines: DataFrame, groups=tuple(GROUPS), unique: bool = False,
         found = _first_of_rule(F.col("hits"))
     public, kind = F.col("entry.shows") == "public", V.secret_type(F.col("env_name"))
     return (
-        staged.withColumn("hit", F.explode(_with_entries(found)))
+        staged.withColumn("hit", F.explode(_with_entries(found, catalog)))
         .withColumn("entry", F.col("hit.entry"))
         .select(
             "repo_id", "file", (F.col("pos") + 1).cast("int").alias("line"), "hit.disc_ord",
@@ -339,11 +347,13 @@ def match_rules(lines: DataFrame, groups=tuple(GROUPS), unique: bool = False,
     )
 
 
-def detect(files: DataFrame, groups=tuple(GROUPS), unique: bool = False, carry=(),
-           max_file_bytes: int | None = K.MAX_FILE_BYTES) -> DataFrame:
-    """Raw findings of a files table; a rule may report one line more than once."""
+def detect(files: DataFrame, groups=(*GROUPS, EXTRA), unique: bool = False, carry=(),
+           max_file_bytes: int | None = K.MAX_FILE_BYTES, catalog: R.Catalog | None = None) -> DataFrame:
+    """Raw findings of a files table; a rule may report one line more than once. ``catalog`` holds
+    further rules and scanners; without one, those that the session has registered."""
+    catalog = catalog or R.current()
     routed = admitted(files, carry, max_file_bytes)
-    raw = match_rules(candidate_lines(routed, carry), groups, unique, carry)
-    for scanner in R.extra_scanners():
+    raw = match_rules(candidate_lines(routed, carry, catalog), groups, unique, carry, catalog)
+    for scanner in catalog.scanners:
         raw = raw.unionByName(scanner(routed).select(*RAW_FINDING_COLUMNS, *carry))
     return raw

@@ -129,3 +129,14 @@ def score_bands(summary: DataFrame) -> DataFrame:
         "repo_id", "score", score_band(F.col("score")).alias("band"),
         S.score_label(F.col("score")).alias("score_label"),
     )
+
+
+def rollup(scored: DataFrame) -> DataFrame:
+    """Findings and penalties per repository, category and severity, with subtotals: ``level`` 0 is a
+    severity of a category, 1 a category, 2 a repository, 3 everything. All levels are
+    merged from partial sums of the same rows, made before the one exchange, so a repository
+    that has most of the findings costs no more than the others."""
+    level = sum(F.grouping(c).cast("int") for c in ("repo_id", "category", "severity"))
+    return scored.rollup("repo_id", "category", "severity").agg(
+        level.alias("level"), F.count("*").alias("n_findings"), F.sum("penalty_units").alias("penalty_units"),
+        F.min("line").alias("first_line"), F.count_if("is_env").alias("n_env_config"))

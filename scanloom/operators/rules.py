@@ -185,7 +185,7 @@ SECRET_VALUES = (
                 r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
 )
 
-def catalog_entries() -> dict[str, dict[str, str]]:
+def catalog_entries(extra: tuple[Rule, ...] = ()) -> dict[str, dict[str, str]]:
     """Catalog key -> texts of the finding. ``shows`` tells where its evidence comes
     from: the line, the matched value, or a fixed text."""
     out: dict[str, dict[str, str]] = {}
@@ -194,7 +194,7 @@ def catalog_entries() -> dict[str, dict[str, str]]:
         out[key] = {"rule_id": rule_id, "title": title, "severity": severity,
                     "category": category, "recommendation": recommendation, "shows": shows}
 
-    for rule in (*JAVASCRIPT_RULES, *PYTHON_CALL_RULES, *PYTHON_LINE_RULES, *_extra_rules):
+    for rule in (*JAVASCRIPT_RULES, *PYTHON_CALL_RULES, *PYTHON_LINE_RULES, *extra):
         add(rule.id, rule.id, rule.title, rule.severity, rule.category, rule.recommendation)
     for i, rule in enumerate(CORS_RULES):
         add(f"{rule.id}:{i}", rule.id, rule.title, rule.severity, rule.category,
@@ -233,38 +233,70 @@ LINE_HINTS = (
 
 # -- user extensions -----------------------------------------------------------
 Scanner = Callable[[DataFrame], DataFrame]
-_extra_rules: list[Rule] = []
-_extra_scanners: list[Scanner] = []
+SCANNERS = frozenset(("python", "javascript", "config", "secrets"))
+
+
+@dataclass(frozen=True)
+class Catalog:
+    """What a scan applies besides the built-in rules: line rules, and scanners (admitted files
+    in, raw findings out). Immutable: ``with_rule`` and ``with_scanner`` give new catalogs, so
+    two scans of one session can't disturb each other. Categories may be new ones."""
+
+    rules: tuple[Rule, ...] = ()
+    scanners: tuple[Scanner, ...] = ()
+
+    def __post_init__(self):
+        taken = {entry["rule_id"] for entry in catalog_entries().values()}
+        for rule in self.rules:
+            if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_.-]*", rule.id):
+                raise ValueError(f"rule id must be a plain name: {rule.id!r}")
+            if rule.id in taken:
+                raise ValueError(f"rule id is taken: {rule.id}")
+            if not rule.scanners or set(rule.scanners) - SCANNERS:
+                raise ValueError(f"unknown scanners: {rule.scanners}")
+            if rule.severity not in K.SEVERITIES:
+                raise ValueError(f"unknown severity: {rule.severity}")
+            if not re.fullmatch(r"[a-z][a-z0-9-]*", rule.category):
+                raise ValueError(f"category must be lower-case words: {rule.category!r}")
+            re.compile(rule.pattern)
+            taken.add(rule.id)
+
+    def with_rule(self, *rules: Rule) -> Catalog:
+        return Catalog(self.rules + rules, self.scanners)
+
+    def with_scanner(self, *scanners: Scanner) -> Catalog:
+        return Catalog(self.rules, self.scanners + scanners)
+
+    def entries(self) -> dict[str, dict]:
+        return catalog_entries(self.rules)
+
+
+_session = [None]  # the catalog of scans that name none
+
+
+def current() -> Catalog:
+    return _session[0] or Catalog()
 
 
 def register_rule(rule: Rule) -> None:
-    """Add a line rule; every later ``detect`` applies it."""
-    if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_.-]*", rule.id):
-        raise ValueError(f"rule id must be a plain name: {rule.id!r}")
-    if rule.id in {entry["rule_id"] for entry in catalog_entries().values()}:
-        raise ValueError(f"rule id is taken: {rule.id}")
-    if not rule.scanners or set(rule.scanners) - {"python", "javascript", "config", "secrets"}:
-        raise ValueError(f"unknown scanners: {rule.scanners}")
-    if rule.severity not in K.SEVERITIES:
-        raise ValueError(f"unknown severity: {rule.severity}")
-    if rule.category not in K.CATEGORIES:  # scoring counts distinct ones
+    """Add a line rule to every later scan that names no catalog. Its category must be a known one."""
+    if rule.category not in K.CATEGORIES:
         raise ValueError(f"unknown category: {rule.category}")
-    _extra_rules.append(rule)
+    _session[0] = current().with_rule(rule)
 
 
 def register_scanner(scanner: Scanner) -> None:
-    """Add a table-level rule: admitted files in, raw findings out."""
-    _extra_scanners.append(scanner)
+    """Add a table-level rule to every later scan that names no catalog."""
+    _session[0] = current().with_scanner(scanner)
 
 
 def extra_rules() -> tuple[Rule, ...]:
-    return tuple(_extra_rules)
+    return current().rules
 
 
 def extra_scanners() -> tuple[Scanner, ...]:
-    return tuple(_extra_scanners)
+    return current().scanners
 
 
 def clear_extensions() -> None:
-    _extra_rules.clear()
-    _extra_scanners.clear()
+    _session[0] = None

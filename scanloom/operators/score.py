@@ -189,7 +189,6 @@ def _measure_table() -> dict[str, tuple[str, str]]:
     to its own results, so partial groups may be merged in any number of steps."""
     critical = f"severity = '{K.CRITICAL}'"
     real = f"{critical} AND NOT is_example"
-    bits = " ".join(f"WHEN '{c}' THEN {1 << i}" for i, c in enumerate(K.CATEGORIES))
 
     def count(condition: str) -> tuple[str, str]:
         return f"if({condition}, 1L, 0L)", "sum"
@@ -216,8 +215,9 @@ def _measure_table() -> dict[str, tuple[str, str]]:
         "ceiling": ("score_cap", "min"),
         "least_repeat_pct": ("repeat_pct", "min"),
         "real_critical": count(real),
-        "real_critical_categories": (
-            f"if({real}, CASE category {bits} ELSE {1 << len(K.CATEGORIES)} END, 0)", "bit_or"),
+        # two categories or more: the least is not the greatest, whatever categories there are
+        "real_critical_from": (f"if({real}, category, NULL)", "min"),
+        "real_critical_to": (f"if({real}, category, NULL)", "max"),
         "catastrophic_rules": count(f"{real} AND {mentions(K.CATASTROPHIC_KEYWORDS)}"),
         "code_execution_rules": count(f"{real} AND {mentions(K.CODE_EXECUTION_KEYWORDS)}"),
         "top_sev_rank": (
@@ -252,7 +252,7 @@ def with_score(measured: DataFrame) -> DataFrame:
     c = F.col
     cap = F.lit(K.LOW_DEDUCTION_CAP * UNITS)
     catastrophic = (
-        ((c("real_critical") >= 4) & (F.bit_count("real_critical_categories") >= 2))
+        ((c("real_critical") >= 4) & (c("real_critical_from") < c("real_critical_to")))
         | (c("catastrophic_rules") > 0)
         | (c("code_execution_rules") >= 2)
     )
@@ -331,6 +331,8 @@ def display_points(units: Column) -> Column:
     return F.ceil(units.cast("decimal(18,0)") / F.lit(UNITS).cast("decimal(5,0)")).cast("int")
 
 
+# absent where there is nothing to compare
+_MAY_BE_NULL = ("top_sev_rank", "real_critical_from", "real_critical_to")
 _NO_FINDINGS = {"ceiling": 100, "least_repeat_pct": 100}
 
 
@@ -339,7 +341,7 @@ def complete(measured: DataFrame, repos: DataFrame) -> DataFrame:
     ``repo_id`` once each, and columns to carry along. One row per repository on
     both sides: the join cannot be skewed."""
     joined = repos.join(measured, "repo_id", "left")
-    fills = {name: _NO_FINDINGS.get(name, 0) for name in _MEASURES if name != "top_sev_rank"}
+    fills = {name: _NO_FINDINGS.get(name, 0) for name in _MEASURES if name not in _MAY_BE_NULL}
     return joined.fillna(fills)
 
 

@@ -42,17 +42,20 @@ class MergedTable:
         else:
             rows.write.mode("overwrite").parquet(f"{place}/batch={batch_id % self.every}")
 
-    def _merged(self, spark: SparkSession, epoch: int) -> DataFrame:
+    def _merged(self, spark: SparkSession, epoch: int, before: int | None = None) -> DataFrame:
         """One row per key as of an epoch, ``batch_id`` included."""
         paths = [f"{self.root}/log/place={epoch % 2}"] + ([f"{self.root}/base/place={epoch % 2}"] if epoch else [])
         schema = self._schema()
         rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
+        if before is not None:
+            rows = rows.filter(F.col("batch_id") < before)
         others = [c for c in schema.fieldNames() if c not in self.keys]
         latest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*others), "batch_id").alias("_row"))
         return latest.select(*self.keys, "_row.*").select(*schema.fieldNames())
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        """The current rows. A table that nothing was written to is an error of the reader."""
+    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        """The current rows, or those of the batches before a recent one. A table that nothing was written to
+        is an error of the reader."""
         epoch = spark.read.schema("epoch bigint").option("recursiveFileLookup", "true").parquet(
             f"{self.root}/marker").agg(F.max("epoch")).first()[0]
-        return self._merged(spark, epoch).drop("batch_id")
+        return self._merged(spark, epoch, before).drop("batch_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -10,9 +11,9 @@ from scanloom import constants as K
 from scanloom.functions import redact as D, text as X
 from scanloom.operators import (
     admission as A, changes as C, detect as M, explain as E, findings as N, inventory as I,
-    memo as H, report as P, score as S,
+    memo as H, report as P, rules as R, score as S,
 )
-from scanloom.plans.scan import ScanResult, nested_by_file, scan
+from scanloom.plans.scan import ScanResult, by_repository, nested_by_file, scan
 from scanloom.plans.workspace import materialize, new_dir
 from scanloom.schemas import FINDING_SCHEMA
 from scanloom.sources.corpus import corpus_from, corpus_path, partitioned, read_corpus, write_tree
@@ -152,6 +153,25 @@ def content_memo_scan(spark, sf_dir):
     return H.detect_once(read_corpus(spark, sf_dir)).select(*RAW)
 
 
+def memo_rescan(spark, sf_dir):
+    """A memo that has seen the earlier state scans what is new, and tells all findings."""
+    memo = H.ContentMemo(new_dir(spark, "memo"))
+    memo.scan(_before(spark, sf_dir), 0)
+    return memo.scan(read_corpus(spark, sf_dir), 1).findings.select(*RAW)
+
+
+def memo_rescan_work(spark, sf_dir):
+    """Contents scanned by each of four scans: the earlier state, the current one, the
+    current one again, and with a new rule for Python."""
+    memo = H.ContentMemo(new_dir(spark, "memo"), every=2)
+    rule = R.Catalog().with_rule(CUSTOM.rules[1])
+    runs = [(_before(spark, sf_dir), None), (read_corpus(spark, sf_dir), None), (read_corpus(spark, sf_dir), None),
+            (read_corpus(spark, sf_dir), rule)]
+    scanned = [memo.scan(files, number, catalog).scanned.withColumn("scan", F.lit(number))
+               for number, (files, catalog) in enumerate(runs)]
+    return reduce(DataFrame.union, scanned).groupBy("scan", "ext_scanner").agg(F.count("*").alias("n_contents"))
+
+
 def dedup_findings(spark, sf_dir):
     return N.dedup(M.detect(read_corpus(spark, sf_dir))).select(*RAW)
 
@@ -247,6 +267,49 @@ def scan_response_nested(spark, sf_dir):
         ",").alias("findings"))
 
 
+def scan_response_by_repo(spark, sf_dir):
+    """Parts of three findings; the summary's score and label stand for all of it."""
+    return by_repository(corpus_scan(spark, sf_dir), 3).select(
+        "repo_id", "part", "n_parts", "summary.score", "summary.risk_label", "summary.total",
+        F.array_join(F.transform("findings", lambda f: F.concat_ws(
+            ":", f["rule_id"], f["file"], f["line"].cast("string"), f["severity"])), ",").alias("findings"))
+
+
+# Rules of one query, in categories of their own.
+CUSTOM = R.Catalog().with_rule(
+    R.Rule("CUSTOM_CALL", "Call to watch", K.CRITICAL, "custom-call", ("python", "javascript"),
+           r"\b(?:connect|charge|push|maps|upload)\(", "Review this call."),
+    R.Rule("CUSTOM_EVAL_CODE", "Evaluated code", K.CRITICAL, "custom-eval", ("python",),
+           r"\beval\s*\(", "Do not evaluate.", on_code=True),
+    R.Rule("CUSTOM_ORIGIN", "Origin named", K.LOW, K.CORS, ("config",), "origin", "Review.",
+           unless="Access", case_insensitive=True))
+
+
+def detect_custom_rule(spark, sf_dir):
+    return M.detect(read_corpus(spark, sf_dir), (M.EXTRA,), catalog=CUSTOM).select(*RAW)
+
+
+def custom_rule_summary(spark, sf_dir):
+    """New categories count in the test for catastrophic risk."""
+    result = scan(read_corpus(spark, sf_dir), catalog=CUSTOM)
+    return S.with_score(S.complete(S.measures(result.scored), result.stats)).select(
+        "repo_id", "total", "real_critical", "catastrophic", "deduction_units", "score")
+
+
+def long_files(routed: DataFrame) -> DataFrame:
+    """A scanner: files of many lines, reported at their last one."""
+    lines = X.lines_of(F.col("content"))
+    return routed.filter(F.size(lines) > 12).select(
+        "repo_id", "file", F.size(lines).alias("line"), F.lit(0).alias("disc_ord"), F.lit("CUSTOM_LONG_FILE").alias("rule_id"),
+        F.lit("Long file").alias("title"), F.lit(K.MEDIUM).alias("severity"), F.lit("custom-size").alias("category"),
+        F.concat(F.size(lines).cast("string"), F.lit(" lines")).alias("evidence"), F.lit("Split it.").alias("recommendation"),
+        "file_context")
+
+
+def detect_custom_scanner(spark, sf_dir):
+    return M.detect(read_corpus(spark, sf_dir), (), catalog=R.Catalog().with_scanner(long_files)).select(*RAW)
+
+
 # -- reports ---------------------------------------------------------------------
 def critical_context_line(spark, sf_dir):
     return P.critical_context(risk_summary(spark, sf_dir))
@@ -269,6 +332,10 @@ def top_categories(spark, sf_dir):
     return P.top_categories(final(spark, sf_dir))
 
 
+def findings_rollup(spark, sf_dir):
+    return P.rollup(corpus_scan(spark, sf_dir).scored)
+
+
 def executive_summary(spark, sf_dir):
     result = corpus_scan(spark, sf_dir)
     return P.executive_summary(result.scored, result.stats).select(
@@ -492,6 +559,8 @@ QUERIES: dict[str, Query] = {
     "stream_tree_scan": stream_tree_scan,
     "lossy_decode": lossy_decode,
     "content_memo_scan": content_memo_scan,
+    "memo_rescan": memo_rescan,
+    "memo_rescan_work": memo_rescan_work,
     "dedup_findings": dedup_findings,
     "context_adjust": context_adjust,
     "findings_sorted": findings_sorted,
@@ -510,6 +579,11 @@ QUERIES: dict[str, Query] = {
     "catastrophic_flag": _scored("catastrophic", "deduction_units", "score"),
     "scan_response": scan_response,
     "scan_response_nested": scan_response_nested,
+    "scan_response_by_repo": scan_response_by_repo,
+    "detect_custom_rule": detect_custom_rule,
+    "custom_rule_summary": custom_rule_summary,
+    "detect_custom_scanner": detect_custom_scanner,
+    "findings_rollup": findings_rollup,
     "critical_context_line": critical_context_line,
     "score_band": score_band,
     "report_keys": report_keys,

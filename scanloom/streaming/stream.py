@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scanloom.operators import detect as D, explain as E, findings as N
-from scanloom.streaming.merged import MergedTable
+from scanloom.plans.merged import MergedTable
 
 
 def stream_findings(files: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from scanloom import constants as K
 from scanloom.operators import detect as D, findings as N, inventory as I, score as S
-from scanloom.streaming.merged import MergedTable
+from scanloom.plans.merged import MergedTable
 
 LANES = 64
 _PLACE = ("sev_rank", "line", "disc_ord")

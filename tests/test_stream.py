@@ -9,7 +9,7 @@ from scanloom.plans.scan import scan
 from scanloom.plans.workspace import new_dir
 from scanloom.sources.files import list_tree, read_contents
 from scanloom.streaming import stream as T
-from scanloom.streaming.merged import MergedTable
+from scanloom.plans.merged import MergedTable
 from scanloom.streaming.summary import RunningSummary
 
 SCHEMA = "repo_id string, path string, content string, size bigint, arrived_at timestamp"
