@@ -431,7 +431,7 @@ def blocks_of(benchmark: DataFrame):
         yield block
 
 
-def _groups(texts: list[bytes], most: int = 4 << 20):
+def _groups(texts: list[bytes], most: int = 1 << 20):
     """Runs of texts of bounded size, or single long ones."""
     low, size = 0, 0
     for k, t in enumerate(texts):
