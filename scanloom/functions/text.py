@@ -52,28 +52,57 @@ def evidence(line: Column, chars: int = EVIDENCE_CHARS) -> Column:
 
 # One alternation, leftmost match first: whichever string or comment starts earliest
 # hides the others inside it. The look-ahead rejects most positions at once.
-_PY_TOKEN = "(?=[\"'#])(?:" + "|".join([
-    r'''"""(?:[^"\\]++|\\[\s\S]|"{1,2}(?:[^"\\]|\\[\s\S]))*+"""''',
+_PLAIN = [
+    r'"""(?:[^"\\]++|\\[\s\S]|"{1,2}(?:[^"\\]|\\[\s\S]))*+"""',
     r"""'''(?:[^'\\]++|\\[\s\S]|'{1,2}(?:[^'\\]|\\[\s\S]))*+'''""",
     r'"(?:[^"\\\n]++|\\[\s\S])*+"',
     r"'(?:[^'\\\n]++|\\[\s\S])*+'",
-    r"#[^\n]*",
-]) + ")"
+]
+_STRING = "|".join(_PLAIN)
+# What braces of an f-string hold: code, its own strings (also in the quotes of the f-string itself), and
+# braces of dictionaries or of format specifications in two levels.
+_INNER = rf"(?:[^{{}}\"']++|{_STRING})"
+_BRACES = rf"\{{(?:{_INNER}|\{{{_INNER}*+\}})*+\}}"
+_FIELD = rf"\{{(?!\{{)(?:{_INNER}|{_BRACES})*+\}}"
+
+
+def _f_string(quote: str) -> str:
+    literal = r"[^\\{}" + quote[0] + (r"\n" if len(quote) == 1 else "") + "]++"
+    single = f"|{quote[0]}(?!{quote[1:]})" if len(quote) == 3 else ""
+    return rf"{quote}(?:{literal}|\\[\s\S]|\{{\{{|{_FIELD}|\}}{single})*+{quote}"
+
+
+_F_PREFIX = r"(?<![\w])(?i:f|fr|rf)"
+_F_TOKEN = _F_PREFIX + "(?:" + "|".join(_f_string(q) for q in ('"""', "'''", '"', "'")) + ")"
+_PY_TOKEN = "(?=[\"'#fFrR])(?:" + "|".join([_F_TOKEN, *_PLAIN, r"#[^\n]*"]) + ")"
 _DEFINITION = r"\b(?:def|class)[ \t]+\w+"
+_F_LEVELS = 3  # f-strings in fields of f-strings in fields of f-strings
 
 
-def mask_python(text: Column) -> Column:
-    """Python source with strings replaced by ``""`` and with comments and the
-    names of definitions removed. Newlines are kept, so line numbers still hold."""
+def _without_strings(text: Column, levels: int) -> Column:
+    """Python source with every string as ``""``, followed by the fields of an f-string, and without
+    comments. Newlines are kept."""
     code_parts = F.split(text, _PY_TOKEN, -1)
     tokens = F.regexp_extract_all(text, F.lit(_PY_TOKEN), F.lit(0))
 
     def join(code: Column, token: Column) -> Column:
-        return (
-            F.when(token.isNull(), code)
-            .when(token.startswith("#"), code)
-            .otherwise(F.concat(code, F.lit('""'), F.regexp_replace(token, r"[^\n]+", "")))
-        )
-
-    code = F.array_join(F.zip_with(code_parts, tokens, join), "")
-    return F.regexp_replace(code, _DEFINITION, "")
+        breaks = F.regexp_replace(token, r"[^\n]+", "")
+        shown = F.concat(code, F.lit('""'), breaks)
+        if levels:
+            body = F.regexp_replace(token, r"""\A[a-zA-Z]+(?:\"{3}|'{3}|\"|')""", "")
+            fields = F.regexp_replace(body, rf"({_FIELD})|\\[^\n]|\{{\{{|[^\n]", "$1")
+            shown = F.when(
+                token.rlike(r"\A[fFrR]") & F.contains(token, F.lit("{")),
+                # the prefix stays, as it does before other strings: such a string is no constant
+                F.concat(code, F.lit('f""'), _without_strings(fields, levels - 1)),
+            ).otherwise(F.when(token.rlike(r"\A[fFrR]"), F.concat(code, F.lit('f""'), breaks)).otherwise(shown))
+        return F.when(token.isNull() | token.startswith("#"), code).otherwise(shown)
+
+    return F.array_join(F.zip_with(code_parts, tokens, join), "")
+
+
+def mask_python(text: Column) -> Column:
+    """Python source with strings replaced by ``""`` and with comments and the
+    names of definitions removed. Code in the braces of f-strings stays. Newlines are kept, so
+    line numbers still hold."""
+    return F.regexp_replace(_without_strings(text, _F_LEVELS), _DEFINITION, "")

@@ -41,44 +41,52 @@ def _may_call(text: Column) -> Column:
     return (bare & text.rlike(r"(?:^|[^.\w])e(?:val|xec)\s*\(")) | shell
 
 
+_STOPS_AT_ONCE = 1024
+
+
 def _shell_calls(code: Column) -> Column:
-    """Which of the subprocess calls in masked source, counted from 1, have shell=True among
-    their own arguments. One walk over the brackets keeps the calls that are open and how
-    deep each is, so nesting may go as deep as it likes."""
-    nothing = F.array().cast("array<struct<n:int,depth:int,shell:boolean>>")
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), nothing.alias("open"),
-                     F.array().cast("array<int>").alias("found"))
+    """For each of the subprocess calls in masked source, has it shell=True among its own
+    arguments? One walk over the brackets from the end: there a call's arguments come before
+    its head, so its answer is known when the head is met, and the answers come in order. The walk
+    keeps the depth, and the depths at which an open bracket holds the flag, so nesting may go as
+    deep as it likes. Answers are put together by blocks, so the work grows with the source."""
+    flag, closes = "shell", (")", "]", "}")
 
     def step(at: Column, stop: Column) -> Column:
-        head, flag = stop.startswith("subprocess"), stop.startswith("shell")
-        opens = head | stop.isin("(", "[", "{")
-        depth = at["depth"] + F.when(opens, 1).when(flag, 0).otherwise(-1)
-        n = at["n"] + F.when(head, 1).otherwise(0)
-        closed = F.filter(at["open"], lambda c: (c["depth"] > depth) & c["shell"])
-        calls = (
-            F.when(head, F.concat(at["open"], F.array(F.struct(
-                n.alias("n"), depth.alias("depth"), F.lit(False).alias("shell")))))
-            .when(flag, F.transform(at["open"], lambda c: F.struct(
-                c["n"].alias("n"), c["depth"].alias("depth"),
-                (c["shell"] | (c["depth"] == depth)).alias("shell"))))
-            .when(opens, at["open"])
-            .otherwise(F.filter(at["open"], lambda c: c["depth"] <= depth))
-        )
-        found = F.when(opens | flag, at["found"]).otherwise(
-            F.concat(at["found"], F.transform(closed, lambda c: c["n"])))
-        return F.struct(n.alias("n"), depth.alias("depth"), calls.alias("open"), found.alias("found"))
-
-    stops = F.regexp_extract_all(code, F.lit(_STOPS), F.lit(0))
-    return F.aggregate(stops, start, step, lambda at: at["found"])
+        head, is_flag, close = stop.startswith("subprocess"), stop.startswith(flag), stop.isin(*closes)
+        depth = at["depth"]
+        return F.struct(
+            F.when(is_flag, depth).when(close, depth + 1).otherwise(F.greatest(depth - 1, F.lit(0))).alias("depth"),
+            F.when(close, at["flagged"])
+            .when(is_flag, F.when(depth > 0, F.array_append(at["flagged"], depth)).otherwise(at["flagged"]))
+            .otherwise(F.array_remove(at["flagged"], depth)).alias("flagged"),
+            F.when(head, F.array_append(at["out"], F.array_contains(at["flagged"], depth)))
+            .otherwise(at["out"]).alias("out"))
+
+    depths, answers = F.array().cast("array<int>"), F.array().cast("array<boolean>")
+    stops = F.reverse(F.regexp_extract_all(code, F.lit(_STOPS), F.lit(0)))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(stops) / F.lit(_STOPS_AT_ONCE)).cast("int")),
+        lambda k: F.slice(stops, k * _STOPS_AT_ONCE + 1, F.lit(_STOPS_AT_ONCE)))
+
+    def block(at: Column, part: Column) -> Column:
+        inside = F.aggregate(part, F.struct(
+            at["depth"].alias("depth"), at["flagged"].alias("flagged"), answers.alias("out")), step)
+        return F.aggregate(F.array(inside), at, lambda outer, x: F.struct(
+            x["depth"].alias("depth"), x["flagged"].alias("flagged"), F.array_append(outer["out"], x["out"]).alias("out")))
+
+    start = F.struct(F.lit(0).alias("depth"), depths.alias("flagged"),
+                     F.array().cast("array<array<boolean>>").alias("out"))
+    return F.aggregate(blocks, start, block, lambda at: F.reverse(F.flatten(at["out"])))
 
 
 def marked_shell_calls(code: Column) -> Column:
     """Masked source with a marker before every subprocess call that uses a shell."""
     # the blank in front keeps the first part from being a call itself
     parts = F.split(F.concat(F.lit(" "), code), rf"(?<![\w.])(?={_CALL_HEAD})", -1)
-    calls = _shell_calls(code)
-    marked = F.array_join(F.transform(parts, lambda part, i: F.when(
-        F.array_contains(calls, i), F.concat(F.lit(_DYNAMIC), part)).otherwise(part)), "")
+    marked = F.array_join(F.zip_with(
+        parts, F.concat(F.array(F.lit(False)), _shell_calls(code)),
+        lambda part, shell: F.when(shell, F.concat(F.lit(_DYNAMIC), part)).otherwise(part)), "")
     return F.regexp_replace(
         F.substring(marked, 2, 1 << 30), f"{_DYNAMIC}(?={_CALL_HEAD}{_LITERAL_FIRST_ARG})", _STATIC
     )
@@ -281,9 +289,11 @@ def candidate_lines(routed: DataFrame, carry=(), catalog: R.Catalog | None = Non
         .withColumn("code_lines", F.split(
             F.when(F.contains("masked", F.lit("subprocess")), marked_shell_calls(F.col("masked")))
             .otherwise(F.col("masked")), "\n", -1))
-        .select(*keep, "code_lines",
-                F.posexplode(F.split("text", "\n", -1)).alias("pos", "text_line"))
-        .withColumn("code", F.col("code_lines")[F.col("pos")])
+        # a line and its masked code leave together: no row carries all lines of its file
+        .select(*keep, F.posexplode(F.arrays_zip(
+            F.split("text", "\n", -1).alias("text"),
+            F.coalesce("code_lines", F.array().cast("array<string>")).alias("code"))).alias("pos", "both"))
+        .select(*keep, "pos", F.col("both.text").alias("text_line"), F.col("both.code").alias("code"))
         .filter(hint | (F.col("real_env") & (F.col("pos") == 0)))
         .select(*keep, "pos", "text_line", "code")
     )

@@ -248,3 +248,54 @@ def test_size_limit_is_a_parameter(files):
     assert {r.file for r in D.detect(table).select("file").distinct().collect()} == {"b.js"}
     assert {r.file for r in D.detect(table, max_file_bytes=20).select("file").distinct().collect()} == set()
     assert D.detect(table, max_file_bytes=None).count() == 200_010
+
+
+F_STRINGS = [
+    ('x = f"{eval(y)}"', {("PY_EVAL", 1)}),
+    ("x = f'{exec(y)!r:>{width}}'", {("PY_EXEC", 1)}),
+    ('x = f"{{eval(y)}}"', set()),                       # doubled braces are text
+    ('x = f"eval(y) {z}"', set()),
+    ('x = "{eval(y)}"', set()),                          # no f-string
+    ('x = f"{d[\'eval(\']} {z}"', set()),                # a string in a field
+    ('x = rf"\\d{eval(y)}"', {("PY_EVAL", 1)}),
+    ('x = f"""a\n{b}\n{eval(c)}\n"""\nexec(d)', {("PY_EVAL", 3), ("PY_EXEC", 5)}),
+    ("x = f'''{eval(\n y)}''' + 'eval(1)'", {("PY_EVAL", 1)}),
+    ('x = f"{f\'{eval(y)}\'}"', {("PY_EVAL", 1)}),       # one in another
+    ('x = f"{eval("y")}"', {("PY_EVAL", 1)}),            # the same quotes inside
+    ('x = f"{ {1: eval(y)}[1] }"', {("PY_EVAL", 1)}),
+    ('x = f"{a}{eval(b)}"', {("PY_EVAL", 1)}),
+    ('x = f"{subprocess.run(cmd, shell=True)}"', {("PY_SUBPROCESS_SHELL", 1)}),
+    ('subprocess.run(f"ls {d}", shell=True)', {("PY_SUBPROCESS_SHELL", 1)}),
+    ('x = f"{\'{\'}" + eval(y)', {("PY_EVAL", 1)}),
+    ('if_"eval(x)"', set()),
+    ('x = f"broken {eval(y', {("PY_EVAL", 1)}),          # does not parse: scanned as code
+]
+
+
+@pytest.mark.parametrize("source,want", F_STRINGS)
+def test_f_strings(spark, files, source, want):
+    got = {(r.rule_id, r.line) for r in D.detect(files(("a.py", source))).collect()}
+    assert got == want
+
+
+def test_shell_command_in_f_string_is_dynamic(spark, files):
+    rows = D.detect(files(("a.py", 'subprocess.run(f"ls {d}", shell=True)\nsubprocess.run(f"ls", shell=True)\n'
+                                 'subprocess.run("ls", shell=True)\n'))).collect()
+    assert [r.severity for r in sorted(rows, key=lambda r: r.line)] == ["critical", "critical", "high"]
+
+
+def test_many_calls_in_one_file_take_linear_time(spark, files):
+    import time
+
+    def seconds(n):
+        text = "".join(f'subprocess.run(f"{{a{k}}}", (1, [2]), shell={k % 2 == 0})\n' for k in range(n))
+        table = files(("a.py", text)).cache()
+        table.count()
+        start = time.time()
+        found = D.detect(table, max_file_bytes=None).filter("rule_id = 'PY_SUBPROCESS_SHELL'").count()
+        assert found == n // 2
+        return time.time() - start
+
+    seconds(1000)
+    short, long = seconds(10_000), seconds(50_000)
+    assert long < 12 * short + 3
