@@ -111,7 +111,9 @@ def placeholder(v: str) -> str:
             f"'your[_-]?[a-z0-9_-]*(key|token|secret|password)[a-z0-9_-]*'))")
 
 
+F_FIELD = r'\{(?:[^{}"]|\{[^{}"]*\})*\}'
 TOKEN = "|".join([
+    r'\b[fF]"(?:[^"\\{}\n]|\{\{|\}\}|' + F_FIELD + ')*"',
     r'"""(?:[^"\\]|\\[\s\S]|"{1,2}(?:[^"\\]|\\[\s\S]))*"""',
     r"'''(?:[^'\\]|\\[\s\S]|'{1,2}(?:[^'\\]|\\[\s\S]))*'''",
     r'"(?:[^"\\\n]|\\[\s\S])*"',
@@ -132,8 +134,10 @@ def lines_cte(name: str = "lines", inv: str = "inv") -> str:
   FROM (
     SELECT *, string_split(text, {NL}) AS ls, string_split(CASE WHEN ext_scanner = 'python' THEN
       array_to_string(list_transform(range(1, len(cs) + 1), lambda i: cs[i]
-        || CASE WHEN left(ts[i], 1) IN ('"', '''') THEN '""' ELSE '' END
-        || regexp_replace(coalesce(ts[i], ''), '[^\\n]+', '', 'g')), '') END, {NL}) AS code_ls
+        || CASE WHEN left(ts[i], 2) IN ('f"', 'F"') THEN 'f""' || regexp_replace(ts[i][3:],
+            {q(chr(92) + '{' + chr(92) + '{|(' + F_FIELD + ')|[^' + chr(92) + 'n]')}, '\\1', 'g')
+          WHEN left(ts[i], 1) IN ('"', '''') THEN '""' || regexp_replace(ts[i], '[^\\n]+', '', 'g')
+          ELSE regexp_replace(coalesce(ts[i], ''), '[^\\n]+', '', 'g') END), '') END, {NL}) AS code_ls
     FROM (
       SELECT repo_id, path AS file, content, file_context, ext_scanner, run_secrets,
         real_env, example_env, text,

@@ -41,7 +41,7 @@ def _may_call(text: Column) -> Column:
     return (bare & text.rlike(r"(?:^|[^.\w])e(?:val|xec)\s*\(")) | shell
 
 
-_STOPS_AT_ONCE = 1024
+_STOPS_AT_ONCE = 512
 
 
 def _shell_calls(code: Column) -> Column:
@@ -49,35 +49,35 @@ def _shell_calls(code: Column) -> Column:
     arguments? One walk over the brackets from the end: there a call's arguments come before
     its head, so its answer is known when the head is met, and the answers come in order. The walk
     keeps the depth, and the depths at which an open bracket holds the flag, so nesting may go as
-    deep as it likes. Answers are put together by blocks, so the work grows with the source."""
-    flag, closes = "shell", (")", "]", "}")
+    deep as it likes. A step of a fold copies what it carries, so answers are gathered block by block."""
+    none, blocks_type = F.array().cast("array<boolean>"), "array<array<boolean>>"
 
     def step(at: Column, stop: Column) -> Column:
-        head, is_flag, close = stop.startswith("subprocess"), stop.startswith(flag), stop.isin(*closes)
-        depth = at["depth"]
+        head, flag, close = stop.startswith("subprocess"), stop.startswith("shell"), stop.isin(")", "]", "}")
+        depth, flagged, answers = at["depth"], at["flagged"], at["answers"]
         return F.struct(
-            F.when(is_flag, depth).when(close, depth + 1).otherwise(F.greatest(depth - 1, F.lit(0))).alias("depth"),
-            F.when(close, at["flagged"])
-            .when(is_flag, F.when(depth > 0, F.array_append(at["flagged"], depth)).otherwise(at["flagged"]))
-            .otherwise(F.array_remove(at["flagged"], depth)).alias("flagged"),
-            F.when(head, F.array_append(at["out"], F.array_contains(at["flagged"], depth)))
-            .otherwise(at["out"]).alias("out"))
-
-    depths, answers = F.array().cast("array<int>"), F.array().cast("array<boolean>")
+            F.when(flag, depth).when(close, depth + 1).otherwise(F.greatest(depth - 1, F.lit(0))).alias("depth"),
+            F.when(close | (flag & (depth == 0)), flagged).when(flag, F.array_append(flagged, depth))
+            .when(F.size(flagged) == 0, flagged).otherwise(F.array_remove(flagged, depth)).alias("flagged"),
+            F.when(head, F.array_append(answers, F.array_contains(flagged, depth))).otherwise(answers).alias("answers"))
+
+    def blocks(stops: Column) -> Column:
+        def block(at: Column, first: Column) -> Column:
+            inside = F.aggregate(
+                F.slice(stops, first, F.lit(_STOPS_AT_ONCE)),
+                F.struct(at["depth"].alias("depth"), at["flagged"].alias("flagged"), none.alias("answers")), step)
+            # a fold over one element: what is inside is worked out once
+            return F.aggregate(F.array(inside), at, lambda outer, x: F.struct(
+                x["depth"].alias("depth"), x["flagged"].alias("flagged"),
+                F.array_append(outer["blocks"], x["answers"]).alias("blocks")))
+
+        start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("flagged"),
+                         F.array().cast(blocks_type).alias("blocks"))
+        firsts = F.sequence(F.lit(1), F.size(stops) + 1, F.lit(_STOPS_AT_ONCE))
+        return F.aggregate(firsts, start, block, lambda at: F.reverse(F.flatten(at["blocks"])))
+
     stops = F.reverse(F.regexp_extract_all(code, F.lit(_STOPS), F.lit(0)))
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size(stops) / F.lit(_STOPS_AT_ONCE)).cast("int")),
-        lambda k: F.slice(stops, k * _STOPS_AT_ONCE + 1, F.lit(_STOPS_AT_ONCE)))
-
-    def block(at: Column, part: Column) -> Column:
-        inside = F.aggregate(part, F.struct(
-            at["depth"].alias("depth"), at["flagged"].alias("flagged"), answers.alias("out")), step)
-        return F.aggregate(F.array(inside), at, lambda outer, x: F.struct(
-            x["depth"].alias("depth"), x["flagged"].alias("flagged"), F.array_append(outer["out"], x["out"]).alias("out")))
-
-    start = F.struct(F.lit(0).alias("depth"), depths.alias("flagged"),
-                     F.array().cast("array<array<boolean>>").alias("out"))
-    return F.aggregate(blocks, start, block, lambda at: F.reverse(F.flatten(at["out"])))
+    return F.transform(F.array(stops), blocks)[0]
 
 
 def marked_shell_calls(code: Column) -> Column:

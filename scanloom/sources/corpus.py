@@ -33,7 +33,7 @@ def fake_token(prefix: str, length: int, alphabet: str = "aB3dE5gH7jK9mN1pQ") ->
 
 
 def snippets() -> list[str]:
-    """The 28 real snippets; the other slots are empty."""
+    """The 29 real snippets; the other slots are empty."""
     openai = fake_token("sk-" + "proj-", 24)
     upper = "Q7W4E2R9T5Y1U8I3"
     return [
@@ -71,6 +71,8 @@ def snippets() -> list[str]:
         # key block, and a safe call
         "-----BEGIN RSA " + "PRIVATE KEY-----",
         "cfg = yaml.load(stream, Loader=yaml.SafeLoader)",
+        # a call in an f-string, and one in its text
+        'label = f"{eval(expr)!r:>{width}} {{exec(x)}}"',
     ]
 
 
