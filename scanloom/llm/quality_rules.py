@@ -3,9 +3,14 @@
 Lines with a word are labelled content or boilerplate by a linear-chain conditional random
 field, decoded by Viterbi; a document is kept if content holds at least ``LEAST_CONTENT`` of
 its words (and no count fails it). The field is fitted here, by maximum likelihood, on a
-bounded sample (``TRAIN_DOCS`` documents, by a hash of the id) whose lines get provisional
-labels from plain rules: repeated within the document or across the sample, mostly symbols,
-shouted, or a bare fragment.
+bounded sample (about ``TRAIN_DOCS`` different texts of at most ``TRAIN_BYTES`` bytes, by a hash of
+id and text) whose lines get provisional labels from plain rules: repeated within the
+document, common in the corpus, mostly symbols, shouted, or a bare fragment. How common the
+sample's lines are is counted over all documents, in different texts: a line is common from
+``COMMON_TEXTS`` texts and ``COMMON_SHARE`` of all texts on.
+
+Where the sample is empty, or all its lines get one label, there is nothing to tell apart: every line counts as
+content, and a document is kept unless a count fails it.
 
 Null and empty texts have no words: all counts are 0 and the text rules fail them. Repeated rows
 each get a row; an empty table gives none; columns other than ``doc_id`` and ``text``
@@ -18,11 +23,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from scanloom.llm.common import slices, unit_hash
 
 TRAIN_DOCS = 400
+TRAIN_BYTES = 1 << 20
+COMMON_TEXTS = 3
+COMMON_SHARE = 0.0025
 STEPS = 80
 SEQUENCE = 128  # lines, in training
 LEAST_CONTENT = 0.5
@@ -69,14 +78,17 @@ def provisional(lines: list[bytes], words: list[int], common: set[bytes]) -> lis
     return labels
 
 
-def train(texts: list[bytes], steps: int = STEPS) -> dict[str, np.ndarray]:
-    """Maximum-likelihood weights of a two-state linear chain, by gradient ascent (Adam)."""
+def train(texts: list[bytes], steps: int = STEPS, common: set[bytes] | None = None) -> dict[str, np.ndarray]:
+    """Maximum-likelihood weights of a two-state linear chain, by gradient ascent (Adam). Without
+    ``common`` lines given they are those of three of the texts."""
     parts = [_lines(t) for t in dict.fromkeys(texts)]
     parts = [p for p in parts if p[0]]
-    everywhere = Counter(x for lines, _ in parts for x in {y.strip() for y in lines})
-    common = {x for x, n in everywhere.items() if n >= 3}
-    if not parts:
-        return {"state": np.zeros((FEATURES, 2)), "step": np.zeros((2, 2))}
+    if common is None:
+        everywhere = Counter(x for lines, _ in parts for x in {y.strip() for y in lines})
+        common = {x for x, n in everywhere.items() if n >= COMMON_TEXTS}
+    if len({label for p in parts for label in provisional(*p, common)}) < 2:
+        # weights that make every line content
+        return {"state": np.array([[0.0, 1.0]] + [[0.0, 0.0]] * (FEATURES - 1)), "step": np.zeros((2, 2))}
     # long documents are cut into several sequences, so that padding stays small
     x = [f[k:k + SEQUENCE] for p in parts for f in [features_of(*p)] for k in range(0, len(f), SEQUENCE)]
     y = [np.array(g[k:k + SEQUENCE]) for p in parts for g in [provisional(*p, common)]
@@ -177,14 +189,45 @@ def judge(text: bytes, model: dict[str, np.ndarray]) -> tuple:
     return n, chars, symbols, len(lines) - len(set(lines)), repeats, failed, share, kept
 
 
+def _line_hash(line: bytes) -> int:
+    return xxhash.xxh64_intdigest(line, SEED) - (1 << 63)
+
+
+def common_lines(docs: DataFrame, lines: set[bytes]) -> set[bytes]:
+    """Which of some lines, a bounded set, are common: counted over all documents, once per
+    different text. Only the lines asked for are shuffled, as hashes."""
+    wanted = {_line_hash(x) for x in lines}
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def meet(batches):
+        for batch in slices(batches, "bytes"):
+            digests, found = [], []
+            for digest, text in zip(batch.column("digest").to_pylist(), batch.column("bytes").to_pylist()):
+                mine = {_line_hash(x) for x in {y.strip() for y in (text or b"").split(b"\n")}} & sent.value
+                digests += [digest] * len(mine)
+                found += mine
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(found, pa.int64())], ["digest", "line"])
+
+    raw = F.col("text").cast("binary")
+    texts = docs.filter("text is not null").select(F.md5(raw).alias("digest"), raw.alias("bytes"))
+    total = docs.select("text").filter("text is not null").count()
+    least = max(COMMON_TEXTS, int(np.ceil(COMMON_SHARE * total)))
+    counted = texts.mapInArrow(meet, "digest string, line bigint").groupBy("line").agg(
+        F.count_distinct("digest").alias("n")).filter(F.col("n") >= least)
+    known = {r["line"] for r in counted.collect()}  # of the lines asked for
+    return {x for x in lines if _line_hash(x) in known}
+
+
 def fit(docs: DataFrame, limit: int = TRAIN_DOCS) -> dict[str, np.ndarray]:
-    """The labeller's weights, from about ``limit`` documents."""
+    """The labeller's weights, from about ``limit`` different texts and the counts of their lines."""
     n = docs.count()
     chance = min(1.0, limit / max(n, 1))
-    sample = docs.filter(unit_hash(SEED, "doc_id") < chance).select(
-        F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("t"), "doc_id")
-    rows = sorted((bytes(r.t) for r in sample.collect()))
-    return train(rows)
+    text = F.col("text")
+    sample = docs.filter((unit_hash(SEED, "doc_id", "text") < chance) & (F.octet_length(text) <= TRAIN_BYTES)).select(
+        text.cast("binary").alias("t")).distinct().orderBy(F.md5("t")).limit(4 * limit)
+    rows = sorted(bytes(r.t) for r in sample.toLocalIterator())
+    lines = {x.strip() for t in rows for x in _lines(t)[0]}
+    return train(rows, common=common_lines(docs, lines) if lines else set())
 
 
 def measure(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataFrame:
