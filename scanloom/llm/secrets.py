@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom.llm.common import stored
 
+STEPS_AT_ONCE = 512  # of a fold over the matches of a text
 MAX_EXACT = 64  # so many spellings of a part of an expression are followed at most
 
 
@@ -133,7 +134,6 @@ def spans_of(text: str, rule: Secret, number: int) -> Column:
                          F.transform(found, F.length).alias("hit"),
                          F.transform(judged, F.length).alias("judged"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def step(state, x):
         begin = state["at"] + x["gap"]
@@ -142,10 +142,23 @@ def spans_of(text: str, rule: Secret, number: int) -> Column:
         return F.struct(
             (begin + F.coalesce(x["hit"], F.lit(0))).alias("at"),
             F.when(F.coalesce(x["judged"], F.lit(-1)) >= rule.least,
-                   F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
-
-    return F.when(F.col(text).rlike(rule.pattern),
-                  F.aggregate(steps, start, step, lambda s: s["spans"])).otherwise(none)
+                   F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+
+    def in_blocks(known: Column) -> Column:
+        """A step of a fold copies what it carries, so spans are gathered block by block."""
+        def block(state, first):
+            inside = F.aggregate(F.slice(known, first, F.lit(STEPS_AT_ONCE)),
+                                 F.struct(state["at"].alias("at"), none.alias("spans")), step)
+            # a fold over one element: what is inside is worked out once
+            return F.aggregate(F.array(inside), state, lambda outer, x: F.struct(
+                x["at"].alias("at"), F.array_append(outer["blocks"], x["spans"]).alias("blocks")))
+
+        start = F.struct(F.lit(0).alias("at"),
+                         F.array().cast("array<array<struct<start:int,kind:int,end:int>>>").alias("blocks"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(known), F.lit(STEPS_AT_ONCE)), start, block,
+                           lambda s: F.flatten(s["blocks"]))
+
+    return F.when(F.col(text).rlike(rule.pattern), F.transform(F.array(steps), in_blocks)[0]).otherwise(none)
 
 
 def index(docs: DataFrame, rules=RULES) -> DataFrame:

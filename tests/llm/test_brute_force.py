@@ -384,3 +384,20 @@ def test_pipeline_stages(spark):
         if name in ("quality", "near_copies", "decontamination"):
             before = now
     assert docs.agg(F.countDistinct("shard")).first()[0] > 20
+
+
+def test_many_secrets_in_one_text(spark):
+    import time
+
+    rng = random.Random(9)
+
+    def seconds(n):
+        words = [f"{rng.getrandbits(64):016x}" for _ in range(n)]
+        docs = spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string")
+        began = time.time()
+        spans = secrets.scan(docs).first().spans
+        assert [s["start"] for s in spans] == [17 * k for k in range(n)] and spans[-1]["end"] == 17 * n - 1
+        return time.time() - began
+
+    seconds(2000)
+    assert seconds(80_000) < 60
