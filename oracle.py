@@ -706,6 +706,14 @@ WHERE o.severity IS DISTINCT FROM n.severity""")
     out["tree_scan"] = out["scan_findings_raw"]
     out["tree_single_project"] = inv(
         "'project' AS repo_id, repo_id || '/' || path AS path, size, decision, file_context")
+    out["stream_late_rows"] = with_(found[:7] + ["""timed AS (
+  SELECT ctx.*, doc_id, doc_id >= (SELECT max(doc_id) FROM documents) / 2.0 AND doc_id % 3 <> 0 AS first
+  FROM ctx JOIN (SELECT repo_id, path AS file, doc_id FROM corpus) USING (repo_id, file))""",
+        "behind AS (SELECT max(doc_id) - 60 AS mark FROM timed WHERE first)"], """
+SELECT repo_id, rule_id, file, line, 'new' AS fate FROM timed WHERE first
+UNION ALL
+SELECT repo_id, rule_id, file, line, CASE WHEN doc_id < mark THEN 'late' WHEN first THEN 'repeated' ELSE 'new' END
+FROM timed, behind""")
     out["stream_tree_scan"] = with_(found[:7], f"SELECT {RAW}, adjusted_severity_reason FROM ctx")
     out["memo_rescan"] = with_(found[:5], f"SELECT {RAW} FROM raw")
     route = "coalesce(ext_scanner, '') AS ext_scanner, run_secrets, real_env, example_env"

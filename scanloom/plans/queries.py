@@ -512,6 +512,22 @@ def stream_finding_dedup(spark, sf_dir):
         "repo_id", "file", "line", "rule_id", "severity")
 
 
+def stream_late_rows(spark, sf_dir):
+    """Two uploads: two thirds of the later half, then everything. What lies over a minute behind
+    the first one's end is late in the second; of the rest, some is repeated and some is new."""
+    landing = new_dir(spark, "uploads")
+    documents = table(spark, sf_dir, "documents")
+    files = corpus_from(documents, extra=("doc_id",)).withColumn("arrived_at", F.timestamp_seconds(
+        F.unix_timestamp(F.lit(ARRIVAL_START)) + F.col("doc_id")))
+    half = documents.agg(F.max("doc_id")).first()[0] / 2
+    for upload in (files.filter((F.col("doc_id") >= half) & (F.col("doc_id") % 3 != 0)), files):
+        upload.coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    found = T.stream_findings(stream).select("repo_id", "rule_id", "file", "line", "arrived_at")
+    return _run(spark, T.with_fate(found, "1 minute"), "stream-fates").select(
+        "repo_id", "rule_id", "file", "line", "fate")
+
+
 def stream_explain_dedup(spark, sf_dir):
     found = T.stream_findings(_file_stream(spark, sf_dir))
     return _run(spark, T.request_stream(found, "1 day"), "stream-requests").select(
@@ -606,6 +622,7 @@ QUERIES: dict[str, Query] = {
     "stream_scan": stream_scan,
     "stream_finding_dedup": stream_finding_dedup,
     "stream_explain_dedup": stream_explain_dedup,
+    "stream_late_rows": stream_late_rows,
     "stream_finding_windows": stream_finding_windows,
     "stream_repo_summary": stream_repo_summary,
 }

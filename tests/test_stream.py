@@ -147,3 +147,22 @@ def test_all_windows_are_written(spark):
     rows = T.current_windows(spark, f"{base}/out").collect()
     got = {((r.window_start - START).seconds // 60, r.n_findings) for r in rows}
     assert got == {(0, 2), (10, 1), (40, 1)}
+
+
+def test_every_row_has_a_fate(spark):
+    landing = Landing(spark)
+    landing.add(("r", "a.js", "eval(x)\n"), minute=100)
+    landing.add(("r", "a.js", "eval(x)\n"), ("r", "b.js", "eval(x)\n"), ("r", "b.js", "eval(x)\n"), minute=95)
+    landing.add(("r", "a.js", "eval(x)\n"), ("r", "c.js", "eval(x)\n"), minute=30)  # 40 is the mark
+    landing.add(("r", "a.js", "eval(x)\n"), minute=300)  # what was known has expired
+    landing.add(("r", "a.js", "eval(x)\n"), minute=310)
+    found = T.stream_findings(landing.stream()).select("repo_id", "rule_id", "file", "line", "severity", "arrived_at")
+    rows = run(spark, T.with_fate(found, "1 hour", lanes=2)).collect()
+    got = sorted((r.file, (r.arrived_at - START).total_seconds() // 60, r.fate) for r in rows)
+    # at 300 the mark is still at 40 and a.js is remembered; at 310 the mark is at 240
+    assert got == [("a.js", 30, "late"), ("a.js", 95, "repeated"), ("a.js", 100, "new"), ("a.js", 300, "repeated"),
+                   ("a.js", 310, "new"), ("b.js", 95, "new"), ("b.js", 95, "repeated"), ("c.js", 30, "late")]
+    once = run(spark, T.dedup_stream(found.drop("severity"), "1 hour")).collect()
+    # Spark's own operator forgets a finding one batch later
+    assert {(r.file, r.arrived_at) for r in once} == {
+        (r.file, r.arrived_at) for r in rows if r.fate == "new"} - {("a.js", START + dt.timedelta(minutes=310))}
