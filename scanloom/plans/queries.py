@@ -483,10 +483,9 @@ ARRIVAL_START = "2024-01-01 00:00:00"
 
 
 def _file_stream(spark, sf_dir) -> DataFrame:
-    documents = (
-        spark.readStream.schema(table(spark, sf_dir, "documents").schema)
-        .option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    )
+    # a pattern that only the table's own name fits: streams take a single file by pattern only,
+    # and a table may be a folder of files as well
+    documents = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
     files = corpus_from(documents, extra=("doc_id",))
     # one file a second, in order of its id
     return files.withColumn("arrived_at", F.timestamp_seconds(
