@@ -1,11 +1,12 @@
 """Queries on tables that are folders of files, as large ones are."""
 
+import glob
 import os
 
 import pytest
 
 from scanloom.plans.queries import QUERIES
-from scanloom.plans.workspace import new_dir
+from scanloom.plans.workspace import new_dir, shared_dir
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -27,3 +28,12 @@ def documents(spark, files: int) -> str:
 def test_stream_of_a_folder(spark, name):
     got, want = (sorted(map(tuple, QUERIES[name](spark, documents(spark, files)).collect()), key=repr) for files in (3, 0))
     assert got and got == want
+
+
+def test_uploads_land_in_many_files(spark):
+    known = set(glob.glob(f"{shared_dir(spark)}/uploads-*"))
+    got, want = (sorted(map(tuple, QUERIES["stream_late_rows"](spark, documents(spark, files)).collect()), key=repr) for files in (3, 0))
+    assert {r[-1] for r in got} == {"new", "repeated"} and got == want
+    parts = [len(glob.glob(f"{f}/part-*")) for f in set(glob.glob(f"{shared_dir(spark)}/uploads-*")) - known]
+    # two uploads; a task never writes the whole of one
+    assert max(parts) > 2
