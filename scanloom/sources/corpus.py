@@ -123,15 +123,21 @@ def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_tree(files: DataFrame, root: str) -> None:
-    """Write a files table as a tree of files, ``root/repo_id/path``, from the tasks."""
+    """Write a files table as a tree of files, ``root/repo_id/path``, from the tasks. A repository is written by
+    one task, which makes each folder once; several tasks a core, so that few or large input files don't hold it up."""
     def write(batches):
+        filesystem, base = pafs.FileSystem.from_uri(root)
+        made = set()
         for batch in batches:
             for row in batch.to_pylist():
-                filesystem, base = pafs.FileSystem.from_uri(root)
                 path = f"{base}/{row['repo_id']}/{row['path']}"
-                filesystem.create_dir(path.rpartition("/")[0], recursive=True)
+                folder = path.rpartition("/")[0]
+                if folder not in made:
+                    filesystem.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with filesystem.open_output_stream(path) as out:
                     out.write(row["content"].encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
 
-    files.select("repo_id", "path", "content").mapInArrow(write, "n bigint").agg(F.sum("n")).first()
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    files.select("repo_id", "path", "content").repartition(tasks, "repo_id").mapInArrow(write, "n bigint").agg(F.sum("n")).first()

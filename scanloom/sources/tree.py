@@ -9,7 +9,7 @@ with bounded memory: of a directory's names it keeps a thinning sample, whose qu
 cut the directory into ranges of names with about ``taskBytes`` or ``taskFiles`` each. So a directory of a
 million files is read by many tasks, each of which lists the names and opens only its own.
 Small directories share a task. Directories that the planner didn't reach are walked by the
-tasks; with few of them left, several tasks share the walk by a hash of the path.
+tasks, up to ``taskFolders`` by one; with few of them left, several tasks share the walk by a hash of the path.
 
 Columns: ``repo_id, path, size, modified, content, read_error``. A schema that leaves out
 ``content`` (``inventory(spark, ...)``) reads names and sizes only. Filters on ``repo_id`` reach the planner and
@@ -24,7 +24,8 @@ Local trees use the time of the last status change, which a renamed file also ge
 modification time.
 
 Options: ``repoLevel`` (1: the directories below the root are the repositories; 0: one project),
-``maxFileBytes``, ``taskBytes``, ``taskFiles``, ``planEntries``, ``leastTasks``, ``settleSeconds``.
+``maxFileBytes``, ``taskBytes``, ``taskFiles``, ``planEntries``, ``taskFolders``, ``leastTasks``,
+``settleSeconds``.
 Links to directories are not followed. An empty tree gives no rows; a file directly below the root is its own repository
 with an empty path; a missing root is an error.
 """
@@ -204,7 +205,8 @@ class Tree:
         self.max_bytes = number("maxFileBytes", K.MAX_FILE_BYTES)
         self.task_bytes = number("taskBytes", 128 << 20) or 1
         self.task_files = number("taskFiles", 20_000) or 1
-        self.plan_entries = number("planEntries", 1_000_000)
+        self.plan_entries = number("planEntries", 50_000)
+        self.task_folders = number("taskFolders", 1000) or 1
         self.least_tasks = number("leastTasks", 64)
         self.settle_seconds = float(options.get("settleSeconds", 2))
         self.repos: set[str] | None = None
@@ -252,9 +254,11 @@ class Tree:
         if shares:
             tasks.append(Task(shares, after_ns, upto_ns))
         if frontier:
-            parts = max(1, self.least_tasks // len(frontier))
-            tasks += [Task([Share(folder, part=k, parts=parts)], after_ns, upto_ns)
-                      for folder in frontier for k in range(parts)]
+            # few folders are shared by several tasks each, many are dealt to tasks in runs
+            left, least = list(frontier), max(1, self.least_tasks)
+            parts, run = max(1, least // len(left)), max(1, min(self.task_folders, len(left) // least))
+            tasks += [Task([Share(folder, part=k, parts=parts) for folder in left[low:low + run]], after_ns, upto_ns)
+                      for low in range(0, len(left), run) for k in range(parts)]
         return tasks
 
     def read(self, task: Task | None) -> Iterator[pa.RecordBatch]:

@@ -117,3 +117,17 @@ def test_stream_takes_what_is_new(spark, root):
     os.utime(f"{root}/new/x.js", (1, 1))  # an old file that is moved in is new all the same
     time.sleep(0.05)
     assert step() == want()
+
+
+def test_many_folders_are_dealt_to_few_tasks(tmp_path):
+    from pyspark.sql.types import StructType
+
+    for k in range(300):
+        (tmp_path / "tree" / f"r{k}" / "src").mkdir(parents=True)
+        (tmp_path / "tree" / f"r{k}" / "src" / "a.js").write_text("eval(x)\n")
+    tree = R.Tree({"path": str(tmp_path / "tree"), "planEntries": 50, "leastTasks": 8}, StructType.fromDDL(R.SCHEMA))
+    tasks = tree.plan()
+    counts = [sum(b.num_rows for b in tree.read(t)) for t in tasks]
+    assert 8 <= len(tasks) <= 16 and sum(counts) == 300 and max(counts) <= 40
+    # what the planner looks at itself doesn't grow with the tree
+    assert R.Tree({"path": str(tmp_path)}, StructType.fromDDL(R.SCHEMA)).plan_entries <= 100_000
