@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scanloom.llm import quality
 
@@ -72,3 +73,46 @@ def test_scores_follow_from_weights_and_cut():
 def test_one_label_gives_the_prior(good, bad):
     model = quality.train(measured(good), measured(bad), 0.5)
     assert np.allclose(model.scores([b"", b"any text", BAD[0].encode()]), quality.CUT)
+
+
+def labelled(spark, good, bad):
+    texts = [*good, *bad]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(k, int(k < len(good))) for k in range(len(texts))], "doc_id bigint, quality int")
+    return docs, labels
+
+
+def cut_of(model, good, bad):
+    """Half way between the two rows around the share of bad ones."""
+    scores = np.sort(model.inputs([t.encode() for t in [*good, *bad]]) @ model.weights)
+    return scores[len(bad) - 2:len(bad)].mean()
+
+
+def test_every_labelled_row_counts(spark):
+    """More rows than a bounded sample of 4,000 of a label holds, in several blocks."""
+    good = [f"Ship number {k} came in. " * (1 + k % 7) for k in range(6000)]
+    bad = [f"BUY {k} $$$ | click " * (1 + k % 5) for k in range(300)]
+    model = quality.fit(*labelled(spark, good, bad), F.lit(True))
+    raw = np.array(measured([*good, *bad]))
+    assert np.allclose(model.mean, raw.mean(axis=0), rtol=1e-9)
+    assert np.allclose(model.scale, raw.std(axis=0) + 1e-6, rtol=1e-6)
+    assert model.cut == pytest.approx(cut_of(model, good, bad), abs=1e-6)
+    scores = model.scores([t.encode() for t in [*good, *bad]])
+    assert scores[:6000].min() > quality.CUT - 1e-6 > scores[6000:].mean()
+
+
+def test_a_table_of_one_block_compares_all_pairs(spark):
+    good, bad = GOOD + MIXED[:20], BAD + MIXED[10:]
+    model = quality.fit(*labelled(spark, good, bad), F.lit(True))
+    whole = quality.train(measured(good), measured(bad), len(bad) / (len(good) + len(bad)))
+    assert np.allclose(model.weights, whole.weights, atol=1e-4)
+    assert model.cut == pytest.approx(cut_of(model, good, bad), abs=1e-6)
+
+
+def test_blocks_hold_every_row(spark):
+    rows = spark.createDataFrame([(k, k >= 3, [float(k)]) for k in range(1000)], "doc_id bigint, good boolean, features array<double>")
+    found = quality.in_blocks(rows, 997, 3, block=100).collect()
+    good = sorted(v for r in found for (v,) in r.good)
+    assert good == [float(k) for k in range(3, 1000)] and len(found) == 10
+    assert {v for r in found for (v,) in r.bad} == {0.0, 1.0, 2.0}
+    assert sum(len(r.bad) for r in found) == 12

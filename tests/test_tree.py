@@ -119,7 +119,7 @@ def test_stream_takes_what_is_new(spark, root):
     assert step() == want()
 
 
-def test_many_folders_are_dealt_to_few_tasks(tmp_path):
+def test_many_folders_are_dealt_to_few_tasks(spark, tmp_path):
     from pyspark.sql.types import StructType
 
     for k in range(300):
