@@ -9,8 +9,8 @@ segment, chunk number, ids before it in its segment, and the ids and lengths of
 documents. Records travel in uncompressed Parquet, since that is what every store that
 Spark writes to can hold; planes and index are this format's own.
 
-Ids are unsigned 32-bit. Nothing is kept in memory beyond a chunk, that is ``CHUNK_IDS`` ids
-or one document.
+Ids are unsigned 32-bit. Memory holds a chunk, that is ``CHUNK_IDS`` ids or one document;
+``TEXTS_BYTES`` of texts with their ids; and up to ``CACHED_PIECES`` pieces of texts with theirs.
 
 Null texts count as empty; every document ends with the end id, so none is empty; rows with
 equal ids keep a fixed order (by text); a null id comes first; an empty table gives an
@@ -20,10 +20,13 @@ empty folder and no rows; columns other than ``doc_id`` and ``text`` are not rea
 from __future__ import annotations
 
 import os
+import re
+import string
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -36,7 +39,16 @@ CHUNK_IDS = 1 << 18
 LEVEL = 3
 SEGMENT_BYTES = 32 << 20
 CACHED_PIECES = 800_000
-TEXTS_BYTES = 1 << 20  # texts whose pieces are looked up together
+CACHED_IDS = 8_000_000
+TEXTS_BYTES = 8 << 20  # texts whose pieces are looked up together
+LEARNED_CHARS = 1 << 19  # new pieces that go to the tokenizer as one text
+
+ASCII = [chr(k) for k in range(256)]
+WHITE, PUNCTUATION, LETTER = (np.array([c in found for c in ASCII]) for found in (
+    " \t\n\v\f\r", string.punctuation, string.ascii_letters))
+# further white space, by its bytes; U+180E was white space in older versions of Unicode
+SPACES = np.array([int.from_bytes(c.encode(), "big") for c in map(chr, range(0x80, 0x3001)) if c.isspace() or c == "\u180e"])
+PLAIN = re.compile("[ \n]?[^\\s\u180e]+")
 
 PLANES = "segment int, chunk int, planes array<binary>"
 INDEX = "segment int, chunk int, first bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>"
@@ -61,12 +73,34 @@ def from_planes(planes: list[bytes]) -> np.ndarray:
     return np.concatenate(blocks) if blocks else np.array([], dtype="<u4")
 
 
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces of texts (UTF-8, end to end) start: at the start of a text; at ASCII white space
+    after anything else; at ASCII punctuation after a letter that is ASCII, Latin-1 or Cyrillic (others
+    are left in one piece with it). Characters that some take for white space open no piece, nor
+    does white space after them."""
+    opens = WHITE[data]
+    at = np.flatnonzero(opens[1:] & ~opens[:-1]) + 1
+    last = data[at - 1]
+    opens[:] = False
+    clear = (last > 0x1F) & (last < 0x80)
+    beyond = np.flatnonzero(last >= 0x80)
+    three = [data[at[beyond] - k].astype(np.int32) << 8 * (k - 1) for k in (1, 2, 3)]
+    clear[beyond] = ~(np.isin(three[0] | three[1], SPACES) | np.isin(three[0] | three[1] | three[2], SPACES))
+    opens[at[clear]] = True
+    at = np.flatnonzero(PUNCTUATION[data[1:]]) + 1
+    last, before = data[at - 1], data[at - 2]
+    latin = (before == 0xC3) & (last != 0x97) & (last != 0xB7)  # all but the signs of times and division
+    opens[at[LETTER[last] | (last >= 0x80) & (latin | (before == 0xD0) | (before == 0xD1))]] = True
+    opens[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+    return np.flatnonzero(opens)
+
+
 class Encoder:
-    """Ids of whole texts. Byte-level pre-tokenization always starts a token at a blank
-    between two characters that are not white space, and at a line feed between two
-    such, so a text without other white space is encoded piece by piece, and pieces seen before
-    are looked up. New pieces go to the tokenizer together. Other texts, and those that hold
-    an added token's content, go to it whole."""
+    """Ids of whole texts. Byte-level pre-tokenization starts a token wherever white space follows
+    other characters, and wherever ASCII punctuation follows a letter, so texts are cut there
+    and encoded piece by piece. The pieces of many texts are told apart and looked up by Arrow;
+    only those not seen before go to the tokenizer, together. Texts that hold an added
+    token's content go to it whole."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -74,18 +108,18 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], dtype=np.uint32)
-        blank = next(v for v in self.tokenizer.encode(" a", add_special_tokens=False).tokens)[0]
+        blank, line = (self.tokenizer.encode(c, add_special_tokens=False).tokens[0][0] for c in (" a", "\n"))
         size = self.tokenizer.get_vocab_size()
-        self.opens = np.zeros(size, dtype=bool)  # tokens that begin with a blank
+        self.opens = np.zeros(size, dtype=bool)  # tokens that begin with a blank, and the line feed
         for token, number in self.tokenizer.get_vocab().items():
-            self.opens[number] = token.startswith(blank)
+            self.opens[number] = token.startswith(blank) or token == line
         # added tokens are found in a whole text, across pieces
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        # seen pieces: number of each, and the ids of all of them end to end
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.begins = np.zeros(1 << 12, dtype=np.int64)
-        self.used = 0
+        # seen pieces, where the ids of each begin in all of them end to end, and how many they are;
+        # the first, an empty piece, stands for the end of a text
+        self.known = pa.array([""], pa.large_string())
+        self.begins, self.counts = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
+        self.flat = self.end
 
     def each(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts by the tokenizer as loaded, without the offsets it would also work out."""
@@ -94,74 +128,87 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.each([text])[0], dtype=np.uint32)
 
-    def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of short texts end to end, and how many each has."""
+    def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of short texts end to end, where those of each begin, and how many each has."""
         found = self.each(texts)
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        return np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(lengths.sum())), lengths
-
-    def _learn(self, pieces: list[str]) -> dict[str, int]:
-        """Encode new pieces in one go: each opens with a blank, and only first tokens do. A
-        piece that begins with a line feed or a carriage return stands for one without a
-        blank before it. When enough pieces are known (the frequent ones come early), further
-        ones are kept for one text only."""
-        blank = [p for p in pieces if p[0] not in "\n\r"]
-        ids, lengths = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-        if blank:
-            ids = self.whole(" " + " ".join(blank))
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        ids = np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(counts.sum()))
+        return ids, np.cumsum(counts) - counts, counts
+
+    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for pieces without white space but a blank or line feed in front. As one text
+        they are told apart by that; a piece without it gets a line feed, whose id is left out."""
+        bare = np.fromiter((p[0] not in " \n" for p in pieces), dtype=bool, count=len(pieces))
+        text = "".join([p if p[0] in " \n" else "\n" + p for p in pieces])
+        if not any(t in text for t in self.added):
+            ids = self.whole(text)
             starts = np.flatnonzero(self.opens[ids])
-            lengths = np.diff(starts, append=len(ids))
-            if len(starts) != len(blank):
-                ids, lengths = self._joined([" " + p for p in blank])
-        bare = [p for p in pieces if p[0] in "\n\r"]
-        if bare:
-            more, sizes = self._joined([p if p[0] == "\n" else p[1:] for p in bare])
-            ids, lengths = np.concatenate([ids, more]), np.concatenate([lengths, sizes])
-        first, count = len(self.known), len(lengths)
-        while self.used + lengths.sum() > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + count + 1 > len(self.begins):
-            self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
-        ends = self.used + np.cumsum(lengths)
-        self.flat[self.used:ends[-1]] = ids
-        self.begins[first] = self.used
-        self.begins[first + 1:first + 1 + count] = ends
-        numbers = dict(zip(blank + bare, range(first, first + count)))
-        if first + count <= CACHED_PIECES:
-            self.used = int(ends[-1])
-            self.known.update(numbers)
-        return numbers
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """The pieces of a text, or None if it has to be encoded whole."""
-        if not text or any(t in text for t in self.added):
-            return None
-        pieces = ("\r" + text).replace("\n", " \n").split(" ")
-        # white space other than single blanks and line feeds between two words
-        if "\r" in text or len(text.split()) != len(pieces) or text[0].isspace() or text[-1].isspace():
-            return None
-        return pieces
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts, each with the end id. New pieces of all of them are learned together."""
-        cut = [self._pieces(t) for t in texts]
-        known = self.known
-        new = {p: None for pieces in cut if pieces for p in pieces if p not in known}
-        fresh = self._learn(list(new)) if new else {}
-        kept = not fresh or len(known) and next(iter(fresh)) in known
-        out = []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(np.concatenate([self.whole(text), self.end]) if text else self.end)
+            if len(starts) == len(pieces):
+                return ids, starts + bare, np.diff(starts, append=len(ids)) - bare
+        return self._apart(pieces)
+
+    def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of new pieces, and begins, counts and ids of the known ones with the new ones
+        after them. When enough are kept (the frequent ones come early), further ones serve
+        these texts only."""
+        names, plain, odd, held = pieces.to_pylist(), [[]], [], 0
+        for k, name in enumerate(names):
+            if not PLAIN.fullmatch(name):
+                odd.append(k)
                 continue
-            numbers = map(known.__getitem__, pieces) if kept else (fresh[p] if p in fresh else known[p] for p in pieces)
-            which = np.fromiter(numbers, dtype=np.int64, count=len(pieces))
-            begins = self.begins[which]
-            lengths = self.begins[which + 1] - begins
-            upto = np.cumsum(lengths)
-            ids = self.flat[np.repeat(begins - upto + lengths, lengths) + np.arange(upto[-1])]
-            out.append(np.concatenate([ids, self.end]))
-        return out
+            plain[-1].append(k)
+            held += len(name)
+            if held >= LEARNED_CHARS:
+                plain.append([])
+                held = 0
+        parts = [self._together([names[k] for k in group]) for group in plain if group]
+        if odd:
+            parts.append(self._apart([names[k] for k in odd]))
+        order = np.array([k for group in (*plain, odd) for k in group])
+        numbers = np.empty(len(order), dtype=np.int64)
+        numbers[order] = len(self.known) + np.arange(len(order))
+        used = len(self.flat) + np.cumsum([0] + [len(ids) for ids, _, _ in parts])
+        begins = np.concatenate([self.begins, *(b + low for (_, b, _), low in zip(parts, used))])
+        counts = np.concatenate([self.counts, *(n for _, _, n in parts)])
+        flat = np.concatenate([self.flat, *(ids for ids, _, _ in parts)])
+        first, kept = len(self.known), min(CACHED_PIECES, int(np.searchsorted(begins + counts, CACHED_IDS, side="right")))
+        if kept > first:
+            self.known = pa.concat_arrays([self.known, pieces.take(pa.array(order[:kept - first]))])
+            self.begins, self.counts = begins[:kept], counts[:kept]
+            self.flat = flat[:begins[kept - 1] + counts[kept - 1]]
+        return numbers, begins, counts, flat
+
+    def _encode_pieces(self, texts: pa.Array) -> list[np.ndarray]:
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0]:offsets[-1]]
+        offsets = offsets - offsets[0]
+        starts = piece_starts(data, offsets)
+        pieces = pa.LargeStringArray.from_buffers(
+            len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)).dictionary_encode()
+        distinct = pieces.dictionary
+        begins, counts, flat = self.begins, self.counts, self.flat
+        numbers = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = numbers < 0
+        if new.any():
+            numbers[new], begins, counts, flat = self._learn(distinct.filter(pa.array(new)))
+        ends = np.searchsorted(starts, offsets[1:])  # pieces up to the end of each text
+        which = np.insert(numbers[pieces.indices.to_numpy()], ends, 0)
+        lengths = counts[which]
+        upto = np.cumsum(lengths)
+        ids = flat[np.repeat(begins[which] - upto + lengths, lengths) + np.arange(upto[-1])]
+        bounds = [0, *upto[ends + np.arange(len(ends))].tolist()]
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def encode_all(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """Ids of texts, each with the end id. New pieces of all of them are learned together."""
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        whole = np.zeros(len(texts), dtype=bool)
+        for content in self.added:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._encode_pieces(texts) if len(texts) else []
+        cut = iter(self.encode_all(texts.filter(pa.array(~whole))))
+        return [np.concatenate([self.whole(t.as_py()), self.end]) if w else next(cut) for t, w in zip(texts, whole)]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -203,7 +250,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> Non
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()),
                  pa.list_(pa.int64()), pa.list_(pa.binary())]
         for batch in slices(batches, "text", TEXTS_BYTES):
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
                 if held and size + len(ids) > CHUNK_IDS:
                     yield flush()
                 held.append(ids)
